@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
-from tidemark.functions.rates import clamp_weight, round_cents
+from tidemark.functions.rates import round_cents
 from tidemark.functions.text import trim_all
 
 
@@ -59,20 +59,31 @@ def _policy_type(value: Column) -> Column:
     )
 
 
-def policy_signal_type(raw: Column, source_type: Column) -> Column:
-    """First usable type among four JSON keys, else the one implied by the source type."""
-    stated = [
-        _policy_type(F.get_json_object(raw, f"$.{key}"))
-        for key in ("signalType", "sourceValue", "value", "policySignalType")
-    ]
+RAW_TYPE_KEYS = ("signalType", "sourceValue", "value", "policySignalType")
+RAW_VETO_KEY = "strategyCanAffectReplacementRate"
+
+
+def with_raw_fields(df: DataFrame, raw: str = "raw_json") -> DataFrame:
+    """Adds the policy fields of a JSON column: ``raw_type_1..4`` and ``raw_veto``.
+
+    The text is parsed once per row: a generator's output is never inlined into later filters.
+    """
+    schema = ", ".join(f"{k} string" for k in RAW_TYPE_KEYS) + f", {RAW_VETO_KEY} boolean"
+    names = [f"raw_type_{i}" for i in range(1, 5)] + ["raw_veto"]
+    return df.select("*", F.inline(F.array(F.from_json(raw, schema))).alias(*names))
+
+
+def policy_signal_type(source_type: Column) -> Column:
+    """First usable type among the four raw fields, else the one implied by the source type."""
+    stated = [_policy_type(F.col(f"raw_type_{i}")) for i in range(1, 5)]
     implied = choose(source_type, {"JOB_POSTING": "HIRING_SHIFT", "COMPANY_UPDATE": "ADOPTION"}, "TOOLING")
     return F.coalesce(*stated, implied)
 
 
-def strategy_veto(raw: Column) -> Column:
-    """The stored flag where it is a JSON boolean, else NULL."""
-    parsed = F.from_json(raw, "strategyCanAffectReplacementRate boolean")
-    return parsed["strategyCanAffectReplacementRate"]
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns which later expressions read as plain values instead of repeating them."""
+    fields = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(fields)))
 
 
 # ---- item strategy and signal policy ---------------------------------------------------------
@@ -133,12 +144,13 @@ def signal_policy(
     signal_type = F.coalesce(
         choose(signal, of_signal, None), choose(default_signal_type, of_default, "ADOPTION")
     )
-    base = clamp_weight(
-        choose(source_class, rules.CLASS_FACTOR, None)
-        * choose(F.coalesce(weight_label, F.lit("supporting")), rules.LABEL_FACTOR, None)
-        * choose(F.coalesce(relevance, F.lit("none")), rules.RELEVANCE_FACTOR, None)
+    # factors lie within 0..1, so rounding is all the clamp has to do
+    base = round_cents(
+        choose(source_class, rules.CLASS_FACTOR, 0.0)
+        * choose(F.coalesce(weight_label, F.lit("supporting")), rules.LABEL_FACTOR, 0.0)
+        * choose(F.coalesce(relevance, F.lit("none")), rules.RELEVANCE_FACTOR, 0.0)
     )
-    weight = clamp_weight(
+    weight = round_cents(
         base * F.when(is_discovery(catalog_id), F.lit(rules.INGEST_DISCOVERY_FACTOR)).otherwise(F.lit(1.0))
     )
     eligible = (

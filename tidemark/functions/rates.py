@@ -41,9 +41,8 @@ def severity_rank(level: Column) -> Column:
 def clamp_weight(c: Column) -> Column:
     """Two decimals within 0..1; what is not finite counts as nothing."""
     x = c.cast("double")
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    bounded = F.least(F.lit(1.0), F.greatest(F.lit(0.0), round_cents(F.when(finite, x))))
-    return F.when(finite, bounded).otherwise(F.lit(0.0))
+    bounded = F.least(F.lit(1.0), F.greatest(F.lit(0.0), round_cents(x)))
+    return F.when(F.abs(x) < F.lit(float("inf")), bounded).otherwise(F.lit(0.0))
 
 
 def delta(previous: Column, current: Column) -> Column:

@@ -15,6 +15,9 @@ _URL = (
     r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://(?:([^/?#@]*)@)?([^/?#@:\s<>^|%\[\]]+)(?::(\d*))?"
     r"(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 )
+_BARE_HOST = (
+    r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#@:\s<>^|%\[\]]+)(?::\d*)?(?:[/?#].*)?$"
+)
 _TRACKING_KEY = r"^(?i)(utm_[^=]*|spm|from|ref)(=|$)"
 TRACKING_QUERY_PATTERN = _TRACKING_KEY
 URL_PATTERN = _URL
@@ -30,17 +33,20 @@ def is_valid(u: Column) -> Column:
 
 def full_host(u: Column) -> Column:
     """Lower-case host, NULL where the text is no absolute URL."""
-    host = F.lower(_part(trim_all(u), 3))
-    return F.when(F.length(host) > 0, host)
+    return F.nullif(F.lower(_part(trim_all(u), 3)), F.lit(""))
+
+
+def _bare_host(u: Column) -> Column:
+    return F.lower(F.regexp_extract(trim_all(u), _BARE_HOST, 1))
 
 
 def host(u: Column) -> Column:
     """Lower-case host without a leading ``www.``, NULL where the text is no absolute URL."""
-    return F.regexp_replace(full_host(u), r"^www\.", "")
+    return F.nullif(_bare_host(u), F.lit(""))
 
 
 def is_public(u: Column) -> Column:
-    return F.coalesce(host(u) != "example.com", F.lit(False))
+    return F.coalesce(~_bare_host(u).isin("", "example.com"), F.lit(False))
 
 
 def mentions_example(u: Column) -> Column:

@@ -40,18 +40,23 @@ def weighted_evidence(evidence: DataFrame) -> DataFrame:
     relevance = F.col("relevance")
     impact = F.col("impact")
     catalog = F.col("source_catalog_id")
-    typed = evidence.withColumns(
-        {
-            "source_kind": policy.source_kind(F.col("source_type")),
-            "policy_signal_type": policy.policy_signal_type(F.col("raw_json"), F.col("source_type")),
-        }
+    own_kind = policy.source_kind(F.col("source_type"))
+    # needs no JSON, so it goes first and spares the parse
+    relevant = evidence.filter((relevance != "LOW") | (own_kind == "official"))
+    typed = policy.bind(
+        policy.with_raw_fields(relevant),
+        source_kind=own_kind,
+        policy_signal_type=policy.policy_signal_type(F.col("source_type")),
     )
-    return typed.withColumn(
+    weighed = typed.withColumn(
         "adjusted_weight", policy.evidence_weight(weight, catalog, kind, signal, relevance, impact)
     ).filter(
-        ~policy.is_excluded(kind, signal, relevance, impact, weight, policy.strategy_veto(F.col("raw_json")))
+        ~policy.is_excluded(kind, signal, relevance, impact, weight, F.col("raw_veto"))
         & (F.col("adjusted_weight") >= policy.minimum_weight(kind, catalog, relevance))
     )
+    return weighed.select(
+        *evidence.columns, "source_kind", "policy_signal_type", "adjusted_weight"
+    )
 
 
 def scoring_evidence(evidence: DataFrame, keep: int = rules.EVIDENCE_KEEP) -> DataFrame:

@@ -143,10 +143,10 @@ select item_id, {KIND} as kind, {SIGNAL} as sig,
 from fx_evidence""")
 def p18(t: Inputs):
     rel = F.lower("relevance")
-    return t.fx_evidence.select(
+    return policy.with_raw_fields(t.fx_evidence).select(
         "item_id",
         policy.source_kind(F.col("source_type")).alias("kind"),
-        policy.policy_signal_type(F.col("raw_json"), F.col("source_type")).alias("sig"),
+        policy.policy_signal_type(F.col("source_type")).alias("sig"),
         policy.impact_direction(F.lower("impact")).alias("impact_direction"),
         policy.stored_relevance(rel).alias("stored_relevance"),
         policy.decision_status(F.lower("decision_status")).alias("status"),
@@ -156,8 +156,8 @@ def p18(t: Inputs):
 
 @query("P33_policy_signal_type", f"select item_id, {SIGNAL} as sig from fx_evidence")
 def p33(t: Inputs):
-    return t.fx_evidence.select(
-        "item_id", policy.policy_signal_type(F.col("raw_json"), F.col("source_type")).alias("sig")
+    return policy.with_raw_fields(t.fx_evidence).select(
+        "item_id", policy.policy_signal_type(F.col("source_type")).alias("sig")
     )
 
 
@@ -166,7 +166,7 @@ select item_id, case when json_type(raw_json, '$.strategyCanAffectReplacementRat
        then cast(json_extract(raw_json, '$.strategyCanAffectReplacementRate') as boolean) end as can_affect
 from fx_evidence""")
 def p34(t: Inputs):
-    return t.fx_evidence.select("item_id", policy.strategy_veto(F.col("raw_json")).alias("can_affect"))
+    return policy.with_raw_fields(t.fx_evidence).select("item_id", F.col("raw_veto").alias("can_affect"))
 
 
 # classification fields derived from the evidence view, the same in both engines
