@@ -8,13 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark import rules
-from tidemark.functions.text import SPACE, collapse_space, term_pattern, trim_all
+from tidemark.functions.text import SPACE, ascii_bounds, collapse_space, term_pattern, trim_all
 
 # entity, character; applied in this order
 _ENTITIES = (
     ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
 )
-DATE_TEXT = (
+DATE_TEXT = ascii_bounds(
     r"\b([A-Z][a-z]{2,8}\s+\d{1,2},\s+\d{4}|\d{4}-\d{2}-\d{2}(?:T[0-9:.+\-Z]+)?)\b"
 )
 ANCHOR = r"(?i)<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>([\s\S]*?)</a>"
@@ -102,4 +102,4 @@ def is_promotional(fragment: Column, title: Column) -> Column:
 
 def label_value(text: Column, label: str) -> Column:
     """The value after ``Label:`` up to a bullet, bar or line end."""
-    return trim_all(_extract(text, rf"(?i)\b{label}\b\s*[:\-]?\s*([^•|\n]+)"))
+    return trim_all(_extract(text, ascii_bounds(rf"(?i)\b{label}\b\s*[:\-]?\s*([^•|\n]+)")))

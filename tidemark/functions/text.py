@@ -125,10 +125,18 @@ def any_term(c: Column, terms: Iterable[str]) -> Column:
     return found
 
 
+_W = "[A-Za-z0-9_]"
+
+
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word bounds which know ASCII letters, digits and ``_`` only."""
+    return pattern.replace(r"\b", f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))")
+
+
 def term_pattern(terms: Iterable[str]) -> str:
     """A pattern for any of the terms as whole words, longest first."""
     ordered = sorted(terms, key=len, reverse=True)
-    return r"(?i)\b(" + "|".join(ordered) + r")\b"
+    return f"(?i)(?<!{_W})(?:" + "|".join(ordered) + f")(?!{_W})"
 
 
 def has_broad_noise(text: Column, terms: Iterable[str] = rules.BROAD_NOISE_TERMS) -> Column:

@@ -130,8 +130,8 @@ VIEWS = {
         from {pages}
         union all
         select page_id + 1000000000, 5 + page_id % 2,
-               case when strpos(url, '#') > 0 then url
-                    when strpos(url, '?') > 0 then concat(url, '&utm_medium=x')
+               case when instr(url, '#') > 0 then url
+                    when instr(url, '?') > 0 then concat(url, '&utm_medium=x')
                     else concat(url, '?utm_medium=x') end,
                concat('again ', cast(page_id as string)), 'May 3, 2024'
         from {pages}
