@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str) -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -54,3 +56,24 @@ def union_keep_first(first: DataFrame, second: DataFrame, keys: Sequence[str]) -
 def union_last_wins(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     both = first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1)))
     return first_per_key(both, keys, [F.col("_side").desc()]).drop("_side")
+
+
+def global_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """1-based positions in one order over all rows, without bringing them into one task.
+
+    Range partitions are sorted on their own and materialised, so that counts and rows come from
+    the same split; each row's position is its place in the partition plus the rows before it.
+    """
+    per_partition = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(
+        per_partition.withColumn("_id", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_id", 33)).withColumn("_offset", F.expr("_id & 8589934591"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row per partition: bounded by the number of shuffle partitions
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (
+        placed.join(F.broadcast(starts), "_part")
+        .withColumn(name, F.col("_start") + F.col("_offset") + 1)
+        .drop("_part", "_start", "_offset", "_id")
+    )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions.text import build_keywords, slugify, trim_all
+from tidemark.operators.ranking import global_positions
 from tidemark.session import small_enough_to_broadcast
 
 BROADCAST_ROWS = 100_000
@@ -43,9 +44,7 @@ def translated(roles: DataFrame, translations: DataFrame) -> DataFrame:
 
 def source_codes(names: DataFrame, code_of_name: dict[str, str] | None = None) -> DataFrame:
     """``csv-role-{n}`` by file order; a name with an own code keeps that."""
-    # the whole file is one dictionary, numbered as one sequence
-    n = F.row_number().over(Window.orderBy("position"))
-    numbered = names.withColumn("ordinal", n)
+    numbered = global_positions(names, [F.col("position").asc()], "ordinal")
     code = F.concat(F.lit("csv-role-"), F.col("ordinal").cast("string"))
     for name, own in (code_of_name or {}).items():
         code = F.when(F.col("name_en") == name, own).otherwise(code)

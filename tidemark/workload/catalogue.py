@@ -8,6 +8,7 @@ from tidemark import rules
 from tidemark.functions import presentation
 from tidemark.operators import catalogue as cat
 from tidemark.operators.evidence import coverage_counts
+from tidemark.operators.ranking import global_positions
 from tidemark.sources.dictionary import source_codes
 from tidemark.workload.registry import Inputs, query
 
@@ -279,8 +280,7 @@ select slug, row_number() over (order by case when name_zh <> name_en then 0 els
    case risk_level when 'SEVERE' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, name_en, slug) as position
 from fx_state""")
 def w1(t: Inputs):
-    # the position is made visible for the comparison; the operator itself is the order
-    return cat.numbered(t.fx_state, cat.display_order()).select("slug", F.col("position").cast("long").alias("position"))
+    return global_positions(t.fx_state, cat.display_order()).select("slug", "position")
 
 
 @query("W21_suggestions", """
@@ -295,7 +295,7 @@ select slug, updated_at, row_number() over (order by updated_at desc, slug) as p
 def w18(t: Inputs):
     order = [F.col("updated_at").desc(), F.col("slug").asc()]
     listed = t.fx_role.filter("is_active")
-    return cat.numbered(listed, order).select("slug", "updated_at", F.col("position").cast("long").alias("position"))
+    return global_positions(listed, order).select("slug", "updated_at", "position")
 
 
 TOPICS_FX = {
