@@ -51,7 +51,7 @@ def j7(t: Inputs):
     )
 
 
-@query("J13_merged_timeline", f"""
+MERGED_SQL = f"""
 with {MEMBER},
 sg as (select role_slug as slug, source_url as url, item_id as row_id, 'signal' as label, null as title,
          concat('S ', summary_en) as summary, published_at from fx_evidence where source_type = 'BLOG'),
@@ -62,7 +62,6 @@ ds as (select role_slug as slug, concat(source_url, case when source_type = 'NEW
 a0 as (select *, row_number() over (partition by slug order by published_at desc, row_id) as p from sg),
 b0 as (select *, row_number() over (partition by slug order by published_at desc, row_id) as p from it),
 c0 as (select *, row_number() over (partition by slug order by published_at desc, row_id) as p from ds),
-pub as (select 1),
 a1 as (select *, row_number() over (partition by slug, url order by p desc) as q from a0 where p <= 10
         and {BARE.replace('source_url', 'url')} <> 'example.com'),
 b1 as (select *, row_number() over (partition by slug, url order by p desc) as q from b0 where p <= 10
@@ -76,7 +75,10 @@ k as (select * from (select *, row_number() over (partition by slug order by pub
 u as (select slug, url, row_id, label, title, summary, published_at from k
       union all select slug, url, row_id, label, title, summary, published_at from c1 where q = 1
         and not exists (select 1 from k where k.slug = c1.slug and k.url = c1.url)),
-w as (select *, row_number() over (partition by slug order by published_at desc, row_id) as timeline_rank from u)
+w as (select *, row_number() over (partition by slug order by published_at desc, row_id) as timeline_rank from u)"""
+
+
+@query("J13_merged_timeline", f"""{MERGED_SQL}
 select slug, timeline_rank, row_id, label, title, summary from w where timeline_rank <= 10""")
 def j13(t: Inputs):
     return merged(t).select(
@@ -105,7 +107,8 @@ def merged(t: Inputs):
     return tl.merged_timeline(signals, items, discovery)
 
 
-@query("W7_merged_newest", None)
+@query("W7_merged_newest", f"""{MERGED_SQL}
+select slug, count(*) as n, max(published_at) as latest, max(timeline_rank) as last_rank from w where timeline_rank <= 10 group by slug""")
 def w7(t: Inputs):
     return merged(t).groupBy("slug").agg(
         F.count("*").alias("n"), F.max("published_at").alias("latest"), F.max("timeline_rank").alias("last_rank")
