@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import rules
 
@@ -44,7 +45,7 @@ def trim_lower(c: Column) -> Column:
     return F.lower(trim_all(F.coalesce(c, F.lit(""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
 

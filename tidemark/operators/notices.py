@@ -86,17 +86,14 @@ def without_pending(rows: DataFrame, pending: DataFrame) -> DataFrame:
 
 def watchlists(subs: DataFrame, state: DataFrame, signals: DataFrame) -> DataFrame:
     """Watched roles per email, newest subscription first, with the latest signal of each role."""
-    from tidemark.operators.ranking import ranked
-
     latest = latest_signals(signals).select("slug", F.col("latest.summary_en").alias("latest_summary"),
                                             F.col("latest.published_at").alias("latest_published_at"))
-    joined = (
+    return (
         subs.withColumn("email", trim_lower(F.col("email")))
         .join(state.drop("email"), "slug")
         .join(latest, "slug", "left")
+        .orderBy("email", F.col("created_at").desc(), "slug")
     )
-    # an email watches a handful of roles, so ranking inside it is a small sort
-    return ranked(joined, ["email"], [F.col("created_at").desc(), F.col("slug").asc()], "position")
 
 
 def _plural(n: Column) -> Column:

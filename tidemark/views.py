@@ -169,8 +169,18 @@ VIEWS = {
 _DEPENDS = {name: tuple(dict.fromkeys(re.findall(r"\{(\w+)\}", sql))) for name, sql in VIEWS.items()}
 
 
+SPREAD_BYTES = 256 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One shared table. A small file is one row group, which a single task would read and process;
+    it is spread over the cores. A table with splits for all cores is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if SPREAD_BYTES < size < cores * 32 * 1024 * 1024:
+        return df.repartition(cores)
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

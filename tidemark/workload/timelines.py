@@ -149,15 +149,13 @@ def blog_signals(t: Inputs):
 @query("I20_watchlist", """
 with l as (select *, row_number() over (partition by role_slug order by published_at desc, item_id desc) as rn
            from fx_evidence where source_type = 'BLOG')
-select lower(trim(s.email)) as email, s.slug, r.name_en, r.risk_level, r.replacement_rate, l.summary_en as latest_summary,
-   row_number() over (partition by lower(trim(s.email)) order by s.created_at desc, s.slug) as position
+select lower(trim(s.email)) as email, s.slug, r.name_en, r.risk_level, r.replacement_rate, l.summary_en as latest_summary, s.created_at
 from fx_sub s join fx_state r on s.slug = r.slug left join l on s.slug = l.role_slug and l.rn = 1""")
 def i20(t: Inputs):
     from tidemark.operators.notices import watchlists
 
     return watchlists(t.fx_sub, t.fx_state, blog_signals(t)).select(
-        "email", "slug", "name_en", "risk_level", "replacement_rate", "latest_summary",
-        F.col("position").cast("long").alias("position"),
+        "email", "slug", "name_en", "risk_level", "replacement_rate", "latest_summary", "created_at",
     )
 
 
