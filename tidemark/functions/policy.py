@@ -80,12 +80,6 @@ def policy_signal_type(source_type: Column) -> Column:
     return F.coalesce(*stated, implied)
 
 
-def bind(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns which later expressions read as plain values instead of repeating them."""
-    fields = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.inline(F.array(fields)))
-
-
 # ---- item strategy and signal policy ---------------------------------------------------------
 def item_strategy(source_class: Column, source_type: Column, kind: Column, signal: Column) -> Column:
     """Four strategies of four fields; ``kind`` and ``signal`` are NULL without a classification."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
+from tidemark.functions.bind import bind
 from tidemark.functions.text import any_term, trim_all
 
 # scheme, user info, host, port, path, query with its mark, fragment with its mark
@@ -150,67 +151,60 @@ def resolve(link: Column, base: Column) -> Column:
     )
 
 
-def path_segments(u: Column) -> Column:
-    path = F.regexp_replace(normal_path(_part(trim_all(u), 5)), "/+$", "")
-    return F.filter(F.split(path, "/"), lambda s: F.length(s) > 0)
-
-
-def _trimmed_path(u: Column) -> Column:
-    path = F.regexp_replace(normal_path(_part(trim_all(u), 5)), "/+$", "")
-    return F.when(F.length(path) == 0, F.lit("/")).otherwise(path)
-
-
-def _undated(published: Column) -> Column:
-    return published.isNull() | (F.length(published) == 0)
-
-
-def _has_segment(u: Column, names: Iterable[str]) -> Column:
-    wanted = F.array(*[F.lit(n) for n in names])
-    return F.exists(path_segments(u), lambda s: F.array_contains(wanted, F.lower(s)))
-
+# ---- page types of search hits ---------------------------------------------------------------
+def page_parts(u: Column) -> Column:
+    """Host, trimmed path and path segments of a URL; bind it, the page tests read it many times."""
+    t = trim_all(u)
+    path = F.regexp_replace(normal_path(_part(t, 5)), "/+$", "")
+    return F.when(
+        is_valid(u),
+        F.struct(
+            F.lower(_part(t, 3)).alias("host"),
+            F.filter(F.split(path, "/"), lambda s: F.length(s) > 0).alias("segments"),
+        ),
+    )
 
-def _false_if_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
 
+def with_page_types(df: DataFrame, url: Column, title: Column, published: Column) -> DataFrame:
+    """Adds ``landing``, ``evergreen``, ``reference`` and ``vertical``; all false for an invalid URL.
 
-def is_landing_page(url: Column, title: Column, published: Column) -> Column:
-    segments = path_segments(url)
-    locale_only = (F.size(segments) == 1) & F.rlike(
-        F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit("")), F.lit(r"^(?i)[a-z]{2}(-[a-z]{2})?$")
-    )
-    marketing = (
-        _undated(published)
-        & (F.size(segments) <= 1)
-        & any_term(F.lower(title), rules.MARKETING_TITLE_TERMS)
+    ``published`` is NULL or empty where the hit has no date.
+    """
+    first = bind(
+        df, _page=page_parts(url), _lower_title=F.lower(title),
+        _undated=published.isNull() | (F.length(published) == 0),
     )
-    return is_valid(url) & _false_if_null(
-        _trimmed_path(url).isin(*rules.LANDING_PATHS) | locale_only | marketing
+    segments = F.col("_page.segments")
+    names = F.transform(segments, F.lower)
+    ready = bind(
+        first, _depth=F.size(segments), _names=names, _host=F.col("_page.host"),
+        _path=F.concat(F.lit("/"), F.array_join(segments, "/")),
+        _marketing=any_term(F.col("_lower_title"), rules.MARKETING_TITLE_TERMS),
     )
+    undated, depth, title_text = F.col("_undated"), F.col("_depth"), F.col("_lower_title")
 
+    def has_segment(wanted: Iterable[str]) -> Column:
+        return F.arrays_overlap("_names", F.array(*[F.lit(w) for w in wanted]))
 
-def is_evergreen_explainer(url: Column, title: Column, published: Column) -> Column:
-    shallow = F.size(path_segments(url)) <= 1
-    timeless = any_term(F.lower(title), rules.EVERGREEN_TITLE_TERMS) & ~_has_segment(
-        url, rules.ARTICLE_SEGMENTS
+    locale_only = (depth == 1) & F.rlike(
+        F.coalesce(F.try_element_at("_names", F.lit(1)), F.lit("")), F.lit(r"^[a-z]{2}(-[a-z]{2})?$")
     )
-    return is_valid(url) & _undated(published) & _false_if_null(shallow | timeless)
-
-
-def is_occupation_reference(url: Column, title: Column, published: Column) -> Column:
-    h = full_host(url)
     known_host = F.lit(False)
     for name in rules.REFERENCE_HOSTS:
-        known_host = known_host | (h == name) | F.endswith(h, F.lit("." + name))
-    known_title = any_term(F.lower(title), rules.REFERENCE_TITLE_TERMS)
-    return is_valid(url) & _undated(published) & _false_if_null(known_title | known_host)
-
-
-def is_vendor_vertical(url: Column, title: Column, published: Column) -> Column:
-    return (
-        is_valid(url)
-        & _undated(published)
-        & _false_if_null(
-            _has_segment(url, rules.VERTICAL_SEGMENTS)
-            & any_term(F.lower(title), rules.MARKETING_TITLE_TERMS)
-        )
-    )
+        known_host = known_host | (F.col("_host") == name) | F.endswith("_host", F.lit("." + name))
+    timeless = any_term(title_text, rules.EVERGREEN_TITLE_TERMS) & ~has_segment(rules.ARTICLE_SEGMENTS)
+
+    def flag(c: Column) -> Column:
+        return F.coalesce(F.col("_page").isNotNull() & c, F.lit(False))
+
+    return ready.withColumns(
+        {
+            "landing": flag(
+                F.col("_path").isin(*rules.LANDING_PATHS) | locale_only
+                | (undated & (depth <= 1) & F.col("_marketing"))
+            ),
+            "evergreen": flag(undated & ((depth <= 1) | timeless)),
+            "reference": flag(undated & (any_term(title_text, rules.REFERENCE_TITLE_TERMS) | known_host)),
+            "vertical": flag(undated & has_segment(rules.VERTICAL_SEGMENTS) & F.col("_marketing")),
+        }
+    ).drop("_page", "_lower_title", "_undated", "_depth", "_names", "_host", "_path", "_marketing")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import policy
+from tidemark.functions.bind import bind
 from tidemark.functions.urls import is_public
 from tidemark.operators.ranking import top_k
 
@@ -43,7 +44,7 @@ def weighted_evidence(evidence: DataFrame) -> DataFrame:
     own_kind = policy.source_kind(F.col("source_type"))
     # needs no JSON, so it goes first and spares the parse
     relevant = evidence.filter((relevance != "LOW") | (own_kind == "official"))
-    typed = policy.bind(
+    typed = bind(
         policy.with_raw_fields(relevant),
         source_kind=own_kind,
         policy_signal_type=policy.policy_signal_type(F.col("source_type")),

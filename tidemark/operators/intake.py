@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import parse_timestamp
-from tidemark.functions.policy import bind, is_discovery
+from tidemark.functions.bind import bind
+from tidemark.functions.policy import is_discovery
 from tidemark.functions.text import trim_all
 from tidemark.functions.urls import canonical
 from tidemark.operators.ranking import first_per_key, last_value_first_position

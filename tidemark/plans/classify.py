@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions.hashing import item_hash
-from tidemark.functions.policy import bind, source_kind
+from tidemark.functions.bind import bind
+from tidemark.functions.policy import source_kind
 from tidemark.functions.text import fold_ascii, has_workflow_language
 from tidemark.operators.matching import hint_backed, matched_phrases
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import policy
+from tidemark.functions.bind import bind
 from tidemark.functions.hashing import item_hash
 from tidemark.functions.text import trim_all
 from tidemark.operators.ranking import top_k
@@ -31,11 +32,11 @@ def with_policy(classified: DataFrame) -> DataFrame:
     assigned = F.coalesce(
         c["assigned_slug"], F.when(F.col("mapping_mode") == "direct_mapped", F.col("source_role_slug"))
     )
-    bound = policy.bind(
+    bound = bind(
         classified, assigned_slug=assigned,
         strategy=policy.item_strategy(F.col("source_class"), F.col("source_type"), c["kind"], c["signal"]),
     )
-    return policy.bind(
+    return bind(
         bound,
         policy=policy.signal_policy(
             F.col("source_class"), F.col("source_catalog_id"), F.col("assigned_slug"),

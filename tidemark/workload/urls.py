@@ -79,13 +79,8 @@ select hit_id,
   undated and list_has_any(list_transform(seg, lambda s: lower(s)), ['industry','industries']) and marketing as vertical
 from f""")
 def p31(t: Inputs):
-    u, ti, p = F.col("url"), F.col("title"), F.col("published")
-    return t.fx_hit.select(
-        "hit_id", urls.is_landing_page(u, ti, p).alias("landing"),
-        urls.is_evergreen_explainer(u, ti, p).alias("evergreen"),
-        urls.is_occupation_reference(u, ti, p).alias("reference"),
-        urls.is_vendor_vertical(u, ti, p).alias("vertical"),
-    )
+    typed = urls.with_page_types(t.fx_hit, F.col("url"), F.col("title"), F.col("published"))
+    return typed.select("hit_id", "landing", "evergreen", "reference", "vertical")
 
 
 KEYED = f"keyed as (select *, {CANON} as key from (select *, source_url as u from fx_fetch))"
