@@ -14,6 +14,7 @@ from tidemark.functions.bind import bind
 from tidemark.functions.policy import source_kind
 from tidemark.functions.text import fold_ascii, has_workflow_language
 from tidemark.operators.matching import hint_backed, matched_phrases
+from tidemark.session import cut_lineage
 
 CLASSIFICATION = (
     "assigned_slug", "kind", "signal", "relevance", "impact", "explanation", "summary_en", "summary_zh",
@@ -31,7 +32,6 @@ ALLOWED = {
     "impactDirection": ("increase", "decrease", "neutral"),
     "signalWeight": ("primary", "secondary", "supporting"),
 }
-MODEL_SCHEMA = "item_id {id}, result string, provider string, model string, error string"
 
 
 # ---- context ---------------------------------------------------------------------------------
@@ -219,23 +219,19 @@ def classify(
             of_stored(F.col("source_type"), c),
         ),
     )
-    settled = items.withColumn(
-        "c",
-        F.when(
-            no_candidates,
-            _unmatched(source_kind(F.col("source_type")), F.lit(texts["no_candidate"][0]), F.lit(texts["no_candidate"][1]), none, none, none),
-        ).otherwise(from_cache),
+    unmatched = _unmatched(
+        source_kind(F.col("source_type")), F.lit(texts["no_candidate"][0]), F.lit(texts["no_candidate"][1]), none, none, none
     )
-    known = settled.filter(F.col("c").isNotNull()).withColumn(
-        "route", F.when(no_candidates, "no_candidate").otherwise("cache")
-    )
-    open_rows = settled.filter(F.col("c").isNull()).drop("c")
-    asked = run_model(
+    settled = bind(items, c=F.when(no_candidates, unmatched).otherwise(from_cache))
+    open_rows = settled.filter(F.col("c").isNull())
+    # answers are paid for: kept in the shared folder, so nothing asks the model twice
+    asked = cut_lineage(run_model(
         open_rows, model, "item_id", ["item_id", "source_type", "title", "summary", "hints", "candidate_slugs"]
-    ).select(
+    )).select(
         "item_id", valid_result(F.col("result")).alias("_r"), F.col("provider").alias("_provider"),
         F.col("model").alias("_model"),
         F.coalesce("error", F.when(valid_result(F.col("result")).isNull(), "invalid model output")).alias("_error"),
+        F.lit(True).alias("_asked"),
     )
     r, top = F.col("_r"), F.col("top")
     promoted = promotes_top(workflow, aliased)
@@ -259,22 +255,19 @@ def classify(
         .withField("summary_zh", F.lit(texts["error_promoted"][1]))
     )
     inside = F.array_contains("candidate_slugs", r["assignedRoleSlug"])
-    answered = (
-        open_rows.join(asked, "item_id")
-        .withColumn("_promoted", promoted)
-        .withColumn(
-            "c",
-            F.when(F.col("_error").isNotNull(), F.when(F.col("_promoted"), failed_lifted).otherwise(failure))
-            .when(r["assignedRoleSlug"].isNull(), F.when(F.col("_promoted"), lifted).otherwise(generated))
-            .when(inside, generated)
-            .otherwise(outside),
-        )
-        .withColumn(
-            "route",
-            F.when(F.col("_error").isNotNull(), "error")
-            .when(r["assignedRoleSlug"].isNull(), F.when(F.col("_promoted"), "promoted").otherwise("unassigned"))
-            .when(inside, "model").otherwise("outside"),
-        )
-        .drop("_r", "_provider", "_model", "_error", "_promoted")
+    by_model = (
+        F.when(F.col("_error").isNotNull(), F.when(F.col("_promoted"), failed_lifted).otherwise(failure))
+        .when(r["assignedRoleSlug"].isNull(), F.when(F.col("_promoted"), lifted).otherwise(generated))
+        .when(inside, generated)
+        .otherwise(outside)
+    )
+    route = (
+        F.when(no_candidates, "no_candidate").when(F.col("_asked").isNull(), "cache")
+        .when(F.col("_error").isNotNull(), "error")
+        .when(r["assignedRoleSlug"].isNull(), F.when(F.col("_promoted"), "promoted").otherwise("unassigned"))
+        .when(inside, "model").otherwise("outside")
+    )
+    joined = bind(settled.join(asked, "item_id", "left"), _promoted=promoted)
+    return joined.withColumns({"c": F.coalesce("c", by_model), "route": route}).drop(
+        "_r", "_provider", "_model", "_error", "_promoted", "_asked"
     )
-    return known.unionByName(answered.select(known.columns))
