@@ -118,6 +118,10 @@ def canonical(u: Column) -> Column:
     return F.when(is_valid(t), _assemble(t, host(t), cleaned)).otherwise(u)
 
 
+def path_of(u: Column) -> Column:
+    return _part(trim_all(u), 5)
+
+
 def query_value(u: Column, key: str) -> Column:
     """Decoded value of one query parameter, NULL where absent."""
     raw = F.regexp_extract(_part(u, 6), rf"[?&]{key}=([^&]*)", 1)

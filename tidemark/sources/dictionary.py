@@ -14,22 +14,28 @@ BROADCAST_ROWS = 100_000
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
-    """Names of a one-column file in file order, header and blank lines dropped."""
-    # one file, one line per role; commas inside a name are part of it
-    lines = spark.read.option("wholetext", "true").text(path)
-    split = lines.select(F.posexplode(F.split("value", r"\r?\n")).alias("position", "line"))
-    named = split.select("position", trim_all(F.col("line")).alias("line")).filter(F.length("line") > 0)
-    quoted = F.startswith("line", F.lit('"')) & F.endswith("line", F.lit('"')) & (F.length("line") > 1)
-    inner = F.expr("substring(line, 2, length(line) - 2)")
-    name = F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(F.col("line"))
-    header = named.agg(F.min("position").alias("header"))
-    return (
-        named.join(F.broadcast(header))
-        .filter(F.col("position") > F.col("header"))
-        .select("position", name.alias("name_en"))
+    """Names of one-column files in file order, header and blank lines dropped.
+
+    Commas inside a name are part of it. Order columns: ``file``, ``block``, ``line``.
+    """
+    lines = spark.read.text(path).select(
+        trim_all(F.col("value")).alias("text"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+    ).filter(F.length("text") > 0)
+    headers = lines.groupBy("file").agg(F.min(F.struct("block", "line")).alias("_h")).select(
+        "file", F.col("_h.block").alias("block"), F.col("_h.line").alias("line")
+    )
+    quoted = F.startswith("text", F.lit('"')) & F.endswith("text", F.lit('"')) & (F.length("text") > 1)
+    inner = F.expr("substring(text, 2, length(text) - 2)")
+    name = F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(F.col("text"))
+    return lines.join(headers, ["file", "block", "line"], "left_anti").select(
+        "file", "block", "line", name.alias("name_en")
     )
 
 
+FILE_ORDER = ("file", "block", "line")
+
+
 def translated(roles: DataFrame, translations: DataFrame) -> DataFrame:
     """Chinese name by exact English name, the English one where none is known."""
     side = translations.select("name_en", F.col("name_zh").alias("_zh"))
@@ -42,9 +48,11 @@ def translated(roles: DataFrame, translations: DataFrame) -> DataFrame:
     )
 
 
-def source_codes(names: DataFrame, code_of_name: dict[str, str] | None = None) -> DataFrame:
+def source_codes(
+    names: DataFrame, code_of_name: dict[str, str] | None = None, order: tuple[str, ...] = FILE_ORDER
+) -> DataFrame:
     """``csv-role-{n}`` by file order; a name with an own code keeps that."""
-    numbered = global_positions(names, [F.col("position").asc()], "ordinal")
+    numbered = global_positions(names, [F.col(c).asc() for c in order], "ordinal")
     code = F.concat(F.lit("csv-role-"), F.col("ordinal").cast("string"))
     for name, own in (code_of_name or {}).items():
         code = F.when(F.col("name_en") == name, own).otherwise(code)

@@ -475,7 +475,7 @@ select p_partkey, case when p_name = 'red plate' then 'own-1' else concat('csv-r
 from part""")
 def x3(t: Inputs):
     names = t.part.select(F.col("p_partkey").alias("position"), F.col("p_name").alias("name_en"))
-    coded = source_codes(names, {"red plate": "own-1"})
+    coded = source_codes(names, {"red plate": "own-1"}, ("position",))
     return coded.select(F.col("position").alias("p_partkey"), "source_code")
 
 
