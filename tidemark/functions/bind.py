@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,8 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     """
     fields = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select("*", F.inline(F.array(fields)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression which reads ``value`` many times but computes it once; for use inside lambdas."""
+    return F.transform(F.array(value), body)[0]

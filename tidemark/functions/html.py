@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark import rules
+from tidemark.functions.bind import let
 from tidemark.functions.text import SPACE, ascii_bounds, collapse_space, term_pattern, trim_all
 
 # entity, character; applied in this order
@@ -37,7 +38,7 @@ def strip(c: Column) -> Column:
 
 
 def non_empty(c: Column) -> Column:
-    return F.when(F.length(c) > 0, c)
+    return let(c, lambda v: F.when(F.length(v) > 0, v))
 
 
 def _extract(fragment: Column, pattern: str, group: int = 1) -> Column:
@@ -72,8 +73,7 @@ def all_bodies(fragment: Column, tags: Iterable[str]) -> Column:
 
 
 def anchor_title(fragment: Column, headings: Iterable[str] = ("h1", "h2", "h3")) -> Column:
-    body = _extract(fragment, ANCHOR)
-    return F.coalesce(first_body(body, headings), strip(body))
+    return let(_extract(fragment, ANCHOR), lambda body: F.coalesce(first_body(body, headings), strip(body)))
 
 
 def date_text(fragment: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
-from tidemark.functions.bind import bind
+from tidemark.functions.bind import bind, let
 from tidemark.functions.text import any_term, trim_all
 
 # scheme, user info, host, port, path, query with its mark, fragment with its mark
@@ -24,8 +24,17 @@ TRACKING_QUERY_PATTERN = _TRACKING_KEY
 URL_PATTERN = _URL
 
 
-def _part(u: Column, n: int) -> Column:
-    return F.regexp_extract(u, _URL, n)
+_SPLIT = "\x1f"
+
+
+def _parts(u: Column) -> Column:
+    """Scheme, user, host, port, path, query, fragment as an array of seven; one element if invalid."""
+    marked = F.regexp_replace(trim_all(u), _URL, _SPLIT.join(f"${i}" for i in range(1, 8)))
+    return F.split(marked, _SPLIT)
+
+
+def _is_whole(p: Column) -> Column:
+    return F.size(p) == 7
 
 
 def is_valid(u: Column) -> Column:
@@ -34,7 +43,7 @@ def is_valid(u: Column) -> Column:
 
 def full_host(u: Column) -> Column:
     """Lower-case host, NULL where the text is no absolute URL."""
-    return F.nullif(F.lower(_part(trim_all(u), 3)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(trim_all(u), _URL, 3)), F.lit(""))
 
 
 def _bare_host(u: Column) -> Column:
@@ -80,93 +89,95 @@ def normal_path(path: Column) -> Column:
     )
 
 
-def _assemble(u: Column, host_text: Column, query: Column) -> Column:
-    scheme = F.lower(_part(u, 1))
-    user = _part(u, 2)
-    port = _part(u, 4)
+def _assemble(p: Column, host_text: Column, query: Column) -> Column:
+    scheme, port = F.lower(p[0]), p[3]
     default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     return F.concat(
         scheme,
         F.lit("://"),
-        F.when(F.length(user) > 0, F.concat(user, F.lit("@"))).otherwise(""),
+        F.when(F.length(p[1]) > 0, F.concat(p[1], F.lit("@"))).otherwise(""),
         host_text,
         F.when((F.length(port) > 0) & ~default_port, F.concat(F.lit(":"), port)).otherwise(""),
-        normal_path(_part(u, 5)),
+        let(p[4], normal_path),
         F.replace(query, F.lit(" "), F.lit("%20")),
-        F.replace(_part(u, 7), F.lit(" "), F.lit("%20")),
+        F.replace(p[6], F.lit(" "), F.lit("%20")),
     )
 
 
 def printed(u: Column) -> Column:
     """An absolute URL as parsers print it back, NULL where invalid."""
-    t = trim_all(u)
-    return F.when(is_valid(t), _assemble(t, F.lower(_part(t, 3)), _part(t, 6)))
+    return let(_parts(u), lambda p: F.when(_is_whole(p), _assemble(p, F.lower(p[2]), p[5])))
+
+
+def _without_tracking(query: Column) -> Column:
+    def rebuilt(pairs: Column) -> Column:
+        kept = F.filter(pairs, lambda q: ~F.rlike(q, F.lit(_TRACKING_KEY)))
+        parts = F.array_join(F.filter(kept, lambda q: F.length(q) > 0), "&")
+        marked = F.when(F.length(parts) > 0, F.concat(F.lit("?"), parts)).otherwise("")
+        return F.when(F.size(kept) == F.size(pairs), query).otherwise(marked)
+
+    return let(F.split(F.substring(query, 2, 2_000_000_000), "&"), rebuilt)
 
 
 def canonical(u: Column) -> Column:
     """Key form: no ``www.``, no tracking parameters; text which is no URL stays as it is."""
-    t = trim_all(u)
-    query = _part(t, 6)
-    pairs = F.split(F.substring(query, 2, 2_000_000_000), "&")
-    kept = F.filter(pairs, lambda p: ~F.rlike(p, F.lit(_TRACKING_KEY)))
-    rebuilt = F.filter(kept, lambda p: F.length(p) > 0)
-    cleaned = (
-        F.when(F.size(kept) == F.size(pairs), query)
-        .when(F.size(rebuilt) == 0, F.lit(""))
-        .otherwise(F.concat(F.lit("?"), F.array_join(rebuilt, "&")))
-    )
-    return F.when(is_valid(t), _assemble(t, host(t), cleaned)).otherwise(u)
+
+    def of_parts(p: Column) -> Column:
+        bare = F.regexp_replace(F.lower(p[2]), r"^www\.", "")
+        return F.when(_is_whole(p), _assemble(p, bare, _without_tracking(p[5])))
+
+    return F.coalesce(let(_parts(u), of_parts), u)
 
 
 def path_of(u: Column) -> Column:
-    return _part(trim_all(u), 5)
+    return F.regexp_extract(trim_all(u), _URL, 5)
 
 
 def query_value(u: Column, key: str) -> Column:
     """Decoded value of one query parameter, NULL where absent."""
-    raw = F.regexp_extract(_part(u, 6), rf"[?&]{key}=([^&]*)", 1)
+    raw = F.regexp_extract(F.regexp_extract(trim_all(u), _URL, 6), rf"[?&]{key}=([^&]*)", 1)
     return F.when(F.length(raw) > 0, F.try_url_decode(raw))
 
 
 def resolve(link: Column, base: Column) -> Column:
     """A link against the page it stands on, NULL where neither gives an absolute URL."""
-    t = trim_all(link)
-    b = trim_all(base)
-    origin = F.concat(
-        F.lower(_part(b, 1)), F.lit("://"), F.lower(_part(b, 3)),
-        F.when(F.length(_part(b, 4)) > 0, F.concat(F.lit(":"), _part(b, 4))).otherwise(""),
-    )
-    base_path = normal_path(_part(b, 5))
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    joined = (
-        F.when(F.length(t) == 0, F.concat(origin, base_path, _part(b, 6)))
-        .when(F.startswith(t, F.lit("//")), F.concat(F.lower(_part(b, 1)), F.lit(":"), t))
-        .when(F.startswith(t, F.lit("/")), F.concat(origin, t))
-        .when(F.startswith(t, F.lit("?")), F.concat(origin, base_path, t))
-        .when(F.startswith(t, F.lit("#")), F.concat(origin, base_path, _part(b, 6), t))
-        .otherwise(F.concat(origin, folder, t))
-    )
-    has_scheme = F.rlike(t, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"))
-    hierarchical = F.rlike(t, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"))
-    return (
-        F.when(hierarchical, printed(t))
-        .when(has_scheme, t)
-        .when(is_valid(b), printed(joined))
-    )
+
+    def on_base(t: Column, p: Column) -> Column:
+        scheme = F.lower(p[0])
+        origin = F.concat(
+            scheme, F.lit("://"), F.lower(p[2]),
+            F.when(F.length(p[3]) > 0, F.concat(F.lit(":"), p[3])).otherwise(""),
+        )
+        base_path = normal_path(p[4])
+        return printed(
+            F.when(F.length(t) == 0, F.concat(origin, base_path, p[5]))
+            .when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t))
+            .when(F.startswith(t, F.lit("/")), F.concat(origin, t))
+            .when(F.startswith(t, F.lit("?")), F.concat(origin, base_path, t))
+            .when(F.startswith(t, F.lit("#")), F.concat(origin, base_path, p[5], t))
+            .otherwise(F.concat(origin, F.regexp_replace(base_path, "[^/]*$", ""), t))
+        )
+
+    def of_text(t: Column) -> Column:
+        scheme = F.regexp_extract(t, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:(?://)?", 0)
+        return (
+            F.when(F.endswith(scheme, F.lit("://")), printed(t))
+            .when(F.length(scheme) > 0, t)
+            .otherwise(let(_parts(base), lambda p: F.when(_is_whole(p), on_base(t, p))))
+        )
+
+    return let(trim_all(link), of_text)
 
 
 # ---- page types of search hits ---------------------------------------------------------------
 def page_parts(u: Column) -> Column:
-    """Host, trimmed path and path segments of a URL; bind it, the page tests read it many times."""
-    t = trim_all(u)
-    path = F.regexp_replace(normal_path(_part(t, 5)), "/+$", "")
-    return F.when(
-        is_valid(u),
-        F.struct(
-            F.lower(_part(t, 3)).alias("host"),
-            F.filter(F.split(path, "/"), lambda s: F.length(s) > 0).alias("segments"),
-        ),
-    )
+    """Host and path segments of a URL, NULL if invalid; bind it, the page tests read it often."""
+
+    def of_parts(p: Column) -> Column:
+        segments = F.filter(F.split(normal_path(p[4]), "/"), lambda s: F.length(s) > 0)
+        return F.when(_is_whole(p), F.struct(F.lower(p[2]).alias("host"), segments.alias("segments")))
+
+    return let(_parts(u), of_parts)
 
 
 def with_page_types(df: DataFrame, url: Column, title: Column, published: Column) -> DataFrame:
