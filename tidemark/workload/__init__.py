@@ -5,15 +5,13 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "rates", "text", "urls", "extraction", "evidence", "catalogue", "timelines", "matching",
-    "state", "notices", "discovery", "jobs", "streams",
+    "rates", "text", "urls", "extraction", "evidence", "catalogue", "timelines", "matching", "state",
+    "notices", "discovery", "jobs", "streams",
 )
 
 
 def load() -> dict:
-    from importlib.util import find_spec
     for name in MODULES:
-        if find_spec(f"tidemark.workload.{name}") is None: continue
         importlib.import_module(f"tidemark.workload.{name}")
     from tidemark.workload.registry import REGISTRY
 
