@@ -148,13 +148,14 @@ def run_totals(items: DataFrame, sources: DataFrame) -> DataFrame:
         F.count("*").alias("fetched"), F.count_if(observed).alias("observed"),
         F.count_if(observed).alias("queued"), F.count_if(~observed).alias("persisted"),
     )
-    attempts = sources.agg(F.count("*").alias("attempted"), F.count_if("failed").alias("failed"))
+    attempted = sources.agg(F.count("*")).scalar()
+    failed = sources.agg(F.count_if("failed")).scalar()
+    totals = counted.select("*", attempted.alias("attempted"), failed.alias("failed"))
     complaint = F.concat(
         F.lit("All attempted source fetches failed ("), F.col("failed").cast("string"), F.lit("/"),
         F.col("attempted").cast("string"), F.lit(")"),
     )
     all_failed = (F.col("attempted") > 0) & (F.col("failed") == F.col("attempted"))
-    # two one-row frames
-    return counted.join(F.broadcast(attempts)).withColumn(
+    return totals.withColumn(
         "failed", F.when(all_failed, F.raise_error(complaint).cast("long")).otherwise(F.col("failed"))
     )

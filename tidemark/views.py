@@ -54,7 +54,8 @@ VIEWS = {
     # classified evidence with its decision
     "fx_evidence": """
         select concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),
-                         cast(l_partkey as string), cast(l_suppkey as string)) as item_id,
+                         cast(l_partkey as string), cast(l_suppkey as string),
+                         cast(cast(floor(l_extendedprice * 100 + 0.5) as bigint) as string)) as item_id,
                concat('r', cast(l_partkey as string)) as role_slug,
                case l_suppkey % 4 when 0 then 'COMPANY_UPDATE' when 1 then 'BLOG'
                     when 2 then 'NEWS' else 'JOB_POSTING' end as source_type,
@@ -159,7 +160,8 @@ VIEWS = {
                     else cast(cast(l_shipdate as date) as string) end as published,
                l_linenumber as rank,
                concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),
-                         cast(l_partkey as string), cast(l_suppkey as string)) as hit_id
+                         cast(l_partkey as string), cast(l_suppkey as string),
+                         cast(cast(floor(l_extendedprice * 100 + 0.5) as bigint) as string)) as hit_id
         from {lineitem} join {part} on l_partkey = p_partkey""",
     # request log
     "fx_auth_event": """

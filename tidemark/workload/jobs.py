@@ -297,3 +297,19 @@ def i24(t: Inputs):
         F.when(clamp_rate(rate) >= 55, "high").otherwise("low").alias("risk_band"),
     )
     return regression.score_report(cases, scores).select("id", "in_range", "band_ok")
+
+
+@query("U1_injected_scorer", f"""
+select case when name_en like 'old%' then 'role-profile' else 's1' end as risk_model, count(*) as roles from fx_state
+group by 1""")
+def u1(t: Inputs):
+    # few evidence rows per role keep every score in range
+    few = t.fx_evidence.filter((F.col("source_type") == "COMPANY_UPDATE") & (F.col("impact") == "DECREASE"))
+    out = refresh.refresh_scores(state_with_cache(t), few, stub_scorer, NOW)
+    return out.groupBy("risk_model").agg(F.count("*").alias("roles"))
+
+
+@query("U2_injected_classifier", f"with {ROUTED} select route, count(*) as items from cls group by route")
+def u2(t: Inputs):
+    routed = cl.classify(probed(t), stub_model, workflow=FX_WORKFLOW)
+    return routed.groupBy("route").agg(F.count("*").alias("items"))

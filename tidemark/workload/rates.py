@@ -110,8 +110,5 @@ select slug, greatest(8.0, replacement_rate::double / greatest(m::double, 1.0) *
 from fx_state, m where replacement_rate is not null""")
 def p38(t: Inputs):
     rated = t.fx_state.filter(F.col("replacement_rate").isNotNull()).select("slug", "replacement_rate")
-    largest = rated.agg(F.max("replacement_rate").alias("largest"))
-    # one row: a map-side combined maximum, joined back without moving the rated rows
-    return rated.join(F.broadcast(largest)).select(
-        "slug", rates.bar_share(F.col("replacement_rate"), F.col("largest")).alias("share")
-    )
+    largest = rated.agg(F.max("replacement_rate")).scalar()
+    return rated.select("slug", rates.bar_share(F.col("replacement_rate"), largest).alias("share"))
