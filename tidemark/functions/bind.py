@@ -18,6 +18,15 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(fields)))
 
 
+def unfold(df: DataFrame, items: Column, *keep: str) -> DataFrame:
+    """One row per struct of an array, next to the columns to keep.
+
+    The array is bound first: the optimizer tests a generator's input for emptiness below it, which
+    would compute the array twice.
+    """
+    return bind(df, _unfolded=items).select(*keep, F.inline("_unfolded"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """An expression which reads ``value`` many times but computes it once; for use inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -47,13 +47,14 @@ def _extract(fragment: Column, pattern: str, group: int = 1) -> Column:
 
 
 def attribute(fragment: Column, tag: str, name: str) -> Column:
+    """Trimmed attribute value, empty where there is none."""
     pattern = rf"(?i)<{tag}\b[^>]*{name}=[\"']([^\"']+)[\"'][^>]*>"
-    return trim_all(_extract(fragment, pattern))
+    return trim_all(F.regexp_extract(fragment, pattern, 1))
 
 
 def any_attribute(fragment: Column, names: Iterable[str]) -> Column:
     return F.coalesce(
-        *[non_empty(trim_all(_extract(fragment, rf"(?i)<[^>]+{n}=[\"']([^\"']+)[\"'][^>]*>"))) for n in names]
+        *[non_empty(trim_all(F.regexp_extract(fragment, rf"(?i)<[^>]+{n}=[\"']([^\"']+)[\"'][^>]*>", 1))) for n in names]
     )
 
 
@@ -77,7 +78,7 @@ def anchor_title(fragment: Column, headings: Iterable[str] = ("h1", "h2", "h3"))
 
 
 def date_text(fragment: Column) -> Column:
-    return _extract(fragment, DATE_TEXT)
+    return non_empty(F.regexp_extract(fragment, DATE_TEXT, 1))
 
 
 def published_text(fragment: Column) -> Column:

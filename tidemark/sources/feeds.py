@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
+from tidemark.functions.bind import unfold
 from tidemark.functions.html import decode, drop_tags
 from tidemark.functions.text import collapse_space, trim_all
 
@@ -56,7 +57,7 @@ def feed_items(feeds: DataFrame, max_items: int = rules.FEED_ITEMS) -> DataFrame
         lambda i: (F.length(i["source_url"]) > 0) & (F.length(i["title"]) > 0) & (F.length(i["published"]) > 0),
     )
     others = [c for c in feeds.columns if c not in ("xml", "transport")]
-    return feeds.select(*others, F.inline(F.slice(kept, 1, max_items)))
+    return unfold(feeds, F.slice(kept, 1, max_items), *others)
 
 
 SEARCH_SCHEMA = (

@@ -46,7 +46,7 @@ def candidates(t: Inputs):
 
 @query("J5_phrase_match", f"with {SCORES} select item_id, slug, score, cast(matched as bigint) as matched from sc")
 def j5(t: Inputs):
-    return mt.candidate_scores(t.fx_item, lex(t)).select(
+    return mt.role_scores(t.fx_item, lex(t)).select(
         "item_id", "slug", "score", F.col("matched").cast("long").alias("matched")
     )
 
@@ -54,7 +54,7 @@ def j5(t: Inputs):
 @query("A11_keyword_score", f"""
 with {SCORES} select item_id, count(*) as roles, sum(score) as total, max(score) as best from sc group by item_id""")
 def a11(t: Inputs):
-    return mt.candidate_scores(t.fx_item, lex(t)).groupBy("item_id").agg(
+    return mt.role_scores(t.fx_item, lex(t)).groupBy("item_id").agg(
         F.count("*").alias("roles"), F.sum("score").alias("total"), F.max("score").alias("best")
     )
 
