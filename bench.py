@@ -12,7 +12,7 @@ from tidemark.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 HEADLINE = (
     "I7_evidence_top8", "W8_evidence_pool", "A1_coverage_counts", "W6_newest_per_role", "J11_items_since_boundary",
     "A2_trend_buckets", "J1_dictionary_with_state", "W3_home_ranking", "W5_related_top_k", "I18_topic_pages",

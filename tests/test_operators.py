@@ -152,6 +152,21 @@ def test_candidate_scores_by_every_route(spark, limits):
     assert got == _brute_scores(items, roles)
 
 
+def test_best_candidates_with_shared_phrase_sets(spark):
+    """Roles with one phrase set share a search; the cut and its tie order must not notice."""
+    items = [(1, "NEWS", "ring and bolt", "a plate", ""), (2, "NEWS", "plate", "nothing", "")]
+    words = [["ring"], ["bolt", "plate"], ["plate"]]
+    roles = {f"r{(i * 7) % 30:02d}": words[i % 3] for i in range(30)}
+    df = spark.createDataFrame(items, "item_id int, source_type string, title string, summary string, hint_text string")
+    lex = mt.lexicon(spark.createDataFrame(list(roles.items()), "slug string, keywords array<string>"))
+    rows = mt.select_candidates(df, lex, keep=12).collect()
+    brute = _brute_scores([(i, t, s, h) for i, _, t, s, h in items], roles)
+    for item in (1, 2):
+        want = sorted(((-score, slug) for (i, slug), (score, _) in brute.items() if i == item))[:12]
+        got = [(-r.score, r.slug) for r in sorted(rows, key=lambda r: r.candidate_rank) if r.item_id == item]
+        assert got == want
+
+
 def test_upsert_twice_is_upsert_once(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, n string")
     new = spark.createDataFrame([(2, "c", None), (3, "d", None)], "k int, v string, n string")

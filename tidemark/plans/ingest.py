@@ -13,6 +13,7 @@ from tidemark.functions.bind import bind
 from tidemark.functions.hashing import item_hash
 from tidemark.functions.text import trim_all
 from tidemark.operators.ranking import top_k
+from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,8 @@ def with_policy(classified: DataFrame) -> DataFrame:
 
 def persist_rows(classified: DataFrame, state: DataFrame) -> Persisted:
     """The rows of the four tables; upserting them is the caller's next step."""
-    rows = with_policy(classified)
+    # four tables are written from these rows, which cost matching and model calls
+    rows = cut_lineage(with_policy(classified))
     c, s, p = F.col("c"), F.col("strategy"), F.col("policy")
     by_model = c["provider"].isNotNull() & c["model"].isNotNull()
     model_name = F.concat_ws(":", c["provider"], c["model"])

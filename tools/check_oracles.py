@@ -56,6 +56,10 @@ def main() -> int:
             df = entry.run(spark, args.sf)
             got = [tuple(r) for r in df.collect()]
             took = time.time() - t0
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            for join in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+                if join in plan:
+                    print(f"PLAN  {name} has {join}")
             if entry.sql is None:
                 print(f"rows  {name} n={len(got)} {took:.2f}s")
                 continue
