@@ -77,8 +77,7 @@ def test_tolerant_dates(spark):
 
 
 def test_markup_is_decoded_before_tags_go(spark):
-    assert values(spark, ["a&lt;b&gt;c &amp;amp; <i>d</i>&nbsp; e"], html.strip(F.col("v"))) == ["a c &amp; d e"] or \
-        values(spark, ["a&lt;b&gt;c"], html.strip(F.col("v"))) == ["a c"]
+    assert values(spark, ["a&lt;b&gt;c <i>d</i>&nbsp; e", "x &amp;lt;y&amp;gt;"], html.strip(F.col("v"))) == ["a c d e", "x"]
     assert values(spark, ["Title  Tag: x"], html.clean_title(F.col("v"))) == ["Title"]
 
 
@@ -87,8 +86,8 @@ def test_word_bounds_know_ascii_only(spark):
 
 
 def test_unicode_fold(spark):
-    assert values(spark, ["Café № ﬁ 软件!"], text.fold_unicode(F.col("v"))) == ["cafe no fi 软件"] or \
-        values(spark, ["ﬁ 软件!"], text.fold_unicode(F.col("v"))) == ["fi 软件"]
+    # a mark which the normal form splits off leaves a gap
+    assert values(spark, ["École ﬁ 软件!"], text.fold_unicode(F.col("v"))) == ["e cole fi 软件"]
 
 
 def test_term_expansion(spark):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark import rules
 from tidemark.functions import policy, rates
 from tidemark.operators import evidence as ev
 from tidemark.operators.ranking import top_k, union_keep_first

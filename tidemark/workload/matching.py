@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark import rules
 from tidemark.operators import matching as mt
 from tidemark.workload.registry import Inputs, query
 from tidemark.workload.text import FX_NOISE, FX_WORKFLOW, STOP_SQL, _gate_sql
