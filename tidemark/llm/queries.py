@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import secrets, sharding
+from tidemark.llm import secrets, sentencepiece_bpe, sharding, simhash
 from tidemark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return sharding.shard_rows(docs, "doc_id", "text", [1.0] * 8, [1.0] * 9)
+
+
+@query("op6_simhash_components")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = simhash.near_duplicates(docs, "doc_id", "text")
+    return found.select("doc_id", simhash.as_hex(found["fp"]).alias("fingerprint"), "component_id")
+
+
+@query("op7_sentencepiece_ids")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return sentencepiece_bpe.token_digests(docs, "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
