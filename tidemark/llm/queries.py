@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import secrets, sentencepiece_bpe, sharding, simhash
+from tidemark.llm import decontaminate, langid, licences, secrets, sentencepiece_bpe, sharding, simhash
 from tidemark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_licence_digests", r"""
+WITH known AS (SELECT * FROM (VALUES {known}) AS k(licence, notice)),
+d AS (SELECT doc_id, {lines} AS lines FROM documents),
+units AS (SELECT doc_id, 'notice' AS unit, unnest(lines) AS canonical FROM d
+          UNION ALL SELECT doc_id, 'text', array_to_string(list_filter(lines, lambda x: x <> ''), ' ') FROM d)
+SELECT doc_id, unit, licence, count(*) AS n
+FROM units JOIN known ON canonical = notice GROUP BY ALL""".format(
+    known=", ".join(f"('{i}', '{t}')" for i, t in licences.canonical_notices()), lines=licences.duckdb_lines("text")))
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return licences.matches(docs, "doc_id", "text", licences.catalogue(spark))
+
+
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
@@ -47,3 +60,33 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return sentencepiece_bpe.token_digests(docs, "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    net = langid.train(langid.sample(docs, "doc_id", "text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), "text", net)
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_spaced_seed_overlaps", r"""
+WITH masks(n, places) AS (VALUES (0, [0, 4, 5, 6, 8, 10]), (1, [0, 1, 2, 3, 5, 10]), (2, [0, 2, 6, 8, 9, 10])),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS h
+      FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS b
+      FROM benchmark),
+dw AS (SELECT doc_id, h, unnest(range(len(h) - 10)) AS pos FROM d WHERE len(h) >= 11),
+bw AS (SELECT item_id, b, unnest(range(len(b) - 10)) AS jb FROM b WHERE len(b) >= 13),
+ds AS (SELECT doc_id, h, pos, n, array_to_string([h[pos + p + 1] FOR p IN places], ' ') AS key FROM dw, masks),
+bs AS (SELECT item_id, b, jb, n, array_to_string([b[jb + p + 1] FOR p IN places], ' ') AS key FROM bw, masks),
+hit AS (SELECT doc_id, item_id, h, b, pos, jb FROM ds JOIN bs USING (n, key))
+SELECT doc_id, item_id, count(*) AS hits, min(pos) AS first_token
+FROM hit
+WHERE len([lo FOR lo IN [-2, -1, 0] IF pos + lo >= 0 AND jb + lo >= 0 AND pos + lo + 13 <= len(h)
+           AND jb + lo + 13 <= len(b)
+           AND len([i FOR i IN range(13) IF h[pos + lo + i + 1] = b[jb + lo + i + 1]]) >= 11]) > 0
+GROUP BY ALL""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.contaminated(docs, "doc_id", "text", items, "item_id", "text")
