@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, licences, secrets, sentencepiece_bpe, sharding, simhash
-from tidemark.llm.common import read
+from tidemark.llm import (
+    decontaminate, langid, licences, nearest, pagetext, secrets, sentencepiece_bpe, sharding, simhash, tokencounts,
+)
+from tidemark.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,3 +93,27 @@ GROUP BY ALL""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+
+
+@query("op8_projected_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+
+
+@query("op5_page_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", "html")
+
+
+#: What the token count query edits: addresses and long numbers are masked, line breaks become blank lines.
+EDITED = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+|[0-9]{4,}|\n+"
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.found(text_or_empty(), 0, "edit", EDITED, 0, 1)
+    edits = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(
+        s["value"].startswith("\n"), F.lit("\n\n")).otherwise("<mask>").alias("new")))
+    return tokencounts.count_edited(docs.withColumn("edits", edits), "doc_id", "text", "edits",
+                                    public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

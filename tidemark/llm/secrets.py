@@ -31,7 +31,7 @@ REDACT_ROWS = 50_000
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
 
-def _found(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
+def found(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Matches as (start, rank, end, kind, value), leftmost and non-overlapping, in code points.
 
     Splitting at the matches gives what lies between them, so the offsets are running sums of lengths.
@@ -61,7 +61,7 @@ def _found(text: Column, rank: int, kind: str, pattern: str, group: int, least:
 def spans(text: Column) -> Column:
     """All candidate spans of a text by start, then kind as listed, then end."""
     kinds = [*BASE_KINDS, *MORE_KINDS]
-    return F.array_sort(F.concat(*[_found(text, i, *k) for i, k in enumerate(kinds)]))
+    return F.array_sort(F.concat(*[found(text, i, *k) for i, k in enumerate(kinds)]))
 
 
 def _listed(of: Column) -> Column:
