@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.common import id_text
 
@@ -209,13 +210,13 @@ def sample(docs: DataFrame, key: str, text: str, label: str) -> list[tuple[str,
     return sorted((r["_t"], r["_l"]) for r in rows)
 
 
-def predict(docs: DataFrame, text: str, net: Network | None) -> DataFrame:
-    """All columns and ``lang_pred``, ``score`` of every row.
+def predict(docs: DataFrame, text: str, net: Network | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns, and the predicted language and its score under the given (new) names, of every row.
 
     A text that is null or has no letter, or any text without a trained network, is ``und`` with score 0. Whole texts
     are labelled, byte by byte; repeated rows and null keys stay; an empty table gives no rows.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = StructType([*docs.schema.fields]).add(label, "string").add(score, "double")
     names = docs.columns
     at = names.index(text)
 
@@ -223,20 +224,20 @@ def predict(docs: DataFrame, text: str, net: Network | None) -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             use = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net else []
-            lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            lang, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             for low in range(0, len(use), 256):
                 some = use[low:low + 256]
                 p = pooled(net, [texts[i] for i in some])
                 for i, row in zip(some, p):
                     best = int(row.argmax())
-                    lang[i], score[i] = net.labels[best], min(1.0, float(row[best]))
+                    lang[i], sure[i] = net.labels[best], min(1.0, float(row[best]))
             columns = [*(batch.column(i) for i in range(batch.num_columns)), pa.array(lang, pa.string()),
-                       pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
+                       pa.array(sure, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, label, score])
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """Train on the bounded sample, then predict every row."""
-    return predict(docs, text, train(sample(docs, key, text, label)))
+def identify(docs: DataFrame, key: str, text: str, known: str, label: str, score: str) -> DataFrame:
+    """Train on the bounded sample of rows with a ``known`` language, then predict every row."""
+    return predict(docs, text, train(sample(docs, key, text, known)), label, score)

@@ -134,7 +134,7 @@ def redact(docs: DataFrame, scanned: DataFrame, key: str = "doc_id", text: str =
     """
     live = F.filter("found", lambda s: s["class"] == "live")
     hit = scanned.filter(F.col("n_live") > 0).select(
-        F.col(key).alias("_k"), F.col("text_hash").alias("_h"), live.alias("_live")).dropDuplicates(["_k", "_h"])
+        F.col(key).alias("_span_key"), F.col("text_hash").alias("_span_text"), live.alias("_span_live")).dropDuplicates(["_span_key", "_span_text"])
     if hit.limit(REDACT_ROWS + 1).count() <= REDACT_ROWS:
         hit = F.broadcast(hit)
     t = F.col(text)
@@ -146,8 +146,9 @@ def redact(docs: DataFrame, scanned: DataFrame, key: str = "doc_id", text: str =
             s["end"].alias("at"),
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mark))).alias("out")))
 
-    rebuilt = F.aggregate("_live", start, step,
+    rebuilt = F.aggregate("_span_live", start, step,
                           lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    joined = docs.join(hit, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text_or_empty(text)) == F.col("_h")), "left")
-    return joined.withColumn(text, F.when(F.col("_live").isNull() | t.isNull(), t).otherwise(rebuilt)).drop(
-        "_k", "_h", "_live")
+    joined = docs.join(hit, F.col(key).eqNullSafe(F.col("_span_key")) & (
+        F.xxhash64(text_or_empty(text)) == F.col("_span_text")), "left")
+    return joined.withColumn(text, F.when(F.col("_span_live").isNull() | t.isNull(), t).otherwise(rebuilt)).drop(
+        "_span_key", "_span_text", "_span_live")

@@ -81,16 +81,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 3) -> DataF
     are linked like any other; repeated rows stay; rows with a null key get the smallest non-null key of their
     component, or null where there is none; an empty table gives no rows; further columns are ignored.
     """
-    rows = keep(fingerprints(df, key, text, words), "fingerprints")
-    nodes = keep(rows.groupBy("fp").agg(F.min(key).alias("first")), "fingerprint-nodes")
+    rows = keep(fingerprints(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t", words), "fingerprints")
+    nodes = keep(rows.groupBy("fp").agg(F.min("_k").alias("first")), "fingerprint-nodes")
     joined = components(links(nodes.select("fp")), "fp", "other")
     groups = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
+    groups = keep(groups, "fingerprint-groups")
     smallest = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    # a root's group can be large: the few roots with several fingerprints are joined salted by frequency
-    named = join_unique(keep(groups.select("fp", "root"), "fingerprint-groups"), smallest, "root").select(
-        "fp", "component_id")
-    return join_unique(rows, named, "fp").select(key, "fp", "component_id")
+    named = join_unique(groups.select("fp", "root"), smallest, "root").select("fp", "component_id")
+    return join_unique(rows, named, "fp").select(F.col("_k").alias(key), "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:

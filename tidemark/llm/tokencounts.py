@@ -204,12 +204,9 @@ def count_edited(docs: DataFrame, key: str, text: str, edits: str, ranks_path: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)],
                                              names=[key, "n_before", "n_edits", "n_after", "n_encoded"])
 
-    src = df_columns(docs, key, text, edits)
-    return src.mapInArrow(run, f"`{key}` {dict(src.dtypes)[key]}, n_before long, n_edits long, n_after long, n_encoded long")
-
-
-def df_columns(docs: DataFrame, key: str, text: str, edits: str) -> DataFrame:
-    return docs.select(key, F.col(text).alias("_text"), F.col(edits).alias("_edits"))
+    src = docs.select(key, F.col(text).alias("_text"), F.col(edits).alias("_edits"))
+    counts = "n_before long, n_edits long, n_after long, n_encoded long"
+    return src.mapInArrow(run, f"`{key}` {dict(src.dtypes)[key]}, {counts}")
 
 
 def edited_counts(text: str, edits: Iterable[dict], coder: Encoder) -> tuple[int, int, int, int]:
