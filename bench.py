@@ -9,6 +9,7 @@ import time
 
 from tidemark import workload
 from tidemark.session import local_session
+from tidemark.views import INPUT_PARTITIONS
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -18,12 +19,14 @@ HEADLINE = (
     "A2_trend_buckets", "J1_dictionary_with_state", "W3_home_ranking", "W5_related_top_k", "I18_topic_pages",
     "X16_upsert", "I12_due_notifications", "I1_normalised_fetch", "X5_article_cards", "J5_phrase_match",
     "I3_role_candidates", "P27_signal_policy", "S1_throttle_replay",
+    "I11_role_discovery", "I4_classification", "I5_persisted_rows", "I8_score_refresh",
 )
 
 
 def main() -> None:
     spark = local_session("bench", CPUS, CPUS)
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(INPUT_PARTITIONS, CPUS)  # the tables are files of one row group
     entries = workload.load()
     times: dict[str, float] = {}
     for name in HEADLINE:

@@ -78,9 +78,28 @@ def _remove_dot_segments(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(closed, "/"))
 
 
+#: Signs which URL parsers print escaped, besides controls and all beyond ASCII; escapes that stand already stay.
+_PATH_SIGNS, _QUERY_SIGNS, _FRAGMENT_SIGNS = ' "<>^`{}', " \"<>'", ' "<>`'
+
+
+def percent_encoded(text: Column, signs: str) -> Column:
+    """Escapes the UTF-8 bytes of given signs, controls and letters beyond ASCII."""
+    group = "[^\\x21-\\x7e]|[" + "".join("\\" + s for s in signs) + "]"
+
+    def one(c: Column) -> Column:
+        hexed = F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", r"%$1")
+        return F.when(F.rlike(c, F.lit(group)), hexed).otherwise(c)
+
+    def escaped(t: Column) -> Column:
+        letters = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+        return F.when(F.rlike(t, F.lit(group)), F.array_join(F.transform(letters, one), "")).otherwise(t)
+
+    return let(text, escaped)
+
+
 def normal_path(path: Column) -> Column:
-    """A path as URL parsers print it: dot segments resolved, blanks escaped, never empty."""
-    escaped = F.replace(path, F.lit(" "), F.lit("%20"))
+    """A path as URL parsers print it: dot segments resolved, reserved and non-ASCII signs escaped, never empty."""
+    escaped = percent_encoded(path, _PATH_SIGNS)
     dotted = F.rlike(escaped, F.lit(r"/\.\.?(/|$)"))
     return (
         F.when(F.length(escaped) == 0, F.lit("/"))
@@ -99,8 +118,8 @@ def _assemble(p: Column, host_text: Column, query: Column) -> Column:
         host_text,
         F.when((F.length(port) > 0) & ~default_port, F.concat(F.lit(":"), port)).otherwise(""),
         let(p[4], normal_path),
-        F.replace(query, F.lit(" "), F.lit("%20")),
-        F.replace(p[6], F.lit(" "), F.lit("%20")),
+        percent_encoded(query, _QUERY_SIGNS),
+        percent_encoded(p[6], _FRAGMENT_SIGNS),
     )
 
 

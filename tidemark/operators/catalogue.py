@@ -19,7 +19,8 @@ PROFILE_FIELDS = (
     "transformation_score", "workflow_automation_score", "interpersonal_score", "physicality_score",
     "ambiguity_score",
 )
-SET_LIMIT = 10
+#: Parts over which the holders of one keyword are dealt.
+SALTS = 8
 
 
 # ---- profile and stored state ----------------------------------------------------------------
@@ -192,99 +193,55 @@ def topic_rows(
 
 
 # ---- related roles ---------------------------------------------------------------------------
-def _subsets(keywords: str) -> Column:
-    """All subsets of a small sorted array, as joined texts with their members."""
-    return F.expr(
-        f"transform(sequence(0, cast(pow(2, size({keywords})) as int) - 1), m -> "
-        f"filter({keywords}, (k, i) -> (m >> i) % 2 = 1))"
-    )
-
-
 def related_roles(roles: DataFrame, k: int) -> DataFrame:
     """Per role the k active roles of its group which share most keywords.
 
-    Ties go to translated ones, then by name. No pair of roles is formed: each keyword set has few
-    subsets, and of all candidates which hold a subset only the first k + 1 by the tie order can
-    reach any result. The best k for a role lie among those found under the subsets of its own
-    keywords, and each of them is found under its exact intersection. Roles with equal group and
-    keywords share one lookup. Sets above ``SET_LIMIT`` words go by keyword instead.
+    Ties go to translated ones, then by name. Not roles but distinct keyword sets meet: the active roles of a
+    group with one set form a signature, of which only the first k + 1 by the tie order can reach any result, and
+    roles with equal group and keywords share one lookup. Lookups meet signatures by (group, word), dealt over salts so
+    that a word which all hold is no single key; of a lookup's signatures the first k + 1 stay before roles are
+    attached. Rows without a shared word count only as far as the first k + 1 of the group.
     """
     cleaned = roles.select(
         "slug", "name_en", "name_zh", "industry_code", "is_active",
-        F.transform("keywords", F.lower).alias("_list"),
+        F.array_sort(F.transform("keywords", F.lower)).alias("_list"),
     ).withColumn("_set", F.array_sort(F.array_distinct("_list")))
-    widest = cleaned.agg(F.max(F.size("_set"))).first()[0] or 0
-    if widest > SET_LIMIT:
-        return _related_by_keyword(cleaned, k)
     tie = [_translated_first().asc(), F.col("name_en").asc(), F.col("slug").asc()]
-    holders = (
-        cleaned.filter("is_active")
-        .select("slug", "name_en", "name_zh", "industry_code", F.explode(_subsets("_set")).alias("_subset"))
-        .withColumn("_key", F.array_join("_subset", "\x1f"))
-        .drop("_subset")
-    )
-    best = top_k(holders, ["industry_code", "_key"], tie, k + 1)
-    lookups = (
-        cleaned.select("industry_code", F.array_sort("_list").alias("_list"), "_set")
-        .distinct()
-        .withColumn("_lookup", F.concat_ws("\x1e", "industry_code", F.array_join("_list", "\x1f")))
-    )
-    parts = lookups.select(
-        "_lookup", "industry_code", "_list", F.explode(_subsets("_set")).alias("_subset")
-    ).select(
-        "_lookup", "industry_code", F.array_join("_subset", "\x1f").alias("_key"),
-        F.size(F.filter("_list", lambda x: F.array_contains(F.col("_subset"), x))).alias("overlap"),
-    )
-    found = (
-        parts.join(best, ["industry_code", "_key"])
-        .groupBy("_lookup", "slug", "name_en", "name_zh")
-        .agg(F.max("overlap").alias("overlap"))
-    )
-    order = [F.col("overlap").desc(), *tie]
-    per_lookup = top_k(found, ["_lookup"], order, k + 1).select(
+    active = cleaned.filter("is_active").withColumn("_sig", F.array_join("_set", "\x1f"))
+    best = top_k(active.select("slug", "name_en", "name_zh", "industry_code", "_sig"), ["industry_code", "_sig"], tie, k + 1)
+    signatures = active.groupBy("industry_code", "_sig").agg(
+        F.min(F.struct(_translated_first().alias("u"), F.col("name_en").alias("n"), F.col("slug").alias("s"))).alias("_first"),
+        F.first("_set").alias("_set"))
+    lookups = cleaned.select(
+        "industry_code", "_list", F.concat_ws("\x1e", "industry_code", F.array_join("_list", "\x1f")).alias("_lookup")
+    ).distinct()
+    holders = signatures.select("industry_code", "_sig", "_first", F.explode("_set").alias("_word")).withColumn(
+        "_salt", F.pmod(F.xxhash64("_sig"), F.lit(SALTS)).cast("int"))
+    asked = lookups.select("industry_code", "_lookup", F.explode("_list").alias("_word")).groupBy(
+        "industry_code", "_lookup", "_word").agg(F.count("*").alias("_times")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = asked.join(holders, ["industry_code", "_word", "_salt"]).groupBy(
+        "industry_code", "_lookup", "_sig", "_first").agg(F.sum("_times").alias("overlap"))
+    nearest = top_k(shared, ["_lookup"], [F.col("overlap").desc(), F.col("_first").asc()], k + 1).drop("_first")
+    columns = ["_lookup", "slug", "name_en", "name_zh", "overlap"]
+    found = nearest.join(best, ["industry_code", "_sig"]).select(*columns)
+    first = top_k(active.select("slug", "name_en", "name_zh", "industry_code"), ["industry_code"], tie, k + 1)
+    fill = lookups.select("industry_code", "_lookup").join(first, "industry_code").select(
+        *columns[:-1], F.lit(0).cast("long").alias("overlap"))
+    both = found.unionByName(fill).groupBy(*columns[:-1]).agg(F.max("overlap").alias("overlap"))
+    per_lookup = top_k(both, ["_lookup"], [F.col("overlap").desc(), *tie], k + 1).select(
         "_lookup", F.col("slug").alias("related_slug"), F.col("name_en").alias("related_name"),
         _translated_first().alias("_untranslated"), "overlap",
     )
     bases = cleaned.select(
         F.col("slug").alias("base_slug"),
-        F.concat_ws("\x1e", "industry_code", F.array_join(F.array_sort("_list"), "\x1f")).alias("_lookup"),
+        F.concat_ws("\x1e", "industry_code", F.array_join("_list", "\x1f")).alias("_lookup"),
     )
     others = bases.join(per_lookup, "_lookup").filter(F.col("base_slug") != F.col("related_slug"))
     final = [F.col("overlap").desc(), F.col("_untranslated").asc(), F.col("related_name").asc(),
              F.col("related_slug").asc()]
     return top_k(others, ["base_slug"], final, k, rank="related_rank").select(
-        "base_slug", "related_rank", "related_slug", "overlap"
-    )
-
-
-def _related_by_keyword(cleaned: DataFrame, k: int) -> DataFrame:
-    """For long keyword lists: count shared keywords by an equi-join, fill up with the tie order."""
-    base_words = cleaned.select(
-        F.col("slug").alias("base_slug"), "industry_code", F.explode("_list").alias("_word")
-    )
-    active = cleaned.filter("is_active")
-    words = active.select("slug", "name_en", "name_zh", "industry_code", F.explode("_set").alias("_word"))
-    shared = (
-        base_words.join(words, ["industry_code", "_word"])
-        .filter(F.col("base_slug") != F.col("slug"))
-        .groupBy("base_slug", "slug", "name_en", "name_zh")
-        .agg(F.count("*").cast("int").alias("overlap"))
-    )
-    tie = [_translated_first().asc(), F.col("name_en").asc(), F.col("slug").asc()]
-    first = top_k(active.drop("_list", "_set", "is_active"), ["industry_code"], tie, k + 1)
-    # rows without overlap matter only as far as the first k of the group
-    fill = (
-        cleaned.select(F.col("slug").alias("base_slug"), "industry_code")
-        .join(first, "industry_code")
-        .filter(F.col("base_slug") != F.col("slug"))
-        .select("base_slug", "slug", "name_en", "name_zh", F.lit(0).alias("overlap"))
-    )
-    best_shared = top_k(shared, ["base_slug"], [F.col("overlap").desc(), *tie], k)
-    both = best_shared.unionByName(fill).groupBy("base_slug", "slug", "name_en", "name_zh").agg(
-        F.max("overlap").alias("overlap")
-    )
-    return top_k(both, ["base_slug"], [F.col("overlap").desc(), *tie], k, rank="related_rank").select(
-        "base_slug", "related_rank", F.col("slug").alias("related_slug"), "overlap"
+        "base_slug", "related_rank", "related_slug", F.col("overlap").cast("int").alias("overlap")
     )
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions.hashing import item_hash
-from tidemark.functions.bind import bind
+from tidemark.functions.bind import bind, let
+from tidemark.functions.typed_json import json_optional_text, json_text, json_type
 from tidemark.functions.policy import source_kind
 from tidemark.functions.text import fold_ascii, has_workflow_language
 from tidemark.operators.matching import hint_backed, matched_phrases
@@ -94,15 +95,21 @@ def probe_cache(items: DataFrame, stored: DataFrame, models: Sequence[str]) -> D
 
 # ---- validation and rebuilding ---------------------------------------------------------------
 def valid_result(json: Column) -> Column:
-    """The parsed classification where every field is as it must be, else NULL."""
+    """The parsed classification where every field is a text as it must be, else NULL.
+
+    The role must be given, though it may be null; the Chinese summary may be left out.
+    """
     r = F.from_json(json, RESULT_SCHEMA)
-    ok = (F.length(r["explanation"]) > 0) & (F.length(r["summaryEn"]) > 0)
-    ok = ok & F.rlike(json, F.lit('"assignedRoleSlug"\\s*:'))
-    for field in ("assignedRoleSlug", "summaryZh"):
-        ok = ok & (r[field].isNull() | (F.length(r[field]) > 0))
-    for field, values in ALLOWED.items():
-        ok = ok & r[field].isin(*values)
-    return F.when(F.coalesce(ok, F.lit(False)), r)
+
+    def checked(v: Column) -> Column:
+        ok = json_text(v, "explanation") & json_text(v, "summaryEn")
+        ok = ok & (json_text(v, "assignedRoleSlug") | (json_type(v, "assignedRoleSlug") == "VOID"))
+        ok = ok & json_optional_text(v, "summaryZh")
+        for field, values in ALLOWED.items():
+            ok = ok & json_text(v, field) & r[field].isin(*values)
+        return F.when(F.coalesce(ok, F.lit(False)), r)
+
+    return let(F.try_parse_json(json), checked)
 
 
 def _row(values: dict[str, Column]) -> Column:
@@ -170,7 +177,8 @@ BatchModel = Callable[[pd.DataFrame], pd.DataFrame]
 def run_model(rows: DataFrame, model: BatchModel, key: str, columns: Sequence[str]) -> DataFrame:
     """Feeds rows to a caller's function in batches: columns in; key, result, provider, model out.
 
-    A batch which fails is tried row by row; rows which fail alone come out with the error text.
+    A batch which fails is tried again in halves, so that one bad row costs few repeated answers; rows which fail
+    alone come out with the error text.
     """
     key_type = rows.schema[key].dataType.simpleString()
     out_names = [key, "result", "provider", "model", "error"]
@@ -181,7 +189,8 @@ def run_model(rows: DataFrame, model: BatchModel, key: str, columns: Sequence[st
             return out.assign(error=None)[out_names]
         except Exception as exc:  # the caller's function may raise anything
             if len(batch) > 1:
-                return pd.concat([attempt(batch.iloc[[i]]) for i in range(len(batch))])
+                middle = len(batch) // 2
+                return pd.concat([attempt(batch.iloc[:middle]), attempt(batch.iloc[middle:])])
             return pd.DataFrame(
                 {key: batch[key].to_list(), "result": [None], "provider": [None], "model": [None],
                  "error": [str(exc)]}

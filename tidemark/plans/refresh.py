@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
-from tidemark.functions.bind import bind
+from tidemark.functions.bind import bind, let
 from tidemark.functions.hashing import stable_hash
 from tidemark.functions.rates import band, clamp_rate, normalised_reasons
 from tidemark.functions.text import collapse_space
+from tidemark.functions.typed_json import json_integer, json_optional_text, json_string, json_text
 from tidemark.operators.catalogue import with_profile
 from tidemark.operators.evidence import evidence_pool, scoring_evidence
 from tidemark.plans.classify import BatchModel, run_model
@@ -19,8 +20,38 @@ from tidemark.session import cut_lineage
 
 REASON = "struct<kind: string, title_en: string, title_zh: string, detail_en: string, detail_zh: string>"
 SCORE_SCHEMA = (
-    f"replacement_rate double, summary_en string, summary_zh string, reasons array<{REASON}>"
+    f"replacement_rate double, risk_band string, summary_en string, summary_zh string, reasons array<{REASON}>"
 )
+RISK_BANDS = ("low", "medium", "high", "severe")
+REASON_KINDS = ("structure", "official", "media", "jobs")
+#: What a scorer is told of a role, and what its hash covers, besides the evidence.
+ROLE_FIELDS = (
+    "slug", "name_en", "name_zh", "summary_en", "summary_zh", "keywords", "repetition_score", "rule_clarity_score",
+    "transformation_score", "workflow_automation_score", "interpersonal_score", "physicality_score", "ambiguity_score",
+)
+
+
+def valid_score(json: Column) -> Column:
+    """The parsed score where all fields have their types and closed values, else NULL."""
+    r = F.from_json(json, SCORE_SCHEMA)
+
+    def of_reason(x: Column) -> Column:
+        return (
+            json_string(x, "kind").isin(*REASON_KINDS) & json_text(x, "title_en") & json_text(x, "detail_en")
+            & json_optional_text(x, "title_zh") & json_optional_text(x, "detail_zh")
+        )
+
+    def checked(v: Column) -> Column:
+        reasons = F.try_variant_get(v, "$.reasons", "array<variant>")
+        ok = (
+            json_integer(v, "replacement_rate") & r["replacement_rate"].between(0, 100)
+            & json_string(v, "risk_band").isin(*RISK_BANDS) & json_text(v, "summary_en")
+            & json_optional_text(v, "summary_zh") & F.size(reasons).between(1, 5)
+            & F.forall(reasons, lambda x: F.coalesce(of_reason(x), F.lit(False)))
+        )
+        return F.when(F.coalesce(ok, F.lit(False)), r)
+
+    return let(F.try_parse_json(json), checked)
 
 
 def cache_model(
@@ -55,17 +86,16 @@ def evidence_lists(evidence: DataFrame) -> DataFrame:
 def with_score_hash(state: DataFrame, evidence: DataFrame, now: datetime, preferred: str = rules.DEFAULT_MODEL) -> DataFrame:
     """State rows with evidence, the hash of what a scorer would see, and ``unchanged``.
 
-    ``state``: slug, names, keywords, scores, risk_provider, risk_model, risk_cached_at,
-    risk_input_hash, risk_prompt_version.
+    ``state``: ROLE_FIELDS, risk_provider, risk_model, risk_cached_at, risk_input_hash, risk_prompt_version.
     """
     joined = state.join(evidence_lists(evidence).withColumnRenamed("role_slug", "slug"), "slug", "left")
     ready = bind(
         joined, model_key=cache_model(F.col("risk_provider"), F.col("risk_model"), F.col("risk_cached_at"), now, preferred),
         evidence_json=F.to_json(F.struct("evidence")), pool=F.coalesce("pool_size", F.lit(0)),
     )
-    scores = [c for c in state.columns if c.endswith("_score") or c.startswith("s_")]
+    texts = ("summary_en", "summary_zh")
     digest = stable_hash(
-        F.col("slug"), F.col("name_en"), F.col("name_zh"), F.col("keywords"), *[F.col(c) for c in scores],
+        *[collapse_space(F.col(c)).alias(c) if c in texts else F.col(c) for c in ROLE_FIELDS],
         F.col("evidence_json"), F.lit(rules.SCORE_PROMPT_VERSION).alias("prompt_version"), F.col("model_key"),
     )
     hashed = bind(ready, score_hash=digest).drop("evidence", "pool_size")
@@ -80,22 +110,18 @@ def with_score_hash(state: DataFrame, evidence: DataFrame, now: datetime, prefer
 def refresh_scores(state: DataFrame, evidence: DataFrame, scorer: BatchModel, now: datetime) -> DataFrame:
     """New score fields of every changed role; unchanged roles are not in the result.
 
-    Each role goes to the scorer as one row with its evidence as JSON. Where that fails, the role's
+    Each role goes to the scorer as one row: ROLE_FIELDS and its evidence as JSON. Where that fails, the role's
     dictionary profile stands in, counting the pool. The band always follows the clamped rate.
     """
-    changed = with_score_hash(state, evidence, now).filter(~F.col("unchanged"))
-    answers = cut_lineage(
-        run_model(changed, scorer, "slug", ["slug", "name_en", "name_zh", "evidence_json"])
-    )
+    changed = cut_lineage(with_score_hash(state, evidence, now).filter(~F.col("unchanged")))
+    answers = cut_lineage(run_model(changed, scorer, "slug", [*ROLE_FIELDS, "evidence_json"]))
     parsed = answers.select(
         "slug", "error", F.col("provider").alias("_provider"), F.col("model").alias("_model"),
-        F.from_json("result", SCORE_SCHEMA).alias("_r"),
+        valid_score(F.col("result")).alias("_r"),
     )
     both = with_profile(changed, F.col("pool"), prefix="p_").join(parsed, "slug")
     r = F.col("_r")
-    count = F.size(r["reasons"])
-    usable = r["replacement_rate"].between(0, 100) & (F.length(r["summary_en"]) > 0) & count.between(1, 5)
-    scored = bind(both, scored=F.coalesce(F.col("error").isNull() & usable, F.lit(False)))
+    scored = bind(both, scored=F.col("error").isNull() & r.isNotNull())
     ok = F.col("scored")
     rate = F.when(ok, clamp_rate(r["replacement_rate"])).otherwise(F.col("p_replacement_rate"))
     return scored.select(

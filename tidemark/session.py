@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,13 @@ def local_session(app: str = "tidemark", cores: int | str = "*", shuffle_partiti
 
 
 def state_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is named."""
+    """The shared folder named by the cluster. Only a local session may go without one: it gets a temporary folder."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-state-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")
@@ -49,6 +52,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_enough_to_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True when the frame has at most ``max_rows`` rows; reads no more than that many plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions.text import build_keywords, slugify, trim_all
 from tidemark.operators.ranking import global_positions
-from tidemark.session import small_enough_to_broadcast
 
-BROADCAST_ROWS = 100_000
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +37,6 @@ FILE_ORDER = ("file", "block", "line")
 def translated(roles: DataFrame, translations: DataFrame) -> DataFrame:
     """Chinese name by exact English name, the English one where none is known."""
     side = translations.select("name_en", F.col("name_zh").alias("_zh"))
-    if small_enough_to_broadcast(side, BROADCAST_ROWS):
-        side = F.broadcast(side)
     return (
         roles.join(side, "name_en", "left")
         .withColumn("name_zh", F.coalesce("_zh", "name_en"))

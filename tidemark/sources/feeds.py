@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark import rules
 from tidemark.functions.bind import unfold
 from tidemark.functions.html import decode, drop_tags
 from tidemark.functions.text import collapse_space, trim_all
@@ -29,8 +28,8 @@ def _non_empty(c: Column) -> Column:
     return F.when(F.length(c) > 0, c)
 
 
-def feed_items(feeds: DataFrame, max_items: int = rules.FEED_ITEMS) -> DataFrame:
-    """Items of RSS and Atom texts: the first ``max_items`` with link, title and date.
+def feed_items(feeds: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Items of RSS and Atom texts with link, title and date: all, or the first ``max_items`` of each text.
 
     ``feeds``: xml, transport ('rss' or 'atom'), and identifying columns which are kept. All of a
     feed's items are read inside its own row, so nothing is shuffled.
@@ -57,7 +56,7 @@ def feed_items(feeds: DataFrame, max_items: int = rules.FEED_ITEMS) -> DataFrame
         lambda i: (F.length(i["source_url"]) > 0) & (F.length(i["title"]) > 0) & (F.length(i["published"]) > 0),
     )
     others = [c for c in feeds.columns if c not in ("xml", "transport")]
-    return unfold(feeds, F.slice(kept, 1, max_items), *others)
+    return unfold(feeds, kept if max_items is None else F.slice(kept, 1, max_items), *others)
 
 
 SEARCH_SCHEMA = (

@@ -171,18 +171,16 @@ VIEWS = {
 _DEPENDS = {name: tuple(dict.fromkeys(re.findall(r"\{(\w+)\}", sql))) for name, sql in VIEWS.items()}
 
 
-SPREAD_BYTES = 256 * 1024
+#: Session setting: partitions over which input tables are dealt. Unset, tables are read as they lie; a bench on
+#: files of one row group sets it to its cores.
+INPUT_PARTITIONS = "tidemark.input.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One shared table. A small file is one row group, which a single task would read and process;
-    it is spread over the cores. A table with splits for all cores is read as it lies."""
+    """One shared table."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if SPREAD_BYTES < size < cores * 32 * 1024 * 1024:
-        return df.repartition(cores)
-    return df
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

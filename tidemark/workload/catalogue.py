@@ -59,7 +59,7 @@ def profile_roles(t: Inputs):
         .when(F.endswith(name, F.lit("rod")), " data entry").otherwise("")
     )
     text = F.concat("kw_text", extra)
-    return t.fx_role.withColumn("kw_text", text).withColumn("keywords", F.split(text, " "))
+    return t.fx_role.withColumn("kw_text", text).withColumn("keywords", F.split("kw_text", " "))
 
 
 @query("P29_role_profile", f"""
@@ -107,7 +107,8 @@ COVERAGE_SQL = """cov as (with pub as (select *, regexp_replace(lower(regexp_ext
       '^https?://([^/:?#]+)', 1)), '^www\\.', '') as h from fx_evidence where decision_status = 'ACCEPTED'),
     s as (select item_id, decision_slug as slug from pub where h <> 'example.com' and decision_slug is not null
       union select item_id, role_slug from pub where h <> 'example.com')
-    select slug, count(*) as coverage from s group by slug)"""
+    select slug, count(*) as coverage from (select slug from s union all select role_slug from fx_hit where rank % 2 = 0)
+    group by slug)"""
 
 
 def _placeholder(col: str) -> str:
@@ -138,11 +139,10 @@ pos as (select *, row_number() over (order by coverage desc, un, case when un =
 
 
 def home(t: Inputs):
-    e = t.fx_evidence
-    nothing = e.select(
-        "role_slug", "source_url", F.lit(False).alias("timeline_eligible")
-    ).filter(F.lit(False))
-    return cat.home_rows(profile_roles(t), t.fx_state, coverage_counts(e, nothing))
+    hits = t.fx_hit.select(
+        "role_slug", F.col("url").alias("source_url"), (F.col("rank") % 2 == 0).alias("timeline_eligible")
+    )
+    return cat.home_rows(profile_roles(t), t.fx_state, coverage_counts(t.fx_evidence, hits))
 
 
 @query("J2_override_union", f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import rules
 from tidemark.functions import html as h
 from tidemark.functions.dates import parse_or, parse_timestamp
 from tidemark.session import new_state_dir
@@ -142,7 +143,7 @@ def x10(t: Inputs):
         team = F.when(i % 3 == 0, ' data-team="T1"').otherwise("")
         return _cat("<li", team, '><a href="', _href(i), '"><h4>', _title(i), "</h4></a>", time, place, "<span>Department - Ops | Site</span></li>")
 
-    return pages.job_cards(listing(t, card)).select(*OUT)
+    return pages.job_cards(listing(t, card), rules.JOB_ITEMS).select(*OUT)
 
 
 @query("X4_feed_items", f"""

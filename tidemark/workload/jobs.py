@@ -189,16 +189,17 @@ def a4(t: Inputs):
 select item_id, source_type <> 'JOB_POSTING' and relevance <> 'LOW' and impact <> 'MAINTAIN' as valid,
    case when source_type <> 'JOB_POSTING' and relevance <> 'LOW' and impact <> 'MAINTAIN' then decision_slug end as slug from fx_evidence""")
 def p35(t: Inputs):
-    # no summary for job postings, an unknown relevance for LOW, a wrong type for MAINTAIN
-    json = F.to_json(F.struct(
+    # no summary for job postings, an unknown relevance for LOW, a number in place of a text for MAINTAIN
+    text = F.to_json(F.struct(
         F.col("decision_slug").alias("assignedRoleSlug"), F.lit("official").alias("sourceKind"),
         F.lit("adoption_case").alias("signalType"),
         F.when(F.col("relevance") == "LOW", "huge").otherwise(F.lower("relevance")).alias("relevance"),
-        F.when(F.col("impact") == "MAINTAIN", "sideways").otherwise(F.lower("impact")).alias("impactDirection"),
+        F.when(F.col("impact") == "MAINTAIN", "neutral").otherwise(F.lower("impact")).alias("impactDirection"),
         F.lit("why").alias("explanation"),
         F.when(F.col("source_type") == "JOB_POSTING", "").otherwise("what").alias("summaryEn"),
         F.lit(None).cast("string").alias("summaryZh"), F.lit("primary").alias("signalWeight"),
     ), {"ignoreNullFields": "false"})
+    json = F.when(F.col("impact") == "MAINTAIN", F.replace(text, F.lit('"why"'), F.lit("5"))).otherwise(text)
     r = cl.valid_result(F.col("json"))
     return t.fx_evidence.select("item_id", json.alias("json")).select(
         "item_id", r.isNotNull().alias("valid"), r["assignedRoleSlug"].alias("slug")
@@ -220,7 +221,14 @@ def state_with_cache(t: Inputs):
             "risk_model": F.when(F.col("s_rules") < 2, "stand-in").otherwise(rules.DEFAULT_MODEL),
             "risk_prompt_version": F.lit(rules.SCORE_PROMPT_VERSION),
             "risk_input_hash": F.lit(None).cast("string"),
+            "summary_en": F.col("risk_summary_en"), "summary_zh": F.col("risk_summary_zh"),
         })
+        .withColumnsRenamed({
+            "s_repetition": "repetition_score", "s_transformation": "transformation_score",
+            "s_workflow": "workflow_automation_score", "s_interpersonal": "interpersonal_score",
+            "s_physical": "physicality_score", "s_ambiguity": "ambiguity_score",
+        })
+        .withColumn("rule_clarity_score", F.col("s_rules"))
     )
 
 
@@ -242,16 +250,20 @@ def stub_scorer(batch):
     if batch["name_en"].str.startswith("old").any():
         raise ValueError("scorer is down")
 
-    def answer(text):
+    def answer(text, words, repetition):
         n = len(json.loads(text).get("evidence") or [])
-        return json.dumps({"replacement_rate": n * 13, "summary_en": f"{n} items", "summary_zh": None,
-                           "reasons": [{"kind": "media", "title_en": "t", "detail_en": "d"}]})
-
-    return pd.DataFrame({"slug": batch["slug"], "result": [answer(x) for x in batch["evidence_json"]],
+        # some answers are no valid score: a fraction, an unknown kind of reason, an empty title
+        rate = n * 13 + (0.5 if n == 3 else 0)
+        reason = {"kind": "rumour" if n == 5 else "media", "title_en": "" if n == 2 else "t", "detail_en": "d"}
+        return json.dumps({"replacement_rate": rate, "risk_band": "low", "summary_en": f"{n} items, {len(words)} words, {repetition}",
+                           "summary_zh": None, "reasons": [reason]})
+
+    rows = zip(batch["evidence_json"], batch["keywords"], batch["repetition_score"])
+    return pd.DataFrame({"slug": batch["slug"], "result": [answer(*x) for x in rows],
                          "provider": "stub", "model": "s1"})
 
 
-@query("I8_score_refresh", f"""
+I8_SQL = f"""
 with {WEIGHTED.replace('from fx_evidence', 'from (select * from fx_evidence where item_id in (select item_id from pool))').replace('typed as', f'''
   ra as (select item_id, role_slug, not starts_with(source_catalog_id, 'discovery-') as prim,
     row_number() over (partition by role_slug order by published_at desc, item_id) as rn_all from fx_evidence),
@@ -260,22 +272,23 @@ with {WEIGHTED.replace('from fx_evidence', 'from (select * from fx_evidence wher
   pool as (select ra.item_id, ra.role_slug from ra left join rp using (item_id) where rn_all <= 24 or rn_p <= 64), typed as''', 1)},
 n8 as (select role_slug, least(8, count(*)) as n from kept group by role_slug),
 ps as (select role_slug, count(*) as pool from pool group by role_slug),
-pr as (select s.slug, s.name_en, p.i_rate, p.cnt from fx_state s left join
+pr as (select s.slug, s.name_en, s.s_repetition, p.i_rate, p.cnt, coalesce(len(string_split(p.kw_text, ' ')), 0) as nk from fx_state s left join
    (select * from {profile_sql("(select r.*, coalesce(pool, 0) as pc from (select slug, name_en, name_zh, industry_code, is_active, concat(kw_text, case when name_en like '%ring' then ' software' when name_en like '%bolt' then ' field repair' when name_en like '%plate' then ' sales managers' when name_en like '%rod' then ' data entry' else '' end) as kw_text from fx_role) r left join ps on r.slug = ps.role_slug)", "pc")}) p on s.slug = p.slug),
-x as (select pr.slug, pr.name_en, coalesce(n, 0) as n, coalesce(i_rate, 34) as i_rate from pr left join n8 on pr.slug = n8.role_slug),
-y as (select slug, n, case when name_en like 'old%' then i_rate else cast(least(95, greatest(5, least(n * 13, 999))) as int) end as replacement_rate,
-   case when name_en like 'old%' then 'role-profile' else 's1' end as risk_model,
-   case when name_en like 'old%' then null else concat(n, ' items') end as scored_summary from x)
+x as (select pr.slug, pr.name_en, s_repetition, nk, coalesce(n, 0) as n, coalesce(i_rate, 34) as i_rate,
+   name_en like 'old%' or coalesce(n, 0) in (2, 3, 5, 8) as refused from pr left join n8 on pr.slug = n8.role_slug),
+y as (select slug, case when refused then i_rate else cast(least(95, greatest(5, n * 13)) as int) end as replacement_rate,
+   case when refused then 'role-profile' else 's1' end as risk_model,
+   case when not refused then concat(n, ' items, ', nk, ' words, ', s_repetition) end as scored_summary from x)
 select slug, replacement_rate, case when replacement_rate >= 80 then 'SEVERE' when replacement_rate >= 55 then 'HIGH'
-  when replacement_rate >= 30 then 'MEDIUM' else 'LOW' end as risk_level, risk_model, scored_summary from y where n * 13 <= 100 or risk_model = 'role-profile'
-""")
+  when replacement_rate >= 30 then 'MEDIUM' else 'LOW' end as risk_level, risk_model, scored_summary from y
+"""
+
+
+@query("I8_score_refresh", I8_SQL)
 def i8(t: Inputs):
     out = refresh.refresh_scores(state_with_cache(t), t.fx_evidence, stub_scorer, NOW)
     scored = F.col("risk_model") == "s1"
-    # scores above 100 are refused and fall back, which the comparison leaves aside
-    refused = (F.col("risk_model") == "role-profile") & ~F.startswith("name_en", F.lit("old"))
-    named = out.join(t.fx_state.select("slug", "name_en"), "slug")
-    return named.filter(~refused).select(
+    return out.select(
         "slug", "replacement_rate", "risk_level", "risk_model", F.when(scored, F.col("risk_summary_en")).alias("scored_summary")
     )
 
@@ -299,14 +312,9 @@ def i24(t: Inputs):
     return regression.score_report(cases, scores).select("id", "in_range", "band_ok")
 
 
-@query("U1_injected_scorer", f"""
-select case when name_en like 'old%' then 'role-profile' else 's1' end as risk_model, count(*) as roles from fx_state
-group by 1""")
+@query("U1_injected_scorer", f"select slug, risk_model, scored_summary from ({I8_SQL})")
 def u1(t: Inputs):
-    # few evidence rows per role keep every score in range
-    few = t.fx_evidence.filter((F.col("source_type") == "COMPANY_UPDATE") & (F.col("impact") == "DECREASE"))
-    out = refresh.refresh_scores(state_with_cache(t), few, stub_scorer, NOW)
-    return out.groupBy("risk_model").agg(F.count("*").alias("roles"))
+    return i8(t).select("slug", "risk_model", "scored_summary")
 
 
 @query("U2_injected_classifier", f"with {ROUTED} select route, count(*) as items from cls group by route")

@@ -137,14 +137,21 @@ RANK_FX = ((r"\bthe\b|\bdie\b", 7), (r"\bring(s)?\b", 5), (r"\bque\b", -4), (r"t
 
 
 @query("X14_rank_rules", """
-select doc_id, case when regexp_matches(lower(text), '\\bthe\\b|\\bdie\\b') then 7 else 0 end
+select *, row_number() over (partition by source order by score desc, day desc, cast(doc_id as varchar)) as relevance_rank from (
+select doc_id, source, cast(date '2024-01-01' + cast(doc_id % 28 as int) as varchar) as day,
+   case when regexp_matches(lower(text), '\\bthe\\b|\\bdie\\b') then 7 else 0 end
    + case when regexp_matches(lower(text), '\\bring(s)?\\b') then 5 else 0 end
    + case when regexp_matches(lower(text), '\\bque\\b') then -4 else 0 end
-   + case when regexp_matches(lower(text), 'tion') then 2 else 0 end as score from documents""")
+   + case when regexp_matches(lower(text), 'tion') then 2 else 0 end as score from documents)""")
 def x14(t: Inputs):
-    from tidemark.sources.listing import rule_score
-
-    return t.documents.select("doc_id", rule_score(F.lower("text"), RANK_FX).alias("score"))
+    from tidemark.sources.listing import by_relevance
+
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).cast("string")
+    items = t.documents.select(
+        "doc_id", "source", F.col("lang").alias("title"), F.col("text").alias("summary"), day.alias("published_at"),
+        F.col("doc_id").cast("string").alias("source_url"))
+    return by_relevance(items, ["source"], RANK_FX).select(
+        "doc_id", "source", F.col("published_at").alias("day"), "score", F.col("relevance_rank").cast("long").alias("relevance_rank"))
 
 
 @query("P42_email_key", "select c_custkey, lower(trim(concat('  ', c_name, '@Mail.test '))) as email from customer")
