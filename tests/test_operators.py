@@ -101,14 +101,14 @@ def _brute_related(roles, k):
     return out
 
 
-@pytest.mark.parametrize("set_limit", [10, 1])
-def test_related_roles_match_brute_force(spark, monkeypatch, set_limit):
-    monkeypatch.setattr(cat, "SET_LIMIT", set_limit)
+@pytest.mark.parametrize("width", [4, 20])
+def test_related_roles_match_brute_force(spark, width):
+    """Narrow and wide keyword lists, with a word that all roles of the wide case hold."""
     rnd = random.Random(7)
-    words = ["a", "B", "b", "c", "d", "hot"]
+    words = ["a", "B", "b", "c", "d", "hot"] if width == 4 else ["hot", *(f"w{i}" for i in range(40))]
     roles = [
         (f"r{i:02d}", f"n{rnd.randint(0, 9)}", f"n{rnd.randint(0, 9)}", rnd.choice(["g", "g", "h"]),
-         ["hot"] * rnd.randint(0, 1) + [rnd.choice(words) for _ in range(rnd.randint(0, 4))], rnd.random() < 0.8)
+         ["hot"] * (1 if width > 4 else rnd.randint(0, 1)) + [rnd.choice(words) for _ in range(rnd.randint(width // 5, width))], rnd.random() < 0.8)
         for i in range(40)
     ]
     df = spark.createDataFrame(roles, "slug string, name_en string, name_zh string, industry_code string, keywords array<string>, is_active boolean")
@@ -141,15 +141,16 @@ def _brute_scores(items, roles):
     return out
 
 
-@pytest.mark.parametrize("limits", [dict(), dict(inline=0), dict(inline=0, automaton=3)])
-def test_candidate_scores_by_every_route(spark, limits):
+@pytest.mark.parametrize("part_bytes", [1 << 20, 100])
+def test_candidate_scores_in_one_and_several_parts(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(mt, "PART_BYTES", part_bytes)
     items = [(1, "Ticket triage at scale", "Support agents close tickets; étude", "support"), (2, "Coding, coding!", "the workflow of a ring", ""),
              (3, "nothing", "here", "ring ops")]
     roles = {"a": ["ticket", "Ticket", "support agent", "中文"], "b": ["ring", "in", "coding"], "c": ["ops the", "workflow of"]}
     df = spark.createDataFrame(items, "item_id int, title string, summary string, hint_text string")
     lex = mt.lexicon(spark.createDataFrame([(s, p) for s, p in roles.items()], "slug string, keywords array<string>"))
-    got = {(r.item_id, r.slug): (r.score, r.matched) for r in mt.candidate_scores(df, lex, **limits).collect()}
-    assert got == _brute_scores(items, roles)
+    got = {(r.item_id, r.slug): (r.score, r.matched) for r in mt.candidate_scores(df, lex).collect()}
+    assert got == {k: v for k, v in _brute_scores(items, roles).items() if v[1]}
 
 
 def test_best_candidates_with_shared_phrase_sets(spark):

@@ -11,7 +11,9 @@ from tidemark.workload.text import FX_NOISE, FX_WORKFLOW, STOP_SQL, _gate_sql
 FOLD = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 LEX = """lexi as (select slug, phrase, min(position) as position, phrase as normal from (
     select slug, unnest(list_append(string_split(kw_text, ' '), name_en)) as phrase,
-           unnest(range(len(string_split(kw_text, ' ')) + 1)) as position from fx_role) group by slug, phrase)"""
+           unnest(range(len(string_split(kw_text, ' ')) + 1)) as position from fx_role
+    union all select slug, concat(string_split(name_en, ' ')[2], ' ', string_split(name_en, ' ')[1]), 1000 from fx_role
+    where slug like '%7') where length(phrase) > 0 group by slug, phrase)"""
 # phrase hits are found per distinct phrase and joined to roles afterwards
 SCORES = f"""{LEX},
 tx as (select item_id, source_type, title || ' ' || summary as raw, {FOLD.format(c='title')} as ti, {FOLD.format(c='summary')} as su,
@@ -36,14 +38,17 @@ cand as (select * from (select sc.*, row_number() over (partition by item_id ord
 
 def lex(t: Inputs):
     words = F.split("kw_text", " ")
-    return mt.lexicon(t.fx_role.select("slug", F.array_append(words, F.col("name_en")).alias("keywords")))
+    parts = F.split("name_en", " ")
+    aliases = t.fx_role.filter(F.endswith("slug", F.lit("7"))).select(
+        "slug", F.concat_ws(" ", parts[1], parts[0]).alias("phrase"), F.lit(1000).alias("position"))
+    return mt.lexicon(t.fx_role.select("slug", F.array_append(words, F.col("name_en")).alias("keywords")), aliases)
 
 
 def candidates(t: Inputs):
     return mt.select_candidates(t.fx_item, lex(t), noise=FX_NOISE, workflow=FX_WORKFLOW)
 
 
-@query("J5_phrase_match", f"with {SCORES} select item_id, slug, score, cast(matched as bigint) as matched from sc")
+@query("J5_phrase_match", f"with {SCORES} select item_id, slug, score, cast(matched as bigint) as matched from sc where matched > 0")
 def j5(t: Inputs):
     return mt.role_scores(t.fx_item, lex(t)).select(
         "item_id", "slug", "score", F.col("matched").cast("long").alias("matched")
@@ -53,9 +58,7 @@ def j5(t: Inputs):
 @query("A11_keyword_score", f"""
 with {SCORES} select item_id, count(*) as roles, sum(score) as total, max(score) as best from sc group by item_id""")
 def a11(t: Inputs):
-    return mt.role_scores(t.fx_item, lex(t)).groupBy("item_id").agg(
-        F.count("*").alias("roles"), F.sum("score").alias("total"), F.max("score").alias("best")
-    )
+    return mt.score_totals(t.fx_item, lex(t))
 
 
 @query("I3_role_candidates", f"""
