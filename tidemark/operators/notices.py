@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions.rates import delta, direction
 from tidemark.functions.text import trim_lower
+from tidemark.operators.joins import dealt_join
 from tidemark.operators.ranking import top_k
 from tidemark.operators.timeline import latest_signals, since_boundaries
 
@@ -85,15 +86,15 @@ def without_pending(rows: DataFrame, pending: DataFrame) -> DataFrame:
 
 
 def watchlists(subs: DataFrame, state: DataFrame, signals: DataFrame) -> DataFrame:
-    """Watched roles per email, newest subscription first, with the latest signal of each role."""
+    """Watched roles per email, newest subscription first, with the latest signal of each role.
+
+    The order holds within an email, whose rows lie together.
+    """
     latest = latest_signals(signals).select("slug", F.col("latest.summary_en").alias("latest_summary"),
                                             F.col("latest.published_at").alias("latest_published_at"))
-    return (
-        subs.withColumn("email", trim_lower(F.col("email")))
-        .join(state.drop("email"), "slug")
-        .join(latest, "slug", "left")
-        .orderBy("email", F.col("created_at").desc(), "slug")
-    )
+    roles = state.drop("email").join(latest, "slug", "left")
+    watched = dealt_join(subs.withColumn("email", trim_lower(F.col("email"))), roles, "slug", ["email"])
+    return watched.repartition("email").sortWithinPartitions("email", F.col("created_at").desc(), "slug")
 
 
 def _plural(n: Column) -> Column:
@@ -127,8 +128,9 @@ def due_digests(
     due = without_pending(
         basis.withColumns({"kind": F.lit("WEEKLY_DIGEST"), "slug": F.lit(None).cast("string")}), pending
     ).withColumn("boundary", F.coalesce("last_digest_at", "oldest_created_at"))
-    watched = own.join(due.select("email", "boundary"), "email").join(
-        state.select("slug", "name_en", "name_zh", "replacement_rate", "risk_level"), "slug"
+    watched = dealt_join(
+        own.join(due.select("email", "boundary"), "email"),
+        state.select("slug", "name_en", "name_zh", "replacement_rate", "risk_level"), "slug", ["email"],
     )
     lists = _recent(
         since_boundaries(timeline, watched.select("email", "slug", "boundary"), 2), ["email", "slug"]
@@ -150,8 +152,9 @@ def due_alerts(
     subs: DataFrame, state: DataFrame, timeline: DataFrame, pending: DataFrame, product: str
 ) -> DataFrame:
     """One row per email and role whose rate moved far enough since the last alert."""
-    joined = subs.withColumn("email", trim_lower(F.col("email"))).join(
-        state.select("slug", "name_en", "replacement_rate", "last_rated_at"), "slug"
+    joined = dealt_join(
+        subs.withColumn("email", trim_lower(F.col("email"))),
+        state.select("slug", "name_en", "replacement_rate", "last_rated_at"), "slug", ["email"],
     )
     moved = joined.filter(
         significant_change(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions.urls import host, is_public, mentions_example
+from tidemark.operators.joins import dealt_join
 from tidemark.operators.ranking import last_value_first_position, top_k
 
 
@@ -49,7 +50,7 @@ def since_boundaries(timeline: DataFrame, boundaries: DataFrame, k: int) -> Data
     hold every answer and the join sees at most k rows per role. ``boundaries``: slug, boundary.
     """
     recent = timeline.filter(F.col("timeline_rank") <= k)
-    return boundaries.join(recent, "slug").filter(F.col("published_at") > F.col("boundary"))
+    return dealt_join(boundaries, recent, "slug", boundaries.columns).filter(F.col("published_at") > F.col("boundary"))
 
 
 def latest_signals(signals: DataFrame, keys: tuple[str, ...] = ("slug",)) -> DataFrame:
@@ -97,7 +98,7 @@ def star(items: DataFrame, roles: DataFrame) -> DataFrame:
         F.col("slug").alias("decision_slug"), F.lit(True).alias("role_known"),
         F.col("name_en").alias("role_name_en"), F.col("name_zh").alias("role_name_zh"),
     )
-    return items.join(names, "decision_slug", "left")
+    return dealt_join(items, names, "decision_slug", ["item_id"], "left")
 
 
 def _newest_rows(df: DataFrame, n: int) -> DataFrame:

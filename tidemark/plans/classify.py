@@ -14,6 +14,7 @@ from tidemark.functions.bind import bind, let
 from tidemark.functions.typed_json import json_optional_text, json_text, json_type
 from tidemark.functions.policy import source_kind
 from tidemark.functions.text import fold_ascii, has_workflow_language
+from tidemark.operators.joins import dealt_join
 from tidemark.operators.matching import hint_backed, matched_phrases
 from tidemark.session import cut_lineage
 
@@ -36,27 +37,35 @@ ALLOWED = {
 
 
 # ---- context ---------------------------------------------------------------------------------
-def with_candidates(items: DataFrame, candidates: DataFrame, lex: DataFrame) -> DataFrame:
-    """Adds the candidate slugs in rank order and the top candidate with its matched phrases."""
+def with_candidates(items: DataFrame, candidates: DataFrame, lex: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """Adds ``candidate_slugs`` in rank order, ``candidates`` (what a model is told of each) and ``top``.
+
+    ``roles``: slug, name_en, name_zh; without it names are NULL. A candidate has slug, score, names, keywords and the
+    keywords matched. Texts are shuffled by item only; a role with many items is dealt over parts.
+    """
+    phrases = lex.groupBy("slug").agg(F.collect_list(F.struct("position", "phrase", "normal")).alias("phrases"))
+    if roles is None:
+        named = phrases.withColumns({"name_en": F.lit(None).cast("string"), "name_zh": F.lit(None).cast("string")})
+    else:
+        named = phrases.join(roles.select("slug", "name_en", "name_zh"), "slug", "left")
     # at most twenty per item
-    listed = candidates.groupBy("item_id").agg(
-        F.array_sort(F.collect_list(F.struct("candidate_rank", "slug"))).alias("_c"),
-        F.min_by(F.struct("slug", "score"), "candidate_rank").alias("_top"),
-    )
-    phrases = lex.groupBy(F.col("slug").alias("_slug")).agg(
-        F.collect_list(F.struct("position", "phrase", "normal")).alias("_phrases")
-    )
-    slugs = F.coalesce(F.transform("_c", lambda c: c["slug"]), F.array().cast("array<string>"))
-    matched = matched_phrases(F.col("_t"), F.col("_s"), F.col("_h"), F.col("_phrases"))
-    top = F.struct(F.col("_top.slug").alias("slug"), F.col("_top.score").alias("score"), matched.alias("matched"))
-    joined = items.join(listed, "item_id", "left").join(phrases, F.col("_top.slug") == F.col("_slug"), "left")
+    listed = dealt_join(candidates.select("item_id", "candidate_rank", "slug", "score"), named, "slug", ["item_id"], "left").groupBy(
+        "item_id").agg(F.array_sort(F.collect_list(
+            F.struct("candidate_rank", "slug", "score", "name_en", "name_zh", "phrases"))).alias("_c"))
     folded = bind(
-        joined, _t=fold_ascii(F.col("title")), _s=fold_ascii(F.col("summary")),
-        _h=fold_ascii(F.array_join("hints", " ")), candidate_slugs=slugs,
-    )
-    return bind(folded, top=F.when(F.col("_top").isNotNull(), top)).drop(
-        "_c", "_top", "_slug", "_phrases", "_t", "_s", "_h"
+        items.join(listed, "item_id", "left"), _t=fold_ascii(F.col("title")), _s=fold_ascii(F.col("summary")),
+        _h=fold_ascii(F.array_join("hints", " ")),
     )
+    told = F.transform("_c", lambda c: F.struct(
+        c["slug"].alias("slug"), c["score"].alias("score"), c["name_en"].alias("name_en"), c["name_zh"].alias("name_zh"),
+        F.transform(F.array_sort(c["phrases"]), lambda p: p["phrase"]).alias("keywords"),
+        matched_phrases(F.col("_t"), F.col("_s"), F.col("_h"), c["phrases"]).alias("matched")))
+    bound = bind(folded, candidates=told)
+    top = F.get("candidates", 0)
+    return bound.withColumns({
+        "candidate_slugs": F.coalesce(F.transform("candidates", lambda c: c["slug"]), F.array().cast("array<string>")),
+        "top": F.when(top.isNotNull(), F.struct(top["slug"].alias("slug"), top["score"].alias("score"), top["matched"].alias("matched"))),
+    }).drop("_c", "_t", "_s", "_h")
 
 
 def with_input_hashes(items: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -231,11 +240,12 @@ def classify(
     unmatched = _unmatched(
         source_kind(F.col("source_type")), F.lit(texts["no_candidate"][0]), F.lit(texts["no_candidate"][1]), none, none, none
     )
-    settled = bind(items, c=F.when(no_candidates, unmatched).otherwise(from_cache))
+    # matching and probing are behind this; kept, so that neither runs again for the join with the answers
+    settled = cut_lineage(bind(items, c=F.when(no_candidates, unmatched).otherwise(from_cache)))
     open_rows = settled.filter(F.col("c").isNull())
     # answers are paid for: kept in the shared folder, so nothing asks the model twice
     asked = cut_lineage(run_model(
-        open_rows, model, "item_id", ["item_id", "source_type", "title", "summary", "hints", "candidate_slugs"]
+        open_rows, model, "item_id", ["item_id", "source_type", "title", "summary", "hints", "candidate_slugs", "candidates"]
     )).select(
         "item_id", valid_result(F.col("result")).alias("_r"), F.col("provider").alias("_provider"),
         F.col("model").alias("_model"),

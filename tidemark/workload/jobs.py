@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.plans import classify as cl
 from tidemark.plans import ingest, refresh, regression
+from tidemark.session import cut_lineage
 from tidemark.workload.catalogue import profile_roles, profile_sql
 from tidemark.workload.evidence import WEIGHTED
 from tidemark.workload.matching import GATED, candidates, lex
@@ -20,7 +21,7 @@ MODELS = (rules.DEFAULT_MODEL, f"primary:{rules.DEFAULT_MODEL}")
 
 def contexts(t: Inputs):
     items = t.fx_item.withColumn("hints", F.split("hint_text", " "))
-    return cl.with_input_hashes(cl.with_candidates(items, candidates(t), lex(t)), MODELS)
+    return cl.with_input_hashes(cl.with_candidates(items, candidates(t), lex(t), t.fx_role), MODELS)
 
 
 def stored_rows(ctx):
@@ -47,7 +48,7 @@ def stored_rows(ctx):
 
 
 def probed(t: Inputs):
-    ctx = contexts(t)
+    ctx = cut_lineage(contexts(t))  # read twice: as the input and as what the stored rows derive from
     return cl.probe_cache(ctx, stored_rows(ctx), MODELS)
 
 
@@ -60,15 +61,17 @@ def stub_model(batch):
     if (batch["item_id"] % 4 == 3).any():
         raise ValueError("model is down")
 
-    def answer(item_id, slugs):
+    def answer(item_id, slugs, told):
         slug = {0: slugs[0], 1: None, 2: "r-outside"}[item_id % 4]
+        first = told[0]
+        seen = f"{first['name_en']}/{first['name_zh']}/{len(first['keywords'])}/{len(first['matched'])}/{first['score']:.1f}"
         return json.dumps({
             "assignedRoleSlug": slug, "sourceKind": "official", "signalType": "adoption_case",
-            "relevance": "none" if slug is None else "high", "impactDirection": "increase", "explanation": "because",
+            "relevance": "none" if slug is None else "high", "impactDirection": "increase", "explanation": seen,
             "summaryEn": "short", "summaryZh": None, "signalWeight": "primary",
         })
 
-    results = [answer(i, list(s)) for i, s in zip(batch["item_id"], batch["candidate_slugs"])]
+    results = [answer(i, list(s), c) for i, s, c in zip(batch["item_id"], batch["candidate_slugs"], batch["candidates"])]
     return pd.DataFrame({"item_id": batch["item_id"], "result": results, "provider": "stub", "model": "m"})
 
 
@@ -317,7 +320,10 @@ def u1(t: Inputs):
     return i8(t).select("slug", "risk_model", "scored_summary")
 
 
-@query("U2_injected_classifier", f"with {ROUTED} select route, count(*) as items from cls group by route")
+@query("U2_injected_classifier", f"""
+with {ROUTED}, nk as (select slug, count(*) as kw from lexi group by slug)
+select item_id, concat(r.name_en, '/', r.name_zh, '/', kw, '/', least(6, matched), '/', printf('%.1f', score)) as told
+from cls join fx_role r on r.slug = top_slug join nk on nk.slug = top_slug where route = 'model'""")
 def u2(t: Inputs):
     routed = cl.classify(probed(t), stub_model, workflow=FX_WORKFLOW)
-    return routed.groupBy("route").agg(F.count("*").alias("items"))
+    return routed.filter(F.col("route") == "model").select("item_id", F.col("c.explanation").alias("told"))
