@@ -12,7 +12,9 @@ from tidemark.functions.bind import bind
 from tidemark.functions.policy import is_discovery
 from tidemark.functions.text import trim_all
 from tidemark.functions.urls import canonical
+from tidemark.operators.joins import dealt_join
 from tidemark.operators.ranking import first_per_key, last_value_first_position
+from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -32,10 +34,11 @@ def normalise_fetch(raw: DataFrame) -> Intake:
     """
     keyed = bind(raw, url_key=canonical(F.col("source_url")))
     one = last_value_first_position(keyed, ["source_ord", "url_key"], "idx")
-    parsed = one.withColumn("published_at", parse_timestamp(F.col("published")))
+    # kept, so that finding the failed sources and using the rest is one pass over the fetch
+    parsed = cut_lineage(one.withColumn("published_at", parse_timestamp(F.col("published"))))
     failed = parsed.filter(F.col("published_at").isNull()).select("source_ord").distinct()
-    # at most one row per source fails, however large the sources are
-    good = parsed.join(failed, "source_ord", "left_anti")
+    # few sources hold all rows: they are dealt over parts
+    good = dealt_join(parsed, failed, "source_ord", ["url_key"], "left_anti")
     kept = first_per_key(good, ["url_key"], [F.col("source_ord"), F.col("first_position")])
     stored = F.when(is_discovery(F.col("source_catalog_id")), F.col("url_key")).otherwise(F.col("source_url"))
     items = kept.withColumns(
