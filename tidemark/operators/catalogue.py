@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import rules
+from tidemark.functions.bind import unfold
 from tidemark.functions.presentation import resolved_summary
 from tidemark.functions.profile import profile_columns, profile_reasons, profile_summary, profile_text
 from tidemark.functions.rates import severity_rank
@@ -192,6 +193,18 @@ def topic_rows(
     return ranked.filter(F.col("topic_rank") <= F.col("topic_limit")).drop("topic_limit")
 
 
+def featured_topics(
+    rows: DataFrame, featured: Sequence[str] = rules.FEATURED_TOPICS,
+    topics: Mapping[str, tuple[Sequence[str] | None, int | None, int]] = rules.TOPICS,
+) -> DataFrame:
+    """Ranked rows of the featured topics with ``featured_rank``, their place in the list; all must be defined."""
+    missing = [slug for slug in featured if slug not in topics]
+    if missing:
+        raise ValueError(f"featured topics without a definition: {', '.join(missing)}")
+    place = F.element_at(F.create_map(*[x for i, s in enumerate(featured, 1) for x in (F.lit(s), F.lit(i))]), F.col("topic"))
+    return topic_rows(rows, {slug: topics[slug] for slug in featured}).withColumn("featured_rank", place)
+
+
 # ---- related roles ---------------------------------------------------------------------------
 def related_roles(roles: DataFrame, k: int) -> DataFrame:
     """Per role the k active roles of its group which share most keywords.
@@ -277,14 +290,16 @@ def _quote(ch: str) -> str:
     return ch if ch.isalnum() else "\\" + ch
 
 
-def search_names(names: DataFrame, query: str, folded: Sequence[str], label: str, blank: bool = False) -> DataFrame:
-    """Best matches of one typed query over a dictionary: the first 8, or 6 for a blank query."""
-    scored = names.withColumn("score", search_score(query, [F.col(c) for c in folded]))
-    return (
-        scored.filter(F.col("score") >= 0)
-        .orderBy(F.col("score").desc(), F.col(label).asc(), F.col("slug").asc())
-        .limit(6 if blank or not query else 8)
-    )
+def search_names(names: DataFrame, queries: Sequence[str], folded: Sequence[str], label: str) -> DataFrame:
+    """Best matches of typed queries over a dictionary, ``query`` and ``score``: the first 8, or 6 for a blank query.
+
+    One pass over the dictionary answers all queries.
+    """
+    scores = [F.struct(F.lit(q).alias("query"), search_score(q, [F.col(c) for c in folded]).alias("score")) for q in queries]
+    scored = unfold(names, F.filter(F.array(*scores), lambda x: x["score"] >= 0), *names.columns)
+    order = [F.col("score").desc(), F.col(label).asc(), F.col("slug").asc()]
+    best = top_k(scored, ["query"], order, 8, rank="_rank")
+    return best.filter((F.col("_rank") <= 6) | (F.col("query") != "")).drop("_rank")
 
 
 # ---- discovery queries -----------------------------------------------------------------------

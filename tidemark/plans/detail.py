@@ -11,7 +11,7 @@ from tidemark.functions.presentation import resolved_summary
 def role_detail(state: DataFrame, timeline: DataFrame, related: DataFrame, trend: DataFrame) -> DataFrame:
     """Bounded lists per role: ten timeline rows, six related roles, one trend point per bucket.
 
-    ``state``: slug and texts; ``timeline``: slug, timeline_rank, url, title, published_at;
+    ``state``: slug and texts; ``timeline`` (the merged one): slug, timeline_rank, url, title, published_at;
     ``related``: base_slug, related_rank, related_slug; ``trend``: slug, grain, bucket, average_rate,
     points.
     """

@@ -340,6 +340,18 @@ def i18(t: Inputs):
     )
 
 
+FEATURED_FX = ("plates", "high")
+
+
+@query("I18_featured_topics", f"""
+with {TOPIC_SQL} select case topic when 'plates' then 1 else 2 end as featured_rank, topic, topic_rank, slug
+from r where topic_rank <= lim and topic in ('plates', 'high')""")
+def i18_featured(t: Inputs):
+    return cat.featured_topics(topic_input(t), FEATURED_FX, TOPICS_FX).select(
+        F.col("featured_rank").cast("long").alias("featured_rank"), "topic", F.col("topic_rank").cast("long").alias("topic_rank"), "slug"
+    )
+
+
 @query("W4_topic_order", f"""
 with {TOPIC_SQL} select slug, topic_rank from r where topic = 'rings' and topic_rank <= 24""")
 def w4(t: Inputs):
@@ -394,17 +406,11 @@ SEARCHES = ("small ring", "ring small", "bolt", "rdwdgt", "r12", "hot plate zh")
 r as (select *, row_number() over (partition by q order by score desc, name_en, slug) as rn from s where score >= 0)
 select q, slug, score from r where rn <= 8""")
 def w20(t: Inputs):
-    from functools import reduce
-
     from tidemark.functions.text import fold_unicode
 
     folded = t.fx_role.select("slug", "name_en", *[fold_unicode(F.col(c)).alias(f"f_{c}") for c in ("name_en", "name_zh", "slug")])
-    found = [
-        cat.search_names(folded, q, ("f_name_en", "f_name_zh", "f_slug"), "name_en").select(
-            F.lit(q).alias("q"), "slug", F.col("score").cast("long").alias("score"))
-        for q in SEARCHES
-    ]
-    return reduce(lambda a, b: a.unionByName(b), found)
+    return cat.search_names(folded, SEARCHES, ("f_name_en", "f_name_zh", "f_slug"), "name_en").select(
+        F.col("query").alias("q"), "slug", F.col("score").cast("long").alias("score"))
 
 
 @query("T6_distinct_ignoring_case", """

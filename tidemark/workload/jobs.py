@@ -315,6 +315,19 @@ def i24(t: Inputs):
     return regression.score_report(cases, scores).select("id", "in_range", "band_ok")
 
 
+@query("I24_attribution_report", f"""
+with {ROUTED}, e as (select item_id as id, case when item_id % 3 = 0 then top_slug when item_id % 3 = 1 then 'r-outside' end as expected,
+  assigned_slug as actual from cls)
+select id, expected, actual, expected is not distinct from actual as ok from e""")
+def i24_attribution(t: Inputs):
+    rows = cut_lineage(cl.classify(probed(t), stub_model, workflow=FX_WORKFLOW).select("item_id", "candidate_slugs", "c"))
+    case = F.col("item_id") % 3
+    cases = rows.select(
+        F.col("item_id").alias("id"), F.when(case == 0, F.get("candidate_slugs", 0)).when(case == 1, "r-outside").alias(
+            "expectedAssignedRoleSlug"))
+    return regression.attribution_report(cases, rows).select("id", "expected", "actual", "ok")
+
+
 @query("U1_injected_scorer", f"select slug, risk_model, scored_summary from ({I8_SQL})")
 def u1(t: Inputs):
     return i8(t).select("slug", "risk_model", "scored_summary")

@@ -201,10 +201,9 @@ def w17(t: Inputs):
     )
 
 
-@query("I17_role_detail", f"""
-with {LINE},
-items as (select slug, count(*) as n, max(published_at) as latest, string_agg(item_id, ',' order by timeline_rank) as ids
-          from line where source_host <> 'example.com' group by slug),
+@query("I17_role_detail", f"""{MERGED_SQL},
+items as (select slug, count(*) as n, max(published_at) as latest, string_agg(row_id, ',' order by timeline_rank) as ids
+          from w where timeline_rank <= 10 group by slug),
 d as (select *, string_split(kw_text, ' ') as kw from fx_role),
 pr as (select a.slug as base_slug, b.slug as related_slug, b.name_en, case when b.name_zh <> b.name_en then 0 else 1 end as un,
         len(list_filter(a.kw, lambda x: list_contains(b.kw, x))) as overlap
@@ -218,9 +217,7 @@ select s.slug, coalesce(n, 0) as timeline_count, latest as latest_published_at,
    {_resolved('s.risk_summary_en', 'coalesce(n, 0)', 'en')} as risk_summary_en
 from fx_state s left join items using (slug) left join near using (slug) left join trs using (slug)""")
 def i17(t: Inputs):
-    line = tl.timelines(t.fx_evidence).select(
-        "slug", "timeline_rank", F.col("item_id").alias("url"), "title", "published_at"
-    )
+    line = merged(t).select("slug", "timeline_rank", F.col("row_id").alias("url"), "title", "published_at")
     points = trend(t.fx_snapshot).select(F.concat(F.lit("r"), "role_id").alias("slug"), "grain", "bucket", "average_rate", "points")
     d = role_detail(t.fx_state, line, cat.related_roles(roles(t), 6), points)
 
