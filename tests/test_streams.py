@@ -59,7 +59,7 @@ def test_first_seen_over_batches(spark):
     stream = st.read_stream(spark, _files(spark, df, "n", 4), files_per_trigger=1)
     out = new_state_dir(spark, "seen")
     st.drain(stream, st.first_seen(out, ["key"], [F.col("pos")]))
-    assert sorted((r.key, r.pos) for r in spark.read.parquet(out).collect()) == [(f"k{i}", i) for i in range(6)]
+    assert sorted((r.key, r.pos) for r in st.seen_rows(spark, out).collect()) == [(f"k{i}", i) for i in range(6)]
 
 
 def test_upsert_stream_over_batches(spark):
@@ -70,6 +70,16 @@ def test_upsert_stream_over_batches(spark):
     assert sorted(map(tuple, st.latest_version(spark, out).select("key", "v").collect())) == [(f"k{i}", 15 + i) for i in range(5)]
 
 
+def test_batches_without_rows_and_a_repeated_batch(spark):
+    out = new_state_dir(spark, "up")
+    each = st.upsert_into(out, None, ["key"], [F.col("v").desc()])
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "key string, v int")
+    for number, batch in enumerate((df.limit(0), df, df.limit(0), df.filter("key = 'a'").withColumn("v", F.lit(9)))):
+        each(batch, number)
+    each(df.filter("key = 'a'").withColumn("v", F.lit(9)), 3)
+    assert sorted(map(tuple, st.latest_version(spark, out).select("key", "v").collect())) == [("a", 9), ("b", 2)]
+
+
 def test_trend_stream_over_batches(spark):
     from tidemark.operators.trend import trend
 

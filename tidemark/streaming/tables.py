@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators.ranking import first_per_key
 from tidemark.operators.state import upsert
@@ -17,6 +18,10 @@ from tidemark.operators.trend import bucket_labels
 from tidemark.session import new_state_dir
 
 
+#: Buckets by key of the tables which batches read again.
+BUCKETS = 32
+
+
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A stream over parquet files of one layout; a path to a single file works too."""
     schema = spark.read.parquet(path).schema
@@ -47,39 +52,72 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
+def _with_bucket(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+
+
+def _touched(df: DataFrame) -> list[int]:
+    """Buckets of a batch, at most BUCKETS."""
+    return [r["_bucket"] for r in df.select("_bucket").distinct().collect()]
+
+
 def first_seen(path: str, keys: Sequence[str], order: Sequence[Column]) -> Callable[[DataFrame, int], None]:
-    """Keeps the first row per key: within a batch by order, across batches by arrival."""
+    """Keeps the first row per key: within a batch by order, across batches by arrival.
+
+    Rows lie in buckets by key, and a batch reads the keys of its own buckets only.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = first_per_key(batch, keys, order)
+        fresh = _with_bucket(first_per_key(batch, keys, order), keys)
         if number > 0:
-            seen = spark.read.parquet(path).filter(F.col("batch") < number).select(*keys)
-            fresh = fresh.join(seen, list(keys), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            stored = spark.read.schema(StructType([*fresh.schema.fields]).add("batch", "integer")).parquet(path)
+            seen = stored.filter((F.col("batch") < number) & F.col("_bucket").isin(_touched(fresh)))
+            fresh = fresh.join(seen.select("_bucket", *keys), ["_bucket", *keys], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/batch={number}")
 
     return each
 
 
+def seen_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch", "_bucket")
+
+
 def upsert_into(
     path: str, initial: DataFrame | None, keys: Sequence[str], order: Sequence[Column], keep_if_null: Sequence[str] = ()
 ) -> Callable[[DataFrame, int], None]:
-    """Each batch gives the next version of a keyed table; of a key's rows in a batch the first in order."""
+    """A keyed table in buckets by key; of a key's rows in a batch the first in order counts.
+
+    A batch writes a new version of the buckets it touches and reads no others. A batch that is run again reads the
+    versions before it and replaces its own.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = first_per_key(batch, keys, order) if order else batch
-        old = spark.read.parquet(f"{path}/version={number - 1}") if number > 0 else initial
-        following = rows if old is None else upsert(old, rows.select(old.columns), keys, keep_if_null)
-        following.write.mode("overwrite").parquet(f"{path}/version={number}")
+        rows = _with_bucket(first_per_key(batch, keys, order) if order else batch, keys)
+        if number == 0:
+            old = None if initial is None else _with_bucket(initial, keys)
+        else:
+            touched = _touched(rows)
+            if not touched:
+                return
+            schema = StructType([*rows.schema.fields]).add("version", "integer")  # earlier batches may have had no rows
+            stored = spark.read.schema(schema).parquet(path)
+            old = _newest(stored.filter(F.col("version") < number)).filter(F.col("_bucket").isin(touched))
+        following = rows if old is None else upsert(old, rows.select(old.columns), ["_bucket", *keys], keep_if_null)
+        following.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/version={number}")
 
     return each
 
 
+def _newest(table: DataFrame) -> DataFrame:
+    """Rows of each bucket's newest version."""
+    newest = table.groupBy("_bucket").agg(F.max("version").alias("version"))  # one row per bucket
+    return table.join(F.broadcast(newest), ["_bucket", "version"], "left_semi").drop("version")
+
+
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/version={newest}")
+    return _newest(spark.read.parquet(path)).drop("_bucket")
 
 
 def trend_stream(snapshots: DataFrame, keys: Sequence[str] = ("role_id",)) -> DataFrame:

@@ -110,7 +110,7 @@ def s3(t: Inputs):
     keyed = fetched.select(canonical(F.col("source_url")).alias("key"), "source_ord", "idx")
     path = new_state_dir(t.spark, "seen")
     st.drain(keyed, st.first_seen(path, ["key"], [F.col("source_ord"), F.col("idx")]))
-    return t.spark.read.parquet(path).drop("batch")
+    return st.seen_rows(t.spark, path)
 
 
 @query("S4_upsert_stream", """
