@@ -146,9 +146,3 @@ def has_broad_noise(text: Column, terms: Iterable[str] = rules.BROAD_NOISE_TERMS
 
 def has_workflow_language(text: Column, terms: Iterable[str] = rules.WORKFLOW_TERMS) -> Column:
     return F.rlike(text, F.lit(term_pattern(terms)))
-
-
-def clean_keywords(json: Column) -> Column:
-    """A stored JSON list with anything but strings dropped."""
-    items = F.from_json(json, "array<string>")
-    return F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda k: k.isNotNull())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -175,10 +174,3 @@ def _exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.exists(p)
-
-
-def write_version(df: DataFrame, root: str) -> str:
-    """Write a complete new version next to the old ones and return where it is."""
-    path = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path

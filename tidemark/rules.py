@@ -25,7 +25,6 @@ CLASS_FACTOR = {"official": 1.0, "media": 0.8, "jobs": 0.6}
 LABEL_FACTOR = {"primary": 1.0, "secondary": 0.7, "supporting": 0.45}
 RELEVANCE_FACTOR = {"high": 1.0, "medium": 0.8, "low": 0.55, "none": 0.0}
 SCORE_CACHE_HOURS = 6
-SEARCH_CACHE_HOURS = 24
 ITEM_PROMPT_VERSION = "2026-04-16-v7"
 SCORE_PROMPT_VERSION = "2026-04-16-v2"
 # score caches written by these providers are reused only while fresh
@@ -325,7 +324,6 @@ REFERENCE_TITLE_TERMS = (
 )
 QUERIES_BUILT = 8
 QUERIES_RUN = 3
-HITS_PER_QUERY = 20
 TIMELINE_SIZE = 10
 ADJUDICATIONS = 3
 TASK_KEYWORDS = 4

@@ -107,9 +107,7 @@ select i.item_id, case when t >= 3 and (s is null or t - s >= 2 or s <= 1) then
    case when t >= 3 then 'high' when t >= 2 then 'medium' when t >= 1 then 'low' end as confidence, coalesce(t, 0) as top_score
 from fx_item i left join b using (item_id)""")
 def i2(t: Inputs):
-    rows = [(s, p) for s, ps in FX_MAPPING.items() for p in ps]
-    words = t.spark.createDataFrame(rows, "slug string, phrase string")
-    return mt.keyword_decisions(t.fx_item, words)
+    return mt.keyword_decisions(t.fx_item, mt.mapping_lexicon(t.spark, FX_MAPPING))
 
 
 @query("J14_assigned_in_candidates", f"""

@@ -101,13 +101,13 @@ def p10(t: Inputs):
 
 
 @query("P25_content_hash", f"""
-select count(*) as texts, count(distinct concat(lang, '|', trim(regexp_replace(text, '{SPACE_SQL}', ' ', 'g')))) as hashes
-from documents""")
+with x as (select doc_id, lang, source, trim(regexp_replace(text, '{SPACE_SQL}', ' ', 'g')) as t from documents)
+select doc_id, sha256(concat('{{"lang":"', lang, '","text":"', replace(replace(t, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '"}}')) as hash,
+   sha256(concat('{{"slug":"', lang, '","provider":"p","query":"', source, ' jobs"}}')) as query_hash from x""")
 def p25(t: Inputs):
     h = hashing.stable_hash(F.col("lang"), text.collapse_space(F.col("text")).alias("text"))
-    return t.documents.select(h.alias("h")).agg(
-        F.count("*").alias("texts"), F.count_distinct("h").alias("hashes")
-    )
+    q = hashing.query_hash(F.col("lang"), F.lit("p"), F.concat("source", F.lit("  jobs ")))
+    return t.documents.select("doc_id", h.alias("hash"), q.alias("query_hash"))
 
 
 FX_NOISE = ("the and", "thand", "onan", "lles")
