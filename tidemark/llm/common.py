@@ -40,11 +40,14 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "left") -
     return in_hot.unionByName(cold)
 
 
+def sent_if_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A frame of at most that many rows goes to every task; a larger one is left to a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows whose key is not among ``ids``; only a counted, bounded list is sent to the tasks."""
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, key, "left_anti")
+    return docs.join(sent_if_bounded(ids), key, "left_anti")
 
 
 def text_or_empty(column: str = "text") -> Column:

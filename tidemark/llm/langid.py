@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import id_text
+from tidemark.llm.common import id_text, sent_if_bounded
 
 #: Bytes of a window; each window is one sequence and every byte of a text lies in one window.
 WINDOW = 96
@@ -200,10 +200,14 @@ def sample(docs: DataFrame, key: str, text: str, label: str) -> list[tuple[str,
     """
     ids = docs.select(F.col(key).alias("_k"), F.col(label).alias("_l")).filter(
         F.col("_l").isNotNull() & F.col("_k").isNotNull() & ~held_out("_k"))
-    chosen = ids.select("_l", F.struct(F.md5(id_text("_k")).alias("d"), F.col("_k").alias("k")).alias("s"))
-    ranked = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("s"))).filter(
-        F.col("_n") <= SAMPLE_DOCS)
-    picked = F.broadcast(ranked.select(F.col("s.k").alias("_k")).distinct())
+    digest = F.md5(id_text("_k"))
+    part = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    # a digest bound by the language's count leaves about four times the sample, so no task ranks a whole language
+    counts = ids.groupBy("_l").agg(F.count("*").alias("_c"))
+    few = ids.join(sent_if_bounded(counts), "_l").filter(part < 4.0 * SAMPLE_DOCS / F.col("_c"))
+    ranked = few.select("_l", "_k", F.row_number().over(
+        Window.partitionBy("_l").orderBy(digest, "_k")).alias("_n")).filter(F.col("_n") <= SAMPLE_DOCS)
+    picked = F.broadcast(ranked.select("_k").distinct())
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(label).alias("_l")).filter(
         F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}")).join(picked, "_k").select(
         F.substring("_t", 1, SAMPLE_CHARS).alias("_t"), "_l").collect()
