@@ -43,7 +43,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return secrets.digest(secrets.scan(docs, "doc_id", "text", "source"))
+    return secrets.digest(secrets.scan(docs, "doc_id", "text", "source", by_passage=True))
 
 
 @query("op4_rendezvous_shards")

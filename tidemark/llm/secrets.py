@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.bind import bind, let
 from tidemark.llm.common import join_unique, keep, text_or_empty
+from tidemark.llm.components import components
 
 #: Fixed patterns of the base kinds, in the order of the listing: kind, pattern, group of the value, least length.
 BASE_KINDS = (
@@ -22,6 +23,8 @@ MORE_KINDS = (
 )
 #: Owners from which a value counts as a widely copied example.
 SHARED_OWNERS = 3
+#: Words on each side of a value, and characters they are looked for in, which tell a copied passage from another use.
+AROUND, AROUND_CHARS = 6, 120
 #: Least length of a live-looking value; it also needs a digit.
 LIVE_LENGTH = 16
 MARK = "<secret>"
@@ -68,13 +71,42 @@ def _listed(of: Column) -> Column:
     return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def around(text: Column, s: Column) -> tuple[Column, Column]:
+    """Hashes of the words before and after a span's value (which ends the span); null where there are none."""
+    def words(part: Column) -> Column:
+        return F.filter(F.split(F.lower(part), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def hashed(x: Column) -> Column:
+        return F.when(F.size(x) > 0, F.xxhash64(F.slice(x, 1, AROUND)))
+
+    at = s["end"] - F.length(s["value"])
+    before = F.substring(text, F.greatest(at - AROUND_CHARS, F.lit(0)) + 1, F.least(at, F.lit(AROUND_CHARS)))
+    return hashed(F.reverse(words(before))), hashed(words(F.substring(text, s["end"] + 1, F.lit(AROUND_CHARS))))
+
+
+def holders(values: DataFrame) -> DataFrame:
+    """(hash, holders): passages a value stands in, where passages alike on either side of the value are one.
+
+    So all copies and near copies of a text count once, unless words on both sides of the value were edited.
+    """
+    name = lambda side, x: F.xxhash64("hash", F.lit(side), x)
+    both = values.select("hash", "left", "right").distinct().select(
+        "hash", name("left", F.coalesce("left", name("right", F.col("right")))).alias("a"),
+        name("right", F.coalesce("right", name("left", F.col("left")))).alias("b"))
+    both = keep(both.distinct(), "secret-passages")
+    roots = components(both.select("a", "b"), "a", "b")
+    return both.join(roots, both["a"] == roots["node"]).select("hash", "root").distinct().groupBy("hash").agg(
+        F.count("*").alias("holders"))
+
+
 def scan(df: DataFrame, key: str, text: str, owner: str, repository: str | None = None,
-         shared_owners: int = SHARED_OWNERS) -> DataFrame:
+         shared_owners: int = SHARED_OWNERS, by_passage: bool = False) -> DataFrame:
     """Candidate spans of every row, each with its class.
 
     A value's hash is counted by distinct repositories and owners over the whole corpus. Values of at least
     ``shared_owners`` owners are ``shared`` (copied examples); of the rest those of ``LIVE_LENGTH`` characters with a
-    digit are ``live``, all others ``weak``. Without a repository column each key is a repository of its own. Null
+    digit are ``live``, all others ``weak``. With ``by_passage`` they must also stand in as many different passages, so that
+    a text copied to several owners does not make its own secrets examples. Without a repository column each key is a repository of its own. Null
     texts are empty, null owners are one owner, repeated rows count once in the frequencies and each keep their row,
     an empty table gives no rows, further columns are ignored.
 
@@ -86,7 +118,8 @@ def scan(df: DataFrame, key: str, text: str, owner: str, repository: str | None
         "_k", "_o", "_r", F.xxhash64("_t").alias("_h"), F.transform("_s", lambda s: F.struct(
             s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"),
             F.sha2(s["value"], 256).alias("hash"),
-            ((F.length(s["value"]) >= LIVE_LENGTH) & s["value"].rlike("[0-9]")).alias("live"))).alias("_s"))
+            ((F.length(s["value"]) >= LIVE_LENGTH) & s["value"].rlike("[0-9]")).alias("live"),
+            *([x.alias(n) for n, x in zip(("left", "right"), around(F.col("_t"), s))] if by_passage else []))).alias("_s"))
     rows = keep(rows, "secret-spans")
     one = rows.select("_k", "_o", "_r", "_h", F.explode("_s").alias("_x")).select("_k", "_o", "_r", "_h", "_x.*")
     owners = (
@@ -95,6 +128,11 @@ def scan(df: DataFrame, key: str, text: str, owner: str, repository: str | None
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     )
     shared = owners.filter(F.col("owners") >= shared_owners)
+    if by_passage:
+        shared = keep(shared, "secret-owners")
+        several = holders(one.join(shared.select("hash"), "hash", "left_semi"))
+        shared = shared.join(several.filter(F.col("holders") >= shared_owners), "hash", "left_semi")
+        one = one.drop("left", "right")
     # a row may come twice: its spans are marked once and joined to each copy
     marked = join_unique(one.drop("_o", "_r").distinct(), shared, "hash").groupBy("_k", "_h").agg(
         F.array_sort(F.collect_list(F.struct(
