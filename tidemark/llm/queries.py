@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, langid, licences, nearest, pagetext, secrets, sentencepiece_bpe, sharding, simhash, tokencounts,
+    decontaminate, langid, licences, nearest, pagetext, phrases, runs, secrets, sentencepiece_bpe, sharding, simhash,
+    tokencounts,
 )
+from tidemark.functions.bind import bind
 from tidemark.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +119,49 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         s["value"].startswith("\n"), F.lit("\n\n")).otherwise("<mask>").alias("new")))
     return tokencounts.count_edited(docs.withColumn("edits", edits), "doc_id", "text", "edits",
                                     public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = runs.find(bind(docs, repeated=runs.with_repeats("doc_id", "text")), "doc_id", "repeated")
+    best = F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"], r["period"])))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = bind(found, _best=F.get(best, F.lit(0)))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_best.start").alias("start"), (-F.col("_best.n")).alias("length"),
+        F.col("_best.period").alias("period"), F.expr("1000 * -_best.n div _best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: Phrases listed for each language.
+LISTED = 2000
+
+
+@query("op13_phrase_stripes", r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+           FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest([w[i:i + m - 1] FOR i IN range(1, len(w) - m + 2)]) AS g FROM w, (VALUES (1), (2), (3)) AS s(m)),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM f WHERE f >= 10 AND len(g) BETWEEN 2 AND 3),
+longer AS (SELECT lang, g, max(a) AS a FROM (
+    SELECT lang, g[1:2] AS g, a FROM c WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE len(g) = 3) GROUP BY ALL),
+left_over AS (SELECT c.* FROM c LEFT JOIN longer l ON c.lang = l.lang AND c.g = l.g WHERE l.a IS NULL OR 100 * l.a < 50 * c.a),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM left_over),
+scored AS (SELECT cuts.lang, cuts.g, a, k, x.f AS l, y.f AS r,
+                  (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+           FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1:k] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[k + 1:len(cuts.g)]),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS c FROM scored),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM weakest WHERE c = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN n USING (lang) QUALIFY rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "lang", "text")
+    found = phrases.collocations(docs, "lang", "text")
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LISTED)
+    return top.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
