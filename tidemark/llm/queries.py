@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, langid, licences, nearest, pagetext, phrases, runs, secrets, sentencepiece_bpe, sharding, simhash,
+    decontaminate, jaccard, langid, licences, nearest, pagetext, phrases, runs, secrets, sentencepiece_bpe, sharding, simhash,
     tokencounts,
 )
 from tidemark.functions.bind import bind
@@ -165,3 +165,19 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LISTED)
     return top.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op11_jaccard_components", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, greatest(len(w) - 3, 1) + 1)]) AS s
+      FROM w WHERE len(w) > 0),
+x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN low ON low.a = w.doc_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", words=4, over=17, under=20)
