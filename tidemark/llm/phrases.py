@@ -45,8 +45,8 @@ def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def places(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(33))) % np.uint64(FILTER_BITS)).astype(np.int64)
+def places(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(33))) % np.uint64(bits)).astype(np.int64)
 
 
 class Texts:
@@ -65,6 +65,8 @@ class Texts:
         """Stripes of the prefixes of that many words; ``known`` has the bits of frequent phrases of as many words."""
         c = np.concatenate(self.held)
         vocabulary = list(self.codes)
+        if not vocabulary:
+            return None
         names = pa.array(vocabulary, pa.binary()).cast(pa.string())
         if not words:
             return self._rows(np.zeros(len(vocabulary), np.int64), np.arange(len(vocabulary)),
@@ -82,7 +84,7 @@ class Texts:
             both, number = np.unique(number * len(vocabulary) + c[at + i], return_inverse=True)
             phrases = np.column_stack((phrases[both // len(vocabulary)], both % len(vocabulary)))
             hashes = extended(hashes[both // len(vocabulary)], h[both % len(vocabulary)])
-        frequent = known[places(hashes)]
+        frequent = known[places(hashes, len(known))]
         of = np.full(len(c) + 1, -1, np.int64)  # number of the frequent phrase that starts here
         good = frequent[number]
         of[at[good]] = number[good]
@@ -165,6 +167,7 @@ def merged(made: DataFrame, least: int) -> DataFrame:
 
 def known_bits(phrases: DataFrame) -> np.ndarray:
     """The filter of frequent phrases: a bounded number of 64-bit pieces, whatever the number of phrases."""
+    size = FILTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +177,7 @@ def known_bits(phrases: DataFrame) -> np.ndarray:
                 for w in word_hashes(phrase.encode().split(b" "), lang):
                     one = extended(one, w)
                 h[i] = one[0]
-            at = np.unique(places(h))
+            at = np.unique(places(h, size))
             slot, back = np.unique(at >> 6, return_inverse=True)
             bits = np.zeros(len(slot), np.uint64)
             np.bitwise_or.at(bits, back, np.uint64(1) << (at & 63).astype(np.uint64))
@@ -182,7 +185,7 @@ def known_bits(phrases: DataFrame) -> np.ndarray:
 
     found = phrases.select("lang", "phrase").mapInArrow(run, "slot int, bits long").groupBy("slot").agg(
         F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words = np.zeros(size // 64, np.int64)
     words[found["slot"].to_numpy()] = found["bits"].to_numpy()
     return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
 
