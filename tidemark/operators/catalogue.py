@@ -22,6 +22,8 @@ PROFILE_FIELDS = (
 )
 #: Parts over which the holders of one keyword are dealt.
 SALTS = 8
+#: Most words of a keyword set that meets by its subsets; the dictionary builds no longer ones.
+SUBSET_WORDS = 8
 
 
 # ---- profile and stored state ----------------------------------------------------------------
@@ -206,14 +208,24 @@ def featured_topics(
 
 
 # ---- related roles ---------------------------------------------------------------------------
+def _subsets(words: Column) -> Column:
+    """All subsets of a short list of distinct sorted words, the empty one too: ``_words`` as joined text and ``_held``."""
+    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(words)) - 1)
+    held = F.transform(masks, lambda m: F.filter(
+        words, lambda w, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
+    return F.transform(held, lambda s: F.struct(
+        F.array_join(F.transform(s, lambda w: F.concat(F.lit("\x1f"), w)), "").alias("_words"), s.alias("_held")))
+
+
 def related_roles(roles: DataFrame, k: int) -> DataFrame:
     """Per role the k active roles of its group which share most keywords.
 
     Ties go to translated ones, then by name. Not roles but distinct keyword sets meet: the active roles of a
     group with one set form a signature, of which only the first k + 1 by the tie order can reach any result, and
-    roles with equal group and keywords share one lookup. Lookups meet signatures by (group, word), dealt over salts so
-    that a word which all hold is no single key; of a lookup's signatures the first k + 1 stay before roles are
-    attached. Rows without a shared word count only as far as the first k + 1 of the group.
+    roles with equal group and keywords share one lookup. They meet by subsets of words: each subset keeps
+    the first k + 1 signatures that hold it. A signature beyond those has k + 1 before it which share as many words
+    with every lookup of that subset, so no result is lost, and a word held by all sets costs k + 1 rows. Sets of more
+    than ``SUBSET_WORDS`` words, which the dictionary does not build, meet word by word instead.
     """
     cleaned = roles.select(
         "slug", "name_en", "name_zh", "industry_code", "is_active",
@@ -225,31 +237,27 @@ def related_roles(roles: DataFrame, k: int) -> DataFrame:
     signatures = active.groupBy("industry_code", "_sig").agg(
         F.min(F.struct(_translated_first().alias("u"), F.col("name_en").alias("n"), F.col("slug").alias("s"))).alias("_first"),
         F.first("_set").alias("_set"))
-    lookups = cleaned.select(
-        "industry_code", "_list", F.concat_ws("\x1e", "industry_code", F.array_join("_list", "\x1f")).alias("_lookup")
-    ).distinct()
-    holders = signatures.select("industry_code", "_sig", "_first", F.explode("_set").alias("_word")).withColumn(
-        "_salt", F.pmod(F.xxhash64("_sig"), F.lit(SALTS)).cast("int"))
-    asked = lookups.select("industry_code", "_lookup", F.explode("_list").alias("_word")).groupBy(
-        "industry_code", "_lookup", "_word").agg(F.count("*").alias("_times")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    shared = asked.join(holders, ["industry_code", "_word", "_salt"]).groupBy(
-        "industry_code", "_lookup", "_sig", "_first").agg(F.sum("_times").alias("overlap"))
-    nearest = top_k(shared, ["_lookup"], [F.col("overlap").desc(), F.col("_first").asc()], k + 1).drop("_first")
-    columns = ["_lookup", "slug", "name_en", "name_zh", "overlap"]
-    found = nearest.join(best, ["industry_code", "_sig"]).select(*columns)
-    first = top_k(active.select("slug", "name_en", "name_zh", "industry_code"), ["industry_code"], tie, k + 1)
-    fill = lookups.select("industry_code", "_lookup").join(first, "industry_code").select(
-        *columns[:-1], F.lit(0).cast("long").alias("overlap"))
-    both = found.unionByName(fill).groupBy(*columns[:-1]).agg(F.max("overlap").alias("overlap"))
-    per_lookup = top_k(both, ["_lookup"], [F.col("overlap").desc(), *tie], k + 1).select(
+    lookup = F.concat_ws("\x1e", "industry_code", F.array_join("_list", "\x1f")).alias("_lookup")
+    lookups = cleaned.select("industry_code", "_list", "_set", lookup).groupBy("industry_code", "_lookup").agg(
+        F.first("_list").alias("_list"), F.first("_set").alias("_set"))
+    short = F.when(F.size("_set") <= SUBSET_WORDS, F.col("_set")).otherwise(F.array().cast("array<string>"))
+    held = top_k(unfold(signatures, _subsets(short), "industry_code", "_sig", "_first").drop("_held"),
+                 ["industry_code", "_words"], [F.col("_first").asc()], k + 1)
+    asked = unfold(lookups, _subsets(short), "industry_code", "_lookup", "_list").select(
+        "industry_code", "_lookup", "_words",
+        F.size(F.filter("_list", lambda w: F.array_contains("_held", w))).cast("long").alias("overlap"))
+    shared = asked.join(held, ["industry_code", "_words"]).select("industry_code", "_lookup", "_sig", "_first", "overlap")
+    if cleaned.filter(F.size("_set") > SUBSET_WORDS).limit(1).count():
+        shared = shared.unionByName(_met_by_words(lookups, signatures))
+    nearest = top_k(
+        shared.groupBy("industry_code", "_lookup", "_sig", "_first").agg(F.max("overlap").alias("overlap")),
+        ["_lookup"], [F.col("overlap").desc(), F.col("_first").asc()], k + 1).drop("_first")
+    found = nearest.join(best, ["industry_code", "_sig"])
+    per_lookup = top_k(found, ["_lookup"], [F.col("overlap").desc(), *tie], k + 1).select(
         "_lookup", F.col("slug").alias("related_slug"), F.col("name_en").alias("related_name"),
         _translated_first().alias("_untranslated"), "overlap",
     )
-    bases = cleaned.select(
-        F.col("slug").alias("base_slug"),
-        F.concat_ws("\x1e", "industry_code", F.array_join("_list", "\x1f")).alias("_lookup"),
-    )
+    bases = cleaned.select(F.col("slug").alias("base_slug"), lookup)
     others = bases.join(per_lookup, "_lookup").filter(F.col("base_slug") != F.col("related_slug"))
     final = [F.col("overlap").desc(), F.col("_untranslated").asc(), F.col("related_name").asc(),
              F.col("related_slug").asc()]
@@ -258,6 +266,18 @@ def related_roles(roles: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _met_by_words(lookups: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Overlaps of lookups and signatures of which one has too many words for subsets; they meet by (group, word), dealt over salts."""
+    wide = F.size("_set") > SUBSET_WORDS
+    holders = signatures.select("industry_code", "_sig", "_first", wide.alias("_wide"), F.explode("_set").alias("_word")).withColumn(
+        "_salt", F.pmod(F.xxhash64("_sig"), F.lit(SALTS)).cast("int"))
+    asked = lookups.select("industry_code", "_lookup", wide.alias("_wide"), F.explode("_list").alias("_word")).groupBy(
+        "industry_code", "_lookup", "_wide", "_word").agg(F.count("*").alias("_times")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = asked.alias("a").join(holders.alias("h"), ["industry_code", "_word", "_salt"]).filter(F.col("a._wide") | F.col("h._wide"))
+    return met.groupBy("industry_code", "_lookup", "_sig", "_first").agg(F.sum("_times").alias("overlap"))
+
+
 # ---- name search -----------------------------------------------------------------------------
 def search_score(query: str, texts: Sequence[Column]) -> Column:
     """Ladder of matches for one folded query text over folded candidate texts, -1 where none."""
