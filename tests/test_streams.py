@@ -54,6 +54,34 @@ def test_throttle_stream_over_batches(spark):
     assert got == _brute(events.collect(), limit)
 
 
+def test_silent_subjects_leave_the_state(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(hours=2 * i), f"s{i // 10}", "request") for i in range(40)]  # ten events each, one subject after the other
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, subject string, action string")
+    stream = st.read_stream(spark, _files(spark, events, "event_id", 8), files_per_trigger=1)
+    out = new_state_dir(spark, "out")
+    limit = limits.throttle()
+    progress = st.drain(limits.enforce(stream, limit, late="1 second"), st.append_to(out))
+    got = {r.event_id: r.verdict for r in spark.read.parquet(out).collect()}
+    assert got == _brute(events.collect(), limit)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert max(held) <= 2 and held[-1] == 1  # of four subjects
+
+
+def test_long_logs_of_one_subject_wait_in_slots(spark):
+    events = _events(spark, 300).withColumn("subject", F.lit("one"))
+    limit = limits.throttle(window_s=600, maximum=5, block_s=900)
+    stream = st.read_stream(spark, _files(spark, events.orderBy(F.xxhash64("event_id")), "action", 2), files_per_trigger=2)
+    out = new_state_dir(spark, "out")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        st.drain(limits.enforce(stream, limit, ordered=60), st.append_to(out))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.event_id: r.verdict for r in spark.read.parquet(out).collect()}
+    assert got == _brute(events.collect(), limit)
+
+
 def test_first_seen_over_batches(spark):
     df = spark.createDataFrame([(i, f"k{i % 6}", i) for i in range(40)], "n int, key string, pos int")
     stream = st.read_stream(spark, _files(spark, df, "n", 4), files_per_trigger=1)
@@ -90,3 +118,19 @@ def test_trend_stream_over_batches(spark):
     st.drain(st.trend_stream(stream), st.upsert_into(out, None, ["role_id", "grain", "bucket"], []), mode="update")
     got = st.trend_rates(st.latest_version(spark, out)).select("role_id", "grain", "bucket", "average_rate", "points")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, trend(df).select(got.columns).collect()))
+
+
+def test_closed_trend_buckets_leave_the_state(spark):
+    from tidemark.operators.trend import trend
+
+    rows = [(i, i % 3, datetime(2024, 1, 1) + timedelta(days=i), i % 90) for i in range(420)]
+    df = spark.createDataFrame(rows, "n int, role_id int, snapshot_at timestamp, rate int")
+    stream = st.read_stream(spark, _files(spark, df, "n", 14), files_per_trigger=1)
+    out = new_state_dir(spark, "trend")
+    progress = st.drain(st.trend_stream(stream), st.upsert_into(out, None, ["role_id", "grain", "bucket"], []), mode="update")
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    all_buckets = trend(df).count()
+    # three roles, a month and a few weeks open: the state does not grow with the months
+    assert max(kept) < 100 < all_buckets and kept[-1] <= max(kept[3:6])
+    got = st.trend_rates(st.latest_version(spark, out)).select("role_id", "grain", "bucket", "average_rate", "points")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, trend(df).select(got.columns).collect()))

@@ -30,6 +30,11 @@ def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
+def by_name(c: Column) -> Column:
+    """A name as it sorts for readers: letters before case and accents, not by bytes."""
+    return F.collate(c, "UNICODE")
+
+
 def fold_ascii(c: Column) -> Column:
     """Lower case; every run of other than ASCII letters and digits becomes one space."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))

@@ -26,6 +26,17 @@ def json_optional_text(v: Column, field: str) -> Column:
     return F.coalesce(json_type(v, field) == "VOID", F.lit(True)) | json_text(v, field)
 
 
+def json_boolean(v: Column, field: str) -> Column:
+    """The field where it is true or false, else NULL."""
+    return F.when(json_type(v, field) == "BOOLEAN", F.try_variant_get(v, f"$.{field}", "boolean"))
+
+
+def json_number(v: Column, field: str) -> Column:
+    """The field where it is a number, else NULL."""
+    numeric = F.rlike(json_type(v, field), F.lit("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)"))
+    return F.when(numeric, F.try_variant_get(v, f"$.{field}", "double"))
+
+
 def json_integer(v: Column, field: str) -> Column:
     """Whether the field is a whole number."""
     number = F.try_variant_get(v, f"$.{field}", "double")

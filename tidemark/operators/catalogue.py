@@ -12,7 +12,7 @@ from tidemark.functions.bind import unfold
 from tidemark.functions.presentation import resolved_summary
 from tidemark.functions.profile import profile_columns, profile_reasons, profile_summary, profile_text
 from tidemark.functions.rates import severity_rank
-from tidemark.functions.text import collapse_space, expand_terms
+from tidemark.functions.text import by_name, collapse_space, expand_terms
 from tidemark.operators.ranking import last_value_first_position, top_k
 
 PROFILE_FIELDS = (
@@ -92,7 +92,7 @@ def _priority_first() -> Column:
 def display_order() -> list[Column]:
     return [
         _priority_first().asc(), _translated_first().asc(), severity_rank(F.col("risk_level")).asc(),
-        F.col("name_en").asc(), F.col("slug").asc(),
+        by_name(F.col("name_en")).asc(), F.col("slug").asc(),
     ]
 
 
@@ -105,7 +105,7 @@ def home_order() -> list[Column]:
         F.when(unrated, _priority_first()).otherwise(0).asc(),
         F.when(unrated, _translated_first()).otherwise(0).asc(),
         severity_rank(F.col("risk_level")).asc(),
-        F.col("name_en").asc(),
+        by_name(F.col("name_en")).asc(),
         F.col("slug").asc(),
     ]
 
@@ -135,12 +135,12 @@ def home_list(rows: DataFrame, limit: int = rules.HOME_WORKING_SET) -> DataFrame
 def home_ranking(rows: DataFrame, limit: int = rules.RANKING_SIZE) -> DataFrame:
     """Highest rates among the rows of the home list: the first cut comes before the filter."""
     listed = home_list(rows).filter(F.col("replacement_rate").isNotNull())
-    return listed.orderBy(F.col("replacement_rate").desc(), "name_en", "slug").limit(limit)
+    return listed.orderBy(F.col("replacement_rate").desc(), by_name(F.col("name_en")), "slug").limit(limit)
 
 
 def least_covered(rows: DataFrame, k: int, blocked: Sequence[str] = rules.BLOCKED_DISCOVERY_SLUGS) -> DataFrame:
     """The k home rows with least coverage; blocked slugs leave after the cut."""
-    cut = home_list(rows).orderBy(F.col("coverage").asc(), F.col("name_en").asc(), F.col("slug").asc()).limit(k)
+    cut = home_list(rows).orderBy(F.col("coverage").asc(), by_name(F.col("name_en")).asc(), F.col("slug").asc()).limit(k)
     slug = F.trim("slug")
     return cut.select(slug.alias("slug"), "coverage").filter(
         (F.length("slug") > 0) & ~F.lower("slug").isin(*blocked)
@@ -189,7 +189,7 @@ def topic_rows(
         tests.append(F.when(member, F.struct(F.lit(slug).alias("topic"), F.lit(limit).alias("topic_limit"))))
     marked = rows.select("*", F.inline(F.array(F.struct(expand_terms(F.col("keywords")).alias("_terms")))))
     joined = marked.select("*", F.inline(F.filter(F.array(*tests), lambda t: t.isNotNull()))).drop("_terms")
-    order = [F.col("replacement_rate").desc_nulls_last(), F.col("name_en").asc(), F.col("slug").asc()]
+    order = [F.col("replacement_rate").desc_nulls_last(), by_name(F.col("name_en")).asc(), F.col("slug").asc()]
     widest = max(limit for _, _, limit in topics.values())
     ranked = top_k(joined, ["topic"], order, widest, rank="topic_rank")
     return ranked.filter(F.col("topic_rank") <= F.col("topic_limit")).drop("topic_limit")
@@ -231,11 +231,11 @@ def related_roles(roles: DataFrame, k: int) -> DataFrame:
         "slug", "name_en", "name_zh", "industry_code", "is_active",
         F.array_sort(F.transform("keywords", F.lower)).alias("_list"),
     ).withColumn("_set", F.array_sort(F.array_distinct("_list")))
-    tie = [_translated_first().asc(), F.col("name_en").asc(), F.col("slug").asc()]
+    tie = [_translated_first().asc(), by_name(F.col("name_en")).asc(), F.col("slug").asc()]
     active = cleaned.filter("is_active").withColumn("_sig", F.array_join("_set", "\x1f"))
     best = top_k(active.select("slug", "name_en", "name_zh", "industry_code", "_sig"), ["industry_code", "_sig"], tie, k + 1)
     signatures = active.groupBy("industry_code", "_sig").agg(
-        F.min(F.struct(_translated_first().alias("u"), F.col("name_en").alias("n"), F.col("slug").alias("s"))).alias("_first"),
+        F.min(F.struct(_translated_first().alias("u"), by_name(F.col("name_en")).alias("n"), F.col("slug").alias("s"))).alias("_first"),
         F.first("_set").alias("_set"))
     lookup = F.concat_ws("\x1e", "industry_code", F.array_join("_list", "\x1f")).alias("_lookup")
     lookups = cleaned.select("industry_code", "_list", "_set", lookup).groupBy("industry_code", "_lookup").agg(
@@ -250,7 +250,7 @@ def related_roles(roles: DataFrame, k: int) -> DataFrame:
     if cleaned.filter(F.size("_set") > SUBSET_WORDS).limit(1).count():
         shared = shared.unionByName(_met_by_words(lookups, signatures))
     nearest = top_k(
-        shared.groupBy("industry_code", "_lookup", "_sig", "_first").agg(F.max("overlap").alias("overlap")),
+        shared.groupBy("industry_code", "_lookup", "_sig").agg(F.max("overlap").alias("overlap"), F.min("_first").alias("_first")),
         ["_lookup"], [F.col("overlap").desc(), F.col("_first").asc()], k + 1).drop("_first")
     found = nearest.join(best, ["industry_code", "_sig"])
     per_lookup = top_k(found, ["_lookup"], [F.col("overlap").desc(), *tie], k + 1).select(
@@ -259,7 +259,7 @@ def related_roles(roles: DataFrame, k: int) -> DataFrame:
     )
     bases = cleaned.select(F.col("slug").alias("base_slug"), lookup)
     others = bases.join(per_lookup, "_lookup").filter(F.col("base_slug") != F.col("related_slug"))
-    final = [F.col("overlap").desc(), F.col("_untranslated").asc(), F.col("related_name").asc(),
+    final = [F.col("overlap").desc(), F.col("_untranslated").asc(), by_name(F.col("related_name")).asc(),
              F.col("related_slug").asc()]
     return top_k(others, ["base_slug"], final, k, rank="related_rank").select(
         "base_slug", "related_rank", "related_slug", F.col("overlap").cast("int").alias("overlap")
@@ -275,7 +275,7 @@ def _met_by_words(lookups: DataFrame, signatures: DataFrame) -> DataFrame:
         "industry_code", "_lookup", "_wide", "_word").agg(F.count("*").alias("_times")).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = asked.alias("a").join(holders.alias("h"), ["industry_code", "_word", "_salt"]).filter(F.col("a._wide") | F.col("h._wide"))
-    return met.groupBy("industry_code", "_lookup", "_sig", "_first").agg(F.sum("_times").alias("overlap"))
+    return met.groupBy("industry_code", "_lookup", "_sig").agg(F.min("_first").alias("_first"), F.sum("_times").alias("overlap"))
 
 
 # ---- name search -----------------------------------------------------------------------------
@@ -317,7 +317,7 @@ def search_names(names: DataFrame, queries: Sequence[str], folded: Sequence[str]
     """
     scores = [F.struct(F.lit(q).alias("query"), search_score(q, [F.col(c) for c in folded]).alias("score")) for q in queries]
     scored = unfold(names, F.filter(F.array(*scores), lambda x: x["score"] >= 0), *names.columns)
-    order = [F.col("score").desc(), F.col(label).asc(), F.col("slug").asc()]
+    order = [F.col("score").desc(), by_name(F.col(label)).asc(), F.col("slug").asc()]
     best = top_k(scored, ["query"], order, 8, rank="_rank")
     return best.filter((F.col("_rank") <= 6) | (F.col("query") != "")).drop("_rank")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions import policy
 from tidemark.functions.bind import bind
+from tidemark.functions.text import by_name
 from tidemark.functions.urls import is_public
 from tidemark.operators.ranking import top_k
 
@@ -65,7 +66,7 @@ def scoring_evidence(evidence: DataFrame, keep: int = rules.EVIDENCE_KEEP) -> Da
     order = [
         F.col("adjusted_weight").desc(),
         F.col("published_day").desc(),
-        F.col("title").asc(),
+        by_name(F.col("title")).asc(),
         F.col("item_id").asc(),
     ]
     days = weighted_evidence(evidence).withColumn("published_day", F.to_date("published_at"))

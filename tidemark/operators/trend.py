@@ -30,6 +30,18 @@ def bucket_labels(ts: Column) -> Column:
     )
 
 
+def bucket_spans(ts: Column, zone: str = rules.TREND_TIME_ZONE) -> Column:
+    """Both buckets of a moment with the moment each ends."""
+
+    def end(unit: str, step: str) -> Column:
+        return F.to_utc_timestamp(F.date_trunc(unit, local_time(ts, zone)) + F.expr(step), zone)
+
+    return F.array(
+        F.struct(F.lit("week").alias("grain"), week_label(ts).alias("bucket"), end("week", "interval 7 days").alias("bucket_end")),
+        F.struct(F.lit("month").alias("grain"), month_label(ts).alias("bucket"), end("month", "interval 1 month").alias("bucket_end")),
+    )
+
+
 def trend(snapshots: DataFrame, keys: tuple[str, ...] = ("role_id",)) -> DataFrame:
     """Rounded mean and number of known rates per key, grain and bucket.
 

@@ -2,14 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.matching import compare_labels, pass_counts
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+SCORE_CASE = (
+    "id string, roleSlug string, expectedReplacementRateMin int, expectedReplacementRateMax int, expectedRiskBand string, note string, "
+    "items array<struct<sourceLabel: string, sourceType: string, publishedAt: string, title: string, summaryEn: string, "
+    "impactDirection: string, signalType: string>>"
+)
+ATTRIBUTION_CASE = (
+    "id string, sourceLabel string, sourceType string, sourceUrl string, title string, summary string, "
+    "expectedAssignedRoleSlug string, note string"
+)
+
+
+def read_cases(spark: SparkSession, path: str, schema: str, whole_files: bool = True) -> DataFrame:
+    """Cases of JSON files. A whole file is one list, as people write it; else each line is a case or a list of cases.
+
+    Fields which a file leaves out are NULL; a field of a wrong type or a broken file is an error, never a missing case.
+    """
+    return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "FAILFAST").json(path)
+
+
+def attribution_items(cases: DataFrame) -> DataFrame:
+    """The items of attribution cases in the shape the classification takes."""
+    return cases.select(
+        F.col("id").alias("item_id"), F.lit("regression").alias("source_catalog_id"), F.col("sourceUrl").alias("source_url"),
+        F.col("sourceType").alias("source_type"), "title", "summary", F.array().cast("array<string>").alias("hints"),
+        F.lit("").alias("hint_text"))
+
+
+def signal_type(item: Column) -> Column:
+    """The signal type of a case's evidence where it states none: hiring for postings, tooling for neutral ones, else adoption."""
+    return F.coalesce(item["signalType"], F.when(item["sourceType"].isin("jobs", "JOB_POSTING"), "HIRING_SHIFT").when(
+        item["impactDirection"] == "neutral", "TOOLING").otherwise("ADOPTION"))
+
+
+def score_inputs(cases: DataFrame, state: DataFrame) -> DataFrame:
+    """One row for each case with its role's state and its evidence; an unknown role is an error.
+
+    ``state``: slug and the fields a scorer is told.
+    """
+    told = F.transform("items", lambda i: i.withField("signalType", signal_type(i)))
+    known = cases.withColumn("items", told).join(state.withColumnRenamed("slug", "roleSlug").withColumn("_known", F.lit(True)), "roleSlug", "left")
+    unknown = F.raise_error(F.concat(F.lit("Unknown role slug in score cases: "), F.coalesce("roleSlug", F.lit("none")))).cast("boolean")
+    return known.filter(F.coalesce("_known", unknown)).drop("_known")
 
 
 def attribution_report(cases: DataFrame, classified: DataFrame) -> DataFrame:

@@ -55,8 +55,20 @@ def source_codes(
     return numbered.withColumn("source_code", code)
 
 
-def role_dictionary(names: DataFrame, translations: DataFrame) -> DataFrame:
-    """Slug, codes, names, group and keywords of every name, plus the preserved roles."""
+PRESERVED = "source_code string, occupation_code string, slug string, name_en string, name_zh string, keywords array<string>"
+
+
+def preserved_roles(spark: SparkSession) -> DataFrame:
+    """The roles that stay in every dictionary unless a caller keeps a table of its own."""
+    return spark.createDataFrame([(c, o, s, en, zh, list(k)) for c, o, s, en, zh, k in rules.PRESERVED_ROLES], PRESERVED)
+
+
+def role_dictionary(names: DataFrame, translations: DataFrame, preserved: DataFrame | None = None,
+                    order: tuple[str, ...] = FILE_ORDER) -> DataFrame:
+    """Slug, codes, names, group and keywords of every name, plus the preserved roles no name has the slug of.
+
+    ``preserved``: source_code, occupation_code, slug, name_en, name_zh, keywords. They come after all names.
+    """
     overrides = rules.DICTIONARY_OVERRIDES
     codes = {name: code for name, (_, code, _) in overrides.items()}
     slug = slugify(F.col("name_en"))
@@ -68,14 +80,11 @@ def role_dictionary(names: DataFrame, translations: DataFrame) -> DataFrame:
         occupation = F.when(hit, own_code).otherwise(occupation)
         if own_keywords:
             keywords = F.when(hit, F.array(*[F.lit(k) for k in own_keywords])).otherwise(keywords)
-    listed = translated(source_codes(names, codes), translations).select(
+    listed = translated(source_codes(names, codes, order), translations).select(
         "ordinal", "source_code", occupation.alias("occupation_code"), slug.alias("slug"), "name_en",
         "name_zh", F.lit(rules.DICTIONARY_GROUP).alias("industry_code"), keywords.alias("keywords"),
     )
-    spark = names.sparkSession
-    preserved = spark.createDataFrame(
-        [(2_000_000_000 + i, c, o, s, en, zh, rules.DICTIONARY_GROUP, list(k))
-         for i, (c, o, s, en, zh, k) in enumerate(rules.PRESERVED_ROLES)],
-        listed.schema,
-    )
-    return listed.unionByName(preserved.join(listed.select("slug"), "slug", "left_anti").select(listed.columns))
+    last = F.lit(9_000_000_000_000_000_000).cast("long").alias("ordinal")
+    more = (preserved_roles(names.sparkSession) if preserved is None else preserved).select(
+        last, "*", F.lit(rules.DICTIONARY_GROUP).alias("industry_code"))
+    return listed.unionByName(more.join(listed.select("slug"), "slug", "left_anti").select(listed.columns))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark import rules
 
@@ -22,6 +22,8 @@ State = tuple[int, ...]
 Step = Callable[[State, int, str], tuple[State, str]]
 _NEVER = -1
 _US = 1_000_000
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
@@ -85,9 +87,10 @@ def sign_in_codes(
     return Limit(step, (_NEVER, 0, _NEVER, 0, _NEVER, _NEVER), max(cooldown, window, ttl, lock))
 
 
-def _timed(events: DataFrame) -> DataFrame:
+def _timed(events: DataFrame, *more: str) -> DataFrame:
     """``events``: subject, action, ts, event_id."""
     return events.select(
+        *more,
         F.col("subject").cast("string").alias("subject"), "action",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").cast("long").alias("event_id"),
     )
@@ -131,24 +134,86 @@ def replay(events: DataFrame, limit: Limit) -> DataFrame:
 
 
 # ---- stream form -----------------------------------------------------------------------------
-def enforce(events: DataFrame, limit: Limit) -> DataFrame:
-    """Verdicts of a stream of events; state per subject, events of one trigger in time order."""
-    step, start = limit.step, limit.start
-    state_schema = ", ".join(f"s{i} long" for i in range(len(start)))
-
-    def run(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = tuple(held.get) if held.exists else start
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        verdicts = []
-        for us, action in zip(rows["us"], rows["action"]):
-            state, verdict = step(state, int(us), action)
-            verdicts.append(verdict)
-        held.update(state)
-        yield pd.DataFrame({"event_id": rows["event_id"], "verdict": verdicts})
-
-    return _timed(events).groupBy("subject").applyInPandasWithState(
-        run, "event_id long, verdict string", state_schema, "append", GroupStateTimeout.NoTimeout
-    )
+#: Events of one subject that are put in order together, in memory.
+ORDERED = 50_000
+
+
+class LimitKeeper(StatefulProcessor):
+    """Keeps a subject's state until it has been silent for so long that nothing of the state matters.
+
+    The events of a trigger are put in time order in stretches of ``ORDERED``: a longer log of one subject waits in the
+    state store by slots of time and is read back slot by slot.
+    """
+
+    def __init__(self, limit: Limit, ordered: int):
+        self.limit, self.ordered = limit, ordered
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = ", ".join(f"s{i} long" for i in range(len(self.limit.start)))
+        self.state = handle.getValueState("state", fields + ", until long")
+        self.waiting = handle.getMapState("waiting", "slot long", "rows array<struct<us: long, event_id: long, action: string>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        *state, until = self.state.get() if self.state.exists() else (*self.limit.start, _NEVER)
+        state, held, parked, last = tuple(state), [], False, _NEVER
+        for frame in rows:
+            held.extend(zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["action"].tolist()))
+            if len(held) > self.ordered:
+                self._park(held)
+                held, parked = [], True
+        if parked:
+            self._park(held)
+            slots = sorted(k[0] for k in self.waiting.keys())
+            stretches = (self._unpark(slot) for slot in slots)
+        else:
+            stretches = iter([sorted(held)])
+        for stretch in stretches:
+            verdicts = []
+            for us, _, action in stretch:
+                state, verdict = self.limit.step(state, us, action)
+                verdicts.append(verdict)
+                last = max(last, us)
+            yield pd.DataFrame({"event_id": [e for _, e, _ in stretch], "verdict": verdicts})
+        gone = max(until, -(-(last + self.limit.silence_us) // 1000))
+        if until != _NEVER:
+            self.handle.deleteTimer(until)
+        self.handle.registerTimer(gone)
+        self.state.update((*state, gone))
+
+    def _park(self, held: list) -> None:
+        by_slot: dict[int, list] = {}
+        for row in held:
+            by_slot.setdefault(row[0] // self.limit.silence_us, []).append(row)
+        for slot, rows in by_slot.items():
+            before = self.waiting.getValue((slot,))[0] if self.waiting.containsKey((slot,)) else []
+            self.waiting.updateValue((slot,), ([*map(tuple, before), *rows],))
+
+    def _unpark(self, slot: int) -> list:
+        rows = sorted((r[0], r[1], r[2]) for r in self.waiting.getValue((slot,))[0])
+        self.waiting.removeKey((slot,))
+        return rows
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "verdict": pd.Series([], dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+def enforce(events: DataFrame, limit: Limit, late: str | None = None, ordered: int = ORDERED) -> DataFrame:
+    """Verdicts of a stream of events; state per subject, events of one trigger in time order.
+
+    A subject that stays silent for the limit's longest period leaves the state store. Events may come out of order by
+    ``late`` (by default that same period); the stream drops what is later still, as its watermark says. The state
+    needs the RocksDB store, which this sets for the session.
+    """
+    events.sparkSession.conf.set(STORE, ROCKSDB)
+    allowed = late or f"{limit.silence_us // _US} seconds"
+    timed = _timed(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", allowed), "ts")
+    return timed.groupBy("subject").transformWithStateInPandas(
+        LimitKeeper(limit, ordered), "event_id long, verdict string", "Append", "EventTime")
 
 
 def action_of(event_type: Column, requests: tuple[str, ...], fails: tuple[str, ...]) -> Column:

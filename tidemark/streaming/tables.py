@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators.ranking import first_per_key
 from tidemark.operators.state import upsert
-from tidemark.operators.trend import bucket_labels
+from tidemark.operators.trend import bucket_spans
 from tidemark.session import new_state_dir
 
 
@@ -32,8 +32,8 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(f"{path[:-1]}[{path[-1]}]" if path.endswith(".parquet") else path)
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream over everything which is there now."""
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> list:
+    """Run a stream over everything which is there now; the progress of its batches."""
     spark = stream.sparkSession
     query = (
         stream.writeStream.outputMode(mode)
@@ -43,6 +43,7 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str =
         .start()
     )
     query.awaitTermination()
+    return list(query.recentProgress)
 
 
 def append_to(path: str) -> Callable[[DataFrame, int], None]:
@@ -120,16 +121,20 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
     return _newest(spark.read.parquet(path)).drop("_bucket")
 
 
-def trend_stream(snapshots: DataFrame, keys: Sequence[str] = ("role_id",)) -> DataFrame:
+def trend_stream(snapshots: DataFrame, keys: Sequence[str] = ("role_id",), late_days: int = 7) -> DataFrame:
     """Running sum and count of known rates per key, grain and bucket.
 
-    Sums and counts merge exactly, whatever the order of arrival; the state is one row per bucket.
+    Sums and counts merge exactly, whatever the order of arrival. A bucket leaves the state once it ended before the
+    watermark, which follows the ends of buckets: those lie up to a month ahead of a snapshot, so a bucket stays open for that
+    month and ``late_days`` more. In ``append`` mode a bucket comes once, closed; in ``update`` mode whenever it grew.
     """
     known = snapshots.filter(F.col("rate").isNotNull())
     return (
-        known.select(*keys, "rate", F.inline(bucket_labels(F.col("snapshot_at"))))
-        .groupBy(*keys, "grain", "bucket")
+        known.select(*keys, "rate", F.inline(bucket_spans(F.col("snapshot_at"))))
+        .withWatermark("bucket_end", f"{31 + late_days} days")
+        .groupBy(*keys, "grain", "bucket", "bucket_end")
         .agg(F.sum(F.col("rate").cast("long")).alias("total"), F.count("rate").alias("points"))
+        .drop("bucket_end")
     )
 
 

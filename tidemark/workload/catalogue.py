@@ -9,7 +9,8 @@ from tidemark.functions import presentation
 from tidemark.operators import catalogue as cat
 from tidemark.operators.evidence import coverage_counts
 from tidemark.operators.ranking import global_positions
-from tidemark.sources.dictionary import source_codes
+from tidemark.session import cut_lineage
+from tidemark.sources.dictionary import role_dictionary, source_codes
 from tidemark.workload.registry import Inputs, query
 
 
@@ -501,3 +502,59 @@ def x1(t: Inputs):
     return t.part.filter(F.col("p_size").between(10, 20) & (F.col("p_brand") == "Brand#7")).select(
         "p_partkey", "p_name", "p_size"
     )
+
+
+# names of one-line files, two of them preserved roles with the slug of a name, then the import and the names of state rows
+@query("I15_dictionary_chain", """
+with nm as (select concat(p_name, ' ', p_type) as name_en, row_number() over (order by p_partkey) as ordinal from part),
+listed as (select ordinal, concat('csv-role-', ordinal) as source_code, lower(replace(name_en, ' ', '-')) as slug, name_en,
+             case when length(name_en) % 3 = 0 then concat(name_en, '-zh') else name_en end as name_zh from nm),
+pres as (select concat('kept-', s_suppkey) as source_code, case when s_suppkey = 2 then (select min(slug) from listed) else concat('kept-', s_suppkey) end as slug,
+           s_name as name_en, concat(s_name, '-zh') as name_zh from supplier where s_suppkey % 3 = 2),
+snap as (select * exclude (rn) from (select *, row_number() over (partition by slug order by ordinal desc) as rn from listed) where rn = 1
+   union all select 9000000000000000000, * from pres where slug not in (select slug from listed)),
+old as (select distinct lower(concat(p_name, '-', p_type)) as slug, 'old' as source_code, 'Old Name' as name_en, '旧' as name_zh from (
+          select replace(p_name, ' ', '-') as p_name, p_type from part) union all select concat('gone-', s_suppkey), 'old', s_name, s_name from supplier),
+dict as (select coalesce(n.slug, o.slug) as slug, case when n.slug is not null then n.source_code else o.source_code end as source_code,
+   case when n.slug is not null then n.name_en else o.name_en end as name_en, case when n.slug is not null then n.name_zh else o.name_zh end as name_zh,
+   n.slug is not null as is_active from old o full outer join snap n on o.slug = n.slug),
+st as (select slug, 'Stale' as name_en, '旧名' as name_zh from old)
+select d.slug, d.source_code, d.is_active, d.name_en, d.name_zh, case when d.is_active then d.name_en else st.name_en end as state_name_en,
+   case when d.is_active then d.name_zh else st.name_zh end as state_name_zh from dict d left join st on st.slug = d.slug""")
+def i15_chain(t: Inputs):
+    full = F.concat_ws(" ", "p_name", "p_type")
+    slug = F.lower(F.replace(full, F.lit(" "), F.lit("-")))
+    names = t.part.select(F.col("p_partkey").alias("position"), full.alias("name_en"))
+    known = names.select("name_en").distinct().filter(F.length("name_en") % 3 == 0).withColumn("name_zh", F.concat("name_en", F.lit("-zh")))
+    first = t.part.agg(F.min(slug).alias("_first"))
+    kept = F.concat(F.lit("kept-"), F.col("s_suppkey").cast("string"))
+    preserved = t.supplier.filter(F.col("s_suppkey") % 3 == 2).join(F.broadcast(first)).select(
+        kept.alias("source_code"), F.lit(None).cast("string").alias("occupation_code"),
+        F.when(F.col("s_suppkey") == 2, F.col("_first")).otherwise(kept).alias("slug"), F.col("s_name").alias("name_en"),
+        F.concat("s_name", F.lit("-zh")).alias("name_zh"), F.array().cast("array<string>").alias("keywords"))
+    snapshot = role_dictionary(names, known, preserved, ("position",))
+    old = t.part.select(slug.alias("slug")).distinct().select(
+        "slug", F.lit("old").alias("source_code"), F.lit("Old Name").alias("name_en"), F.lit("旧").alias("name_zh"), F.lit(True).alias("is_active")
+    ).unionByName(t.supplier.select(
+        F.concat(F.lit("gone-"), F.col("s_suppkey").cast("string")).alias("slug"), F.lit("old").alias("source_code"),
+        F.col("s_name").alias("name_en"), F.col("s_name").alias("name_zh"), F.lit(True).alias("is_active")))
+    dictionary = cut_lineage(cat.import_dictionary(old, snapshot))
+    state = old.select("slug", F.lit("Stale").alias("name_en"), F.lit("旧名").alias("name_zh"))
+    named = cat.copy_names(state, dictionary).select(
+        "slug", F.col("name_en").alias("_en"), F.col("name_zh").alias("_zh"))
+    own = F.col("is_active")
+    return dictionary.join(named, "slug", "left").select(
+        "slug", "source_code", "is_active", "name_en", "name_zh",
+        F.coalesce("_en", F.when(own, F.col("name_en"))).alias("state_name_en"), F.coalesce("_zh", F.when(own, F.col("name_zh"))).alias("state_name_zh"))
+
+
+# beginnings of texts in four languages as names: case, accents, punctuation
+@query("W1_names_of_many_scripts", """
+with r as (select concat('d', doc_id) as slug, substr(text, 1, 24) as name_en, doc_id % 4 as severity from documents where text is not null)
+select slug, row_number() over (order by severity desc, name_en collate "en", slug) as position from r""")
+def w1_names(t: Inputs):
+    level = F.element_at(F.array(*[F.lit(x) for x in ("LOW", "MEDIUM", "HIGH", "SEVERE")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = t.documents.filter(F.col("text").isNotNull()).select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"), F.substring("text", 1, 24).alias("name_en"),
+        F.substring("text", 1, 24).alias("name_zh"), level.alias("risk_level"))
+    return global_positions(rows, cat.display_order()).select("slug", "position")

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark import rules
+from tidemark.operators import matching as mt
 from tidemark.plans import classify as cl
 from tidemark.plans import ingest, refresh, regression
 from tidemark.session import cut_lineage
@@ -14,7 +15,7 @@ from tidemark.workload.catalogue import profile_roles, profile_sql
 from tidemark.workload.evidence import WEIGHTED
 from tidemark.workload.matching import GATED, candidates, lex
 from tidemark.workload.registry import Inputs, query
-from tidemark.workload.text import FX_WORKFLOW, _gate_sql
+from tidemark.workload.text import FX_NOISE, FX_WORKFLOW, _gate_sql
 
 MODELS = (rules.DEFAULT_MODEL, f"primary:{rules.DEFAULT_MODEL}")
 
@@ -340,3 +341,59 @@ from cls join fx_role r on r.slug = top_slug join nk on nk.slug = top_slug where
 def u2(t: Inputs):
     routed = cl.classify(probed(t), stub_model, workflow=FX_WORKFLOW)
     return routed.filter(F.col("route") == "model").select("item_id", F.col("c.explanation").alias("told"))
+
+
+@query("I24_cases_from_files", """
+with c as (select l.doc_id as id, coalesce(d.n_chars, 0) / 50 as rate, case when quality = 1 then 'high' else 'low' end as band,
+   case doc_id % 3 when 0 then 'HIRING_SHIFT' when 1 then 'TOOLING' else 'ADOPTION' end as signal from labels l join documents d using (doc_id)
+   where exists (select 1 from fx_role where slug = concat('r', l.doc_id % 500 + 1)))
+select cast(id as varchar) as id, concat('r', id % 500 + 1) as role_slug, signal, rate between 10 and 60 as in_range,
+   case when least(95, greatest(5, floor(rate + 0.5))) >= 55 then 'high' else 'low' end = band as band_ok from c""")
+def i24_files(t: Inputs):
+    from tidemark.functions.rates import clamp_rate
+    from tidemark.session import new_state_dir
+
+    case = F.col("doc_id") % 3
+    evidence = F.struct(
+        F.lit("Source").alias("sourceLabel"), F.when(case == 0, "jobs").otherwise("NEWS").alias("sourceType"), F.lit("2024-01-01").alias("publishedAt"),
+        F.lit("title").alias("title"), F.lit("text").alias("summaryEn"), F.when(case == 1, "neutral").otherwise("increase").alias("impactDirection"))
+    written = t.labels.join(t.documents.select("doc_id"), "doc_id").select(F.to_json(F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("r"), (F.col("doc_id") % 500 + 1).cast("string")).alias("roleSlug"),
+        F.lit(10).alias("expectedReplacementRateMin"), F.lit(60).alias("expectedReplacementRateMax"),
+        F.when(F.col("quality") == 1, "high").otherwise("low").alias("expectedRiskBand"), F.array(evidence).alias("items"))).alias("value"))
+    path = new_state_dir(t.spark, "score-cases")
+    written.write.text(path)
+    cases = regression.read_cases(t.spark, path, regression.SCORE_CASE, whole_files=False)
+    known = regression.score_inputs(
+        cases.join(t.fx_role.select(F.col("slug").alias("roleSlug")), "roleSlug", "left_semi"), t.fx_role.select("slug", "name_en"))
+    rate = F.coalesce("n_chars", F.lit(0)) / 50
+    scores = t.documents.select(
+        F.col("doc_id").cast("string").alias("id"), rate.alias("replacement_rate"),
+        F.when(clamp_rate(rate) >= 55, "high").otherwise("low").alias("risk_band"))
+    told = known.select("id", F.col("roleSlug").alias("role_slug"), F.col("items")[0]["signalType"].alias("signal"))
+    return regression.score_report(cases, scores).join(told, "id").select("id", "role_slug", "signal", "in_range", "band_ok")
+
+
+@query("I24_attribution_from_files", f"""
+with {GATED.replace('from fx_item)', "from (select * replace ('' as hint_text, case source_type when 'JOB_POSTING' then 'NEWS' else source_type end as source_type) from fx_item))")},
+top as (select item_id, slug from cand where candidate_rank = 1),
+e as (select item_id, case item_id % 3 when 0 then 'r1' when 1 then null else top.slug end as expected, top.slug as actual
+      from fx_item left join top using (item_id))
+select cast(item_id as varchar) as id, expected, actual, expected is not distinct from actual as ok from e""")
+def i24_attribution_files(t: Inputs):
+    from tidemark.session import new_state_dir
+
+    kind = F.when(F.col("source_type") == "JOB_POSTING", "NEWS").otherwise(F.col("source_type"))
+    path = new_state_dir(t.spark, "attribution-cases")
+    t.fx_item.select(F.to_json(F.struct(
+        F.col("item_id").cast("string").alias("id"), kind.alias("sourceType"), F.col("source_url").alias("sourceUrl"), "title", "summary",
+        F.when(F.col("item_id") % 3 == 0, "r1").alias("expectedAssignedRoleSlug"))).alias("value")).write.text(path)
+    cases = regression.read_cases(t.spark, path, regression.ATTRIBUTION_CASE, whole_files=False)
+    items = cut_lineage(regression.attribution_items(cases))
+    best = mt.select_candidates(items, lex(t), noise=FX_NOISE, workflow=FX_WORKFLOW).filter("candidate_rank = 1")
+    # stands in for a classification: the best candidate
+    classified = items.join(best.select("item_id", "slug"), "item_id", "left").select("item_id", F.struct(F.col("slug").alias("assigned_slug")).alias("c"))
+    own = F.col("id").cast("long") % 3 == 2
+    expected = cases.join(classified.select(F.col("item_id").alias("id"), F.col("c.assigned_slug").alias("_s")), "id").withColumn(
+        "expectedAssignedRoleSlug", F.when(own, F.col("_s")).otherwise(F.col("expectedAssignedRoleSlug")))
+    return regression.attribution_report(expected, classified).select("id", "expected", "actual", "ok")
