@@ -75,7 +75,7 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
         for i in range(0, len(at), SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(at[i:i + SLICE]), pa.array(counts[at[i:i + SLICE]])], names=["at", "n"])
 
-    seen = docs.select("_t").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    seen = docs.select("_t").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS, np.int64)
     counts[seen["at"].to_numpy()] = seen["n"].to_numpy()
     return counts

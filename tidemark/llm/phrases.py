@@ -1,8 +1,8 @@
 """Collocations from stripes: each prefix keys a counter of the words that follow it.
 
 Stripes of a task are made in its memory, travel whole and are merged word by word. A merged stripe gives the extensions of
-its prefix, the prefix's total and the largest extension. Prefixes grow by one word a round, and a word joins a stripe
-only if both its parts are frequent, which no frequent phrase can miss.
+its prefix, which are the totals of the prefixes of the next round, and the largest extension. Prefixes grow by one word a round,
+and a word joins a stripe only if both its parts are frequent, which no frequent phrase can miss.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ PARTS = 4096
 TOKEN = rb"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+"
 ENDS = frozenset(b".,;:!?\n\x0b\x0c\r"[i:i + 1] for i in range(10))
 UNKNOWN = "und"
-STRIPES = "lang string, prefix string, part int, next array<string>, n array<long>"
+STRIPES = "lang string, prefix string, part int, next array<string>, n array<int>"
 
 
 def extended(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -49,22 +49,27 @@ def places(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(33))) % np.uint64(bits)).astype(np.int64)
 
 
+def member(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = places(h, 8 * len(known))
+    return (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+
+
 class Texts:
     """Word codes of the texts of one language held by a task, with -1 after every piece."""
 
     def __init__(self, lang: str):
         self.lang = lang
-        self.codes: dict[bytes, int] = defaultdict(count().__next__)
+        self.codes: dict[bytes, int] = defaultdict(count().__next__, dict.fromkeys(ENDS, -1))
         self.held: list[np.ndarray] = []
 
     def add(self, tokens: list[bytes]) -> None:
-        self.held.append(np.fromiter((-1 if t in ENDS else self.codes[t] for t in tokens), np.int64, len(tokens)))
-        self.held.append(np.array([-1]))
+        self.held.append(np.fromiter(map(self.codes.__getitem__, tokens), np.int32, len(tokens)))
+        self.held.append(np.array([-1], np.int32))
 
-    def stripes(self, words: int, known: np.ndarray | None, hot: dict[tuple[str, str], int]) -> pa.RecordBatch | None:
-        """Stripes of the prefixes of that many words; ``known`` has the bits of frequent phrases of as many words."""
+    def stripes(self, words: int, known: list[np.ndarray], hot: dict[tuple[str, str], int]) -> pa.RecordBatch | None:
+        """Stripes of the frequent prefixes of that many words; ``known`` has the filters of frequent phrases by length."""
         c = np.concatenate(self.held)
-        vocabulary = list(self.codes)
+        vocabulary = list(self.codes)[len(ENDS):]
         if not vocabulary:
             return None
         names = pa.array(vocabulary, pa.binary()).cast(pa.string())
@@ -72,32 +77,30 @@ class Texts:
             return self._rows(np.zeros(len(vocabulary), np.int64), np.arange(len(vocabulary)),
                               np.bincount(c[c >= 0], minlength=len(vocabulary)), [""], names, hot)
         h = word_hashes(vocabulary, self.lang)
-        # phrases of ``words`` words: where they start, their numbers, their hashes
-        n = len(c) - words + 1
-        whole = np.ones(max(n, 0), bool)
-        for i in range(words):
-            whole &= c[i:i + n] >= 0
-        at = np.flatnonzero(whole)
-        number, phrases = c[at], np.arange(len(vocabulary))[:, None]
         hashes = extended(np.zeros(len(vocabulary), np.uint64), h)
-        for i in range(1, words):
-            both, number = np.unique(number * len(vocabulary) + c[at + i], return_inverse=True)
-            phrases = np.column_stack((phrases[both // len(vocabulary)], both % len(vocabulary)))
-            hashes = extended(hashes[both // len(vocabulary)], h[both % len(vocabulary)])
-        frequent = known[places(hashes, len(known))]
-        of = np.full(len(c) + 1, -1, np.int64)  # number of the frequent phrase that starts here
-        good = frequent[number]
-        of[at[good]] = number[good]
-        at, number = at[good], number[good]
-        if not len(at):
-            return None
-        # the next word counts by name if the phrase that ends with it is frequent, else without one
-        after = np.where(of[at + 1] >= 0, c[np.minimum(at + words, len(c) - 1)], -1)
-        both, n = np.unique(number * (len(vocabulary) + 1) + after + 1, return_counts=True)
-        prefix, after = both // (len(vocabulary) + 1), both % (len(vocabulary) + 1) - 1
-        used, prefix = np.unique(prefix, return_inverse=True)
-        texts = [b" ".join([vocabulary[w] for w in row]).decode("utf-8", "replace") for row in phrases[used].tolist()]
-        return self._rows(prefix, after, n, texts, names, hot)
+        frequent = member(known[0], hashes)
+        # number of the frequent phrase of ``length`` words that starts at each place
+        of = np.full(len(c) + 1, -1, np.int64)
+        of[:-1] = np.where((c >= 0) & frequent[c], c, -1)
+        phrases = np.arange(len(vocabulary))[:, None]
+        for length in range(1, words + 1):
+            # a phrase of one word more joins two frequent ones that overlap in all but a word
+            at = np.flatnonzero((of[:-1] >= 0) & (of[1:] >= 0))
+            if not len(at):
+                return None
+            last = c[at + length]
+            both, number = np.unique(of[at] * len(vocabulary) + last, return_inverse=True)
+            prefix, after = both // len(vocabulary), both % len(vocabulary)
+            if length == words:
+                used, prefix = np.unique(prefix, return_inverse=True)
+                texts = [b" ".join([vocabulary[w] for w in row]).decode("utf-8", "replace") for row in phrases[used].tolist()]
+                return self._rows(prefix, after, np.bincount(number), texts, names, hot)
+            phrases = np.column_stack((phrases[prefix], after))
+            hashes = extended(hashes[prefix], h[after])
+            frequent = member(known[length], hashes)
+            of[:] = -1
+            good = frequent[number]
+            of[at[good]] = number[good]
 
     def _rows(self, prefix, after, n, texts, names, hot) -> pa.RecordBatch:
         parts = np.array([hot.get((self.lang, t), 1) for t in texts], np.int64)[prefix] if hot else np.ones(len(prefix), np.int64)
@@ -108,24 +111,22 @@ class Texts:
         if len(split):
             # by the word itself, so that all tasks choose alike
             every = word_hashes([x.encode() for x in names.to_pylist()], "")
-            h = np.where(after[split] < 0, np.uint64(0), every[np.maximum(after[split], 0)])
-            part[split] = (mixed_part(h) % parts[split].astype(np.uint64)).astype(np.int64)
+            part[split] = (mixed_part(every[after[split]]) % parts[split].astype(np.uint64)).astype(np.int64)
             order = np.lexsort((part, prefix))
             prefix, after, n, part = prefix[order], after[order], n[order], part[order]
         new = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1]))))
         offsets = pa.array(np.append(new, len(prefix)).astype(np.int32))
-        after = pa.array(after, pa.int64(), mask=after < 0)
         return pa.RecordBatch.from_arrays([
             pa.array([self.lang] * len(new), pa.string()), pa.array(texts, pa.string()).take(pa.array(prefix[new])),
-            pa.array(part[new].astype(np.int32)), pa.ListArray.from_arrays(offsets, names.take(after)),
-            pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))], names=["lang", "prefix", "part", "next", "n"])
+            pa.array(part[new].astype(np.int32)), pa.ListArray.from_arrays(offsets, names.take(pa.array(after))),
+            pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))], names=["lang", "prefix", "part", "next", "n"])
 
 
 def mixed_part(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
 
 
-def stripes(docs: DataFrame, words: int, known: np.ndarray | None, hot: dict[tuple[str, str], int]) -> DataFrame:
+def stripes(docs: DataFrame, words: int, known: list[np.ndarray], hot: dict[tuple[str, str], int]) -> DataFrame:
     """Stripes of all prefixes of that many words, one or more rows of each prefix and part a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +160,9 @@ def merged(made: DataFrame, least: int) -> DataFrame:
     key = ["lang", "prefix", "part"]
     dealt = made.repartition(*key).select(*key, F.inline(F.arrays_zip("next", "n")))
     sums = dealt.groupBy(*key, "next").agg(F.sum("n").alias("n"))
-    some = F.col("next").isNotNull() & (F.col("n") >= least)
     return sums.groupBy(*key).agg(
-        F.sum("n").alias("total"), F.max(F.when(F.col("next").isNotNull(), F.col("n"))).alias("most"),
-        F.collect_list(F.when(some, F.struct("next", "n"))).alias("extensions"))
+        F.sum("n").alias("total"), F.max("n").alias("most"),
+        F.collect_list(F.when(F.col("n") >= least, F.struct("next", "n"))).alias("extensions"))
 
 
 def known_bits(phrases: DataFrame) -> np.ndarray:
@@ -184,10 +184,10 @@ def known_bits(phrases: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(bits.view(np.int64))], names=["slot", "bits"])
 
     found = phrases.select("lang", "phrase").mapInArrow(run, "slot int, bits long").groupBy("slot").agg(
-        F.bit_or("bits").alias("bits")).toPandas()
+        F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(size // 64, np.int64)
     words[found["slot"].to_numpy()] = found["bits"].to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
+    return words.view(np.uint8)
 
 
 def hot_parts(counted: DataFrame, total: int) -> dict[tuple[str, str], int]:
@@ -212,51 +212,43 @@ def collocations(df: DataFrame, lang: str, text: str, longest: int = 3, least: i
     Returns lang, phrase, words, a, l, r, n (words of the language), score.
     """
     docs = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("_t"))
-    counts, totals, tops = [], [], []
-    known, hot, all_words = None, {}, 0
+    counts, tops, sizes, known, hot = [], [], None, [], {}
     for words in range(longest):
         table = keep(merged(stripes(docs, words, known, hot), least), f"stripes-{words}")
         phrase = F.when(F.col("prefix") == "", F.col("x.next")).otherwise(F.concat_ws(" ", "prefix", "x.next"))
         found = keep(table.select("lang", "prefix", F.explode("extensions").alias("x")).select(
             "lang", "prefix", phrase.alias("phrase"), F.col("x.n").alias("n")), f"phrases-{words + 1}")
-        sums = table.groupBy("lang", "prefix").agg(F.sum("total").alias("total"), F.max("most").alias("most"))
         counts.append(found)
-        totals.append(keep(sums, f"prefixes-{words}") if words else sums)
-        if not words:
-            all_words = sums.agg(F.sum("total")).first()[0] or 0
+        if words:
+            # where no extension is frequent, nothing longer covers the prefix
+            tops.append(table.filter(F.size("extensions") > 0).groupBy("lang", "prefix").agg(F.max("most").alias("most")))
+        else:
+            sizes = table.groupBy("lang").agg(F.sum("total").alias("n"))
         if words + 1 < longest:
-            known, hot = known_bits(found), hot_parts(found, all_words)
-    parts = []
-    for m in range(2, longest + 1):
-        parts.append(_scored(counts, totals, m, m < longest, cover).withColumn("words", F.lit(m)))
-    scored = reduce(DataFrame.unionByName, parts)
-    sizes = F.broadcast(totals[0].select("lang", F.col("total").alias("n")))
-    return scored.join(sizes, "lang").select("lang", "phrase", "words", "a", "l", "r", "n", "score")
+            known.append(known_bits(found))
+            hot = hot_parts(found, sizes.agg(F.sum("n")).first()[0] or 0)
+    scored = reduce(DataFrame.unionByName, [
+        _scored(counts, tops, m, m < longest, cover).withColumn("words", F.lit(m)) for m in range(2, longest + 1)])
+    return scored.join(F.broadcast(sizes), "lang").select("lang", "phrase", "words", "a", "l", "r", "n", "score")
 
 
-def _scored(counts: list[DataFrame], totals: list[DataFrame], m: int, covered: bool, cover: int) -> DataFrame:
+def _scored(counts: list[DataFrame], tops: list[DataFrame], m: int, covered: bool, cover: int) -> DataFrame:
     """Candidates of m words that no longer one covers, with their weakest cut."""
     word = F.split("phrase", " ")
     cut = lambda a, n: F.array_join(F.slice(word, a, n), " ")
-    now = counts[m - 1].select("lang", "phrase", "prefix", F.col("n").alias("a"))
+    now = counts[m - 1].select("lang", "phrase", F.col("n").alias("a"))
     if covered:
         # the longer phrases that start with this one have their largest in the stripe, those that end with it are grouped
         tail = F.expr("substring(phrase, instr(phrase, ' ') + 1)")
         ends = counts[m].groupBy("lang", tail.alias("phrase")).agg(F.max("n").alias("_longer"))
-        starts = totals[m].select("lang", F.col("prefix").alias("phrase"), F.col("most").alias("_longer"))
-        least = counts[m].groupBy("lang", F.col("prefix").alias("phrase")).agg(F.lit(1).alias("_some"))
-        longer = ends.unionByName(starts.join(least, ["lang", "phrase"], "left_semi")).groupBy("lang", "phrase").agg(
-            F.max("_longer").alias("_longer"))
+        starts = tops[m - 1].select("lang", F.col("prefix").alias("phrase"), F.col("most").alias("_longer"))
+        longer = ends.unionByName(starts).groupBy("lang", "phrase").agg(F.max("_longer").alias("_longer"))
         now = now.join(longer, ["lang", "phrase"], "left").filter(
             F.col("_longer").isNull() | (F.col("_longer") * 100 < F.col("a") * cover)).drop("_longer")
     now = keep(now, f"candidates-{m}")
     for k in range(1, m):
         for side, at, n in (("l", 1, k), ("r", k + 1, m - k)):
-            if side == "l" and k == m - 1:
-                table, value, name = totals[k], "total", "prefix"
-            else:
-                table, value, name = counts[n - 1], "n", "phrase"
-            small = table.select(grouped("lang", F.col(name).alias("phrase")), F.col(value).alias(f"{side}{k}"))
+            small = counts[n - 1].select(grouped("lang", "phrase"), F.col("n").alias(f"{side}{k}"))
             now = keep(join_unique(now.withColumn("_at", grouped("lang", cut(at, n).alias("phrase"))), small, "_at", "inner").drop("_at"),
                        f"candidates-{m}-{side}{k}")
 
