@@ -7,7 +7,7 @@ import itertools
 import numpy as np
 
 import corpus_pipeline
-from tidemark.llm import pagetext, secrets, similar
+from tidemark.llm import jaccard, pagetext, secrets, simhash
 from tests.llm.test_llm_operators import frame, plain_fingerprint
 
 
@@ -58,9 +58,10 @@ def edited_rows():
 
 def test_near_copies_equal_all_pairs(spark):
     rows = edited_rows()
-    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(frame(spark, rows), "doc_id", "text").collect()}
-    assert got == plain_copies(rows)
-    assert similar.near_copies(frame(spark, []), "doc_id", "text").count() == 0
+    for seeds in (None, simhash.seed_pairs):
+        found = jaccard.near_copies(frame(spark, rows), "doc_id", "text", seeds=seeds, empty=True)
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == plain_copies(rows)
+    assert jaccard.near_copies(frame(spark, []), "doc_id", "text", seeds=simhash.seed_pairs, empty=True).count() == 0
 
 
 def test_the_stage_joins_copies_with_edited_words(spark):

@@ -8,7 +8,7 @@ verified by their whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,12 +238,14 @@ def pairs_left(shared: DataFrame, members: DataFrame, over: int, under: int) ->
     return both.filter("r1 <> r2 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_copies(df: DataFrame, key: str, text: str, words: int = 5, over: int = 4, under: int = 5) -> DataFrame:
+def near_copies(df: DataFrame, key: str, text: str, words: int = 5, over: int = 4, under: int = 5,
+                seeds: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, empty: bool = False) -> DataFrame:
     """Key, ``n_shingles`` and component (smallest key reachable over pairs of similarity >= over / under) of every row.
 
     Words are lower-cased (A to Z); a text of fewer words is one shingle. Every similar pair has a common entry, and is
     left out only where both sets are in one component already: a large group of near copies is joined by a
-    few pairs of each set. Null and empty texts and texts without words have no shingle and are linked with nothing; repeated rows stay; rows with a
+    few pairs of each set. ``seeds`` may name likely pairs (a, b) of nodes, which are verified and joined first: it gets the
+    documents (``_t``), the nodes (``node``, ``_h``) and the number of words. Null and empty texts and texts without words have no shingle and are linked with nothing, or with ``empty`` with each other; repeated rows stay; rows with a
     null key get the smallest non-null key of their component, or null; an empty table gives no rows; further columns are ignored.
     """
     docs = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
@@ -254,15 +256,21 @@ def near_copies(df: DataFrame, key: str, text: str, words: int = 5, over: int =
     groups = some.withColumn("g", F.xxhash64("n", "prefix")).dropDuplicates(["g"]).select("g", "n", "prefix")
     shared = keep(shared_entries(groups, over, under), "shared-entries")
     links, roots = None, None
-    for turn in range(ROUNDS + 1):
-        members = keep(with_roots(nodes.select("node", "g"), roots), "group-members")
-        pairs = pairs_of(shared, members, turn, over, under) if turn < ROUNDS else pairs_left(shared, members, over, under)
+    for turn in range(-1 if seeds else 0, ROUNDS + 1):
+        if turn < 0:
+            pairs = seeds(docs, nodes, words)
+        else:
+            members = keep(with_roots(nodes.select("node", "g"), roots), "group-members")
+            pairs = pairs_of(shared, members, turn, over, under) if turn < ROUNDS else pairs_left(shared, members, over, under)
         found = keep(verified(docs, pairs, nodes, words, over, under), "similar-pairs")
         links = found if links is None else links.unionByName(found)
         roots = components(links, "a", "b")
-    joined = keep(with_roots(nodes.select("node", "first"), roots), "similar-groups")
+    first = nodes.select("node", "first")
+    if empty:
+        first = first.unionByName(rows.filter("n = 0").groupBy("node").agg(F.min("_k").alias("first")))
+    joined = keep(with_roots(first, roots), "similar-groups")
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = join_unique(joined.select("node", "root"), smallest, "root").select("node", "component_id")
     out = join_unique(rows.select("_k", "node", "n"), named, "node")
     return out.select(F.col("_k").alias(key), F.col("n").cast("long").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_k")).alias("component_id"))
+                      F.when((F.col("n") > 0) | F.lit(empty), F.col("component_id")).otherwise(F.col("_k")).alias("component_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.common import join_unique, keep
+from tidemark.llm.common import join_unique, keep, sent_if_bounded
 
 #: Shingles whose bits are counted at a time, so that a very long text needs no more memory.
 CHUNK = 65_536
@@ -92,5 +92,22 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 3) -> DataF
     return join_unique(rows, named, "fp").select(F.col("_k").alias(key), "fp", "component_id")
 
 
+def seed_pairs(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of nodes worth a look because fingerprints of their texts differ by two bits at most.
+
+    ``docs``: ``_t`` (texts); ``nodes``: node, ``_h`` (hash of one of its texts). Equal fingerprints are linked to their first
+    node, close ones through those, so a large group of near copies gives a few pairs for each node.
+    """
+    texts = docs.select(F.xxhash64("_t").alias("_h"), "_t").join(sent_if_bounded(nodes.select("_h").distinct()), "_h", "left_semi")
+    fps = fingerprints(texts.groupBy("_h").agg(F.min("_t").alias("_t")), "_h", "_t", words)
+    named = keep(nodes.select("node", "_h").join(fps, "_h").select("node", "fp"), "node-fingerprints")
+    first = keep(named.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-nodes")
+    equal = join_unique(named, first, "fp", "inner").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    close = links(first.select("fp")).join(first.withColumnRenamed("first", "a"), "fp").join(
+        first.select(F.col("fp").alias("other"), F.col("first").alias("b")), "other").select("a", "b")
+    both = equal.unionByName(close).filter("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
