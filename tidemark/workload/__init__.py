@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "rates", "text", "urls", "extraction", "evidence", "catalogue", "timelines", "matching", "state",
-    "notices", "discovery", "jobs", "streams",
+    "notices", "discovery", "jobs", "ingest", "streams",
 )
 
 
