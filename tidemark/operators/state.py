@@ -164,13 +164,13 @@ def append_snapshots(batch: DataFrame, path: str) -> None:
     dated = batch.dropDuplicates(["role_id", "snapshot_at"]).withColumn(
         "snapshot_date", F.to_date("snapshot_at")
     )
-    if _exists(spark, path):
+    if path_exists(spark, path):
         stored = spark.read.parquet(path).select("role_id", "snapshot_at", "snapshot_date")
         dated = dated.join(stored, ["role_id", "snapshot_at", "snapshot_date"], "left_anti")
     dated.write.mode("append").partitionBy("snapshot_date").parquet(path)
 
 
-def _exists(spark, path: str) -> bool:
+def path_exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.exists(p)

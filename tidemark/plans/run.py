@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import rules
+from tidemark.operators.commits import commit, committed
 from tidemark.operators.intake import normalise_fetch
 from tidemark.operators.matching import select_candidates
 from tidemark.operators.state import upsert, upsert_decisions
@@ -85,46 +86,24 @@ def ingest(
 
 
 # ---- commit ----------------------------------------------------------------------------------
-KEYS = {"items": ["item_id"], "decisions": ["item_id"], "inferences": ["item_id"], "signals": ["slug", "source_url"]}
+TABLES = tuple(f.name for f in fields(Persisted))
+KEYS = {"items": ["item_id"], "inferences": ["item_id"], "signals": ["slug", "source_url"]}
 
 
-def committed(spark: SparkSession, root: str, before: int | None = None) -> tuple[int, Persisted] | None:
-    """Newest committed run and its tables; with ``before`` the newest of the runs below that number."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits")
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return None
-    runs = spark.read.parquet(f"{root}/commits")  # one row a run
-    newest = runs.filter(F.lit(True) if before is None else F.col("run") < before).agg(F.max("run")).first()[0]
-    if newest is None:
-        return None
-    return newest, Persisted(**{f.name: spark.read.parquet(f"{root}/{f.name}/run={newest}") for f in fields(Persisted)})
-
-
-def commit(spark: SparkSession, root: str, run: int, rows: Persisted, now: datetime) -> Persisted:
-    """Merge the rows of a run into the tables of the run before it.
-
-    All four tables are written under the run's number, its commit last: a reader sees the whole run or none of it. A run that is
-    repeated starts from the same tables as at first and replaces what it wrote.
-    """
-    last = committed(spark, root, run)
+def merged(rows: Persisted, last: Persisted | None, now: datetime) -> dict[str, DataFrame]:
+    """The four tables after a run: its rows replace stored ones of their keys, reviews of decisions stay."""
     decisions = rows.decisions.withColumn("reviewed_at", F.lit(now).cast("timestamp"))
-    fresh = {"items": rows.items, "inferences": rows.inferences, "signals": rows.signals, "decisions": decisions}
-    for name, new in fresh.items():
-        if last is None:
-            merged = new
-        elif name == "decisions":
-            # a review stays unless the source approves by itself
-            stated = F.when(F.col("review_status") == "APPROVED", F.col("review_status"))
-            merged = upsert_decisions(last[1].decisions, new.drop("reviewed_at").withColumn("review_status", stated), now)
-        else:
-            merged = upsert(getattr(last[1], name), new, KEYS[name])
-        merged.select(new.columns).write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
-    spark.createDataFrame([(now,)], "at timestamp").coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/run={run}")
-    return committed(spark, root, run + 1)[1]
+    if last is None:
+        return {"items": rows.items, "decisions": decisions, "inferences": rows.inferences, "signals": rows.signals}
+    # a review stays unless the source approves by itself
+    stated = F.when(F.col("review_status") == "APPROVED", F.col("review_status"))
+    after = {n: upsert(getattr(last, n), getattr(rows, n), k).select(getattr(rows, n).columns) for n, k in KEYS.items()}
+    return after | {"decisions": upsert_decisions(last.decisions, rows.decisions.withColumn("review_status", stated), now).select(decisions.columns)}
 
 
 def run_once(spark: SparkSession, root: str, run: int, inputs: Mapping, now: datetime) -> tuple[Persisted, DataFrame]:
     """One numbered run over fetched pages: its stored tables after the commit, and the items it classified."""
-    before = committed(spark, root, run)
-    rows, classified = ingest(stored=before and before[1], **inputs)
-    return commit(spark, root, run, rows, now), classified
+    tables = committed(spark, root, TABLES, run)
+    before = tables and Persisted(**tables)
+    rows, classified = ingest(stored=before, **inputs)
+    return Persisted(**commit(spark, root, run, merged(rows, before, now), now)), classified
