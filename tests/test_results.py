@@ -113,3 +113,56 @@ def test_half_of_all_rows_on_one_role(spark):
     line = spark.createDataFrame([("hot", 1, "2024-01-02"), ("hot", 2, "2024-01-01")], "slug string, timeline_rank int, published_at string")
     got = since_boundaries(line, big.withColumn("boundary", F.lit("2024-01-01")), 2)
     assert got.count() == 2000
+
+
+def test_a_repeated_run_replaces_what_it_wrote(spark):
+    from datetime import datetime
+
+    from tidemark.operators.commits import commit, committed
+    from tidemark.session import new_state_dir
+
+    root, now = new_state_dir(spark, "runs"), datetime(2024, 1, 1)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k int, v string")
+    assert committed(spark, root, ["a", "b"]) is None
+    commit(spark, root, 1, {"a": frame((1, "x")), "b": frame((9, "y"))}, now)
+    commit(spark, root, 2, {"a": frame((1, "late")), "b": frame()}, now)
+    commit(spark, root, 2, {"a": frame((1, "again"), (2, "z")), "b": frame()}, now)
+    assert sorted(map(tuple, committed(spark, root, ["a"])["a"].collect())) == [(1, "again"), (2, "z")]
+    assert [tuple(r) for r in committed(spark, root, ["a", "b"], before=2)["b"].collect()] == [(9, "y")]
+
+
+def test_a_run_that_wrote_tables_but_no_commit_is_not_read(spark):
+    from datetime import datetime
+
+    from tidemark.operators.commits import commit, committed
+    from tidemark.session import new_state_dir
+
+    root = new_state_dir(spark, "runs")
+    one = spark.createDataFrame([(1, "x")], "k int, v string")
+    commit(spark, root, 1, {"a": one}, datetime(2024, 1, 1))
+    one.withColumn("v", F.lit("lost")).write.parquet(f"{root}/a/run=2")
+    assert [tuple(r) for r in committed(spark, root, ["a"])["a"].collect()] == [(1, "x")]
+
+
+def test_score_cases_of_files_as_people_write_them(spark, tmp_path):
+    from tidemark.plans import regression
+
+    (tmp_path / "cases.json").write_text('''[
+      {"id": "a", "roleSlug": "r1", "expectedReplacementRateMin": 1, "expectedReplacementRateMax": 9, "expectedRiskBand": "low",
+       "items": [{"sourceType": "jobs", "title": "t"}, {"sourceType": "NEWS", "impactDirection": "neutral"}, {"signalType": "OWN"}]},
+      {"id": "b", "roleSlug": "r2", "items": []}
+    ]''', encoding="utf8")
+    cases = regression.read_cases(spark, str(tmp_path), regression.SCORE_CASE)
+    state = spark.createDataFrame([("r1", "One"), ("r2", "Two")], "slug string, name_en string")
+    got = {r.id: [i.signalType for i in r["items"]] for r in regression.score_inputs(cases, state).collect()}
+    assert got == {"a": ["HIRING_SHIFT", "TOOLING", "OWN"], "b": []}
+    with pytest.raises(Exception, match="Unknown role slug in score cases: r2"):
+        regression.score_inputs(cases, state.filter("slug = 'r1'")).collect()
+
+
+def test_names_sort_for_readers(spark):
+    from tidemark.functions.text import by_name
+
+    names = ["zebra", "Äpfel", "apple", "Apple", "Zoo", "apples", "éclair", "-dash", "Eclair"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(by_name(F.col("n"))).collect()]
+    assert got == ["-dash", "Äpfel", "apple", "Apple", "apples", "Eclair", "éclair", "zebra", "Zoo"]
