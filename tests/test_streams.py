@@ -86,8 +86,9 @@ def test_first_seen_over_batches(spark):
     df = spark.createDataFrame([(i, f"k{i % 6}", i) for i in range(40)], "n int, key string, pos int")
     stream = st.read_stream(spark, _files(spark, df, "n", 4), files_per_trigger=1)
     out = new_state_dir(spark, "seen")
-    st.drain(stream, st.first_seen(out, ["key"], [F.col("pos")]))
-    assert sorted((r.key, r.pos) for r in st.seen_rows(spark, out).collect()) == [(f"k{i}", i) for i in range(6)]
+    progress = st.drain(st.first_seen(stream, ["key"], ["pos"]), st.append_to(out), mode="update")
+    assert sorted((r.key, r.pos, r.n) for r in st.seen_rows(spark, out).collect()) == [(f"k{i}", i, i) for i in range(6)]
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 6
 
 
 def test_upsert_stream_over_batches(spark):
@@ -98,6 +99,29 @@ def test_upsert_stream_over_batches(spark):
     assert sorted(map(tuple, st.latest_version(spark, out).select("key", "v").collect())) == [(f"k{i}", 15 + i) for i in range(5)]
 
 
+def test_small_batches_write_no_bucket_whole_and_compaction_keeps_the_table(spark):
+    out, expected = new_state_dir(spark, "up"), {}
+    start = spark.createDataFrame([(f"k{i}", i, "old" if i % 2 else None) for i in range(3000)], "key string, v int, note string")
+    expected = {r.key: (r.v, r.note) for r in start.collect()}
+    each = st.upsert_into(out, start, ["key"], [F.col("v").desc()], keep_if_null=["note"], deltas=3)
+
+    def files(kind):
+        return spark.read.parquet(f"{out}/{kind}").groupBy({"delta": "batch", "base": "upto"}[kind]).count().collect()
+
+    for number in range(9):
+        rows = [(f"k{(number * 7 + i * 3) % 40}", 10_000 + number, None if i % 2 else f"n{number}") for i in range(10)]
+        batch = spark.createDataFrame(rows, "key string, v int, note string").dropDuplicates(["key"])
+        for _ in range(2 if number in (4, 8) else 1):  # some batches are run again
+            each(batch, number)
+        for r in batch.collect():
+            expected[r.key] = (r.v, r.note if r.note is not None else expected[r.key][1])
+        got = {r.key: (r.v, r.note) for r in st.latest_version(spark, out).collect()}
+        assert got == expected
+    assert all(r["count"] <= 10 for r in files("delta"))
+    rewritten = {r["upto"]: r["count"] for r in files("base")}
+    assert len(rewritten) > 1 and all(n < 3000 for upto, n in rewritten.items() if upto >= 0)
+
+
 def test_batches_without_rows_and_a_repeated_batch(spark):
     out = new_state_dir(spark, "up")
     each = st.upsert_into(out, None, ["key"], [F.col("v").desc()])

@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark import rules
+from tidemark.streaming.tables import rocks_db
 
 State = tuple[int, ...]
 Step = Callable[[State, int, str], tuple[State, str]]
 _NEVER = -1
 _US = 1_000_000
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
@@ -209,7 +208,7 @@ def enforce(events: DataFrame, limit: Limit, late: str | None = None, ordered: i
     ``late`` (by default that same period); the stream drops what is later still, as its watermark says. The state
     needs the RocksDB store, which this sets for the session.
     """
-    events.sparkSession.conf.set(STORE, ROCKSDB)
+    rocks_db(events.sparkSession)
     allowed = late or f"{limit.silence_us // _US} seconds"
     timed = _timed(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", allowed), "ts")
     return timed.groupBy("subject").transformWithStateInPandas(

@@ -109,7 +109,7 @@ def s3(t: Inputs):
     fetched = t.spark.sql(VIEWS["fx_fetch"], pages=stream_of(t, "pages"))
     keyed = fetched.select(canonical(F.col("source_url")).alias("key"), "source_ord", "idx")
     path = new_state_dir(t.spark, "seen")
-    st.drain(keyed, st.first_seen(path, ["key"], [F.col("source_ord"), F.col("idx")]))
+    st.drain(st.first_seen(keyed, ["key"], ["source_ord", "idx"]), st.append_to(path), mode="update")
     return st.seen_rows(t.spark, path)
 
 
