@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.urls import canonical
 from tidemark.operators import catalogue as cat
-from tidemark.operators.joins import dealt_join
+from tidemark.operators.joins import dealt_join, hot_keys
 from tidemark.operators.timeline import since_boundaries
 from tidemark.plans import classify as cl
 from tidemark.plans import refresh
@@ -106,6 +106,8 @@ def test_missing_featured_topics_are_an_error(spark):
 def test_half_of_all_rows_on_one_role(spark):
     big = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("r"), "id")).alias("slug"), "id")
     small = spark.createDataFrame([("hot", 1), ("r1", 2), ("rx", 3)], "slug string, v int")
+    [(key, parts)] = hot_keys(big, "slug")
+    assert key == "hot" and 30 <= parts <= 34 and hot_keys(big.filter("slug <> 'hot'"), "slug") == [] and hot_keys(big.limit(0), "slug") == []
     joined = dealt_join(big, small, "slug", ["id"])
     assert joined.groupBy("slug").count().orderBy("slug").collect() == [("hot", 2000), ("r1", 1)]
     assert dealt_join(big, small, "slug", ["id"], "left").count() == 4000

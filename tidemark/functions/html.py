@@ -41,9 +41,15 @@ def non_empty(c: Column) -> Column:
     return let(c, lambda v: F.when(F.length(v) > 0, v))
 
 
-def _extract(fragment: Column, pattern: str, group: int = 1) -> Column:
-    """First match's group, NULL where the pattern does not match."""
-    return F.when(F.rlike(fragment, F.lit(pattern)), F.regexp_extract(fragment, pattern, group))
+def extract(fragment: Column, pattern: str, group: int = 1) -> Column:
+    """First match's group, NULL where the pattern does not match; the fragment is searched once.
+
+    Patterns match at least one character, and what they match does not depend on the text around it.
+    """
+    def of_match(m: Column) -> Column:
+        return F.when(F.length(m) > 0, m if group == 0 else F.regexp_extract(m, pattern, group))
+
+    return let(F.regexp_extract(fragment, pattern, 0), of_match)
 
 
 def attribute(fragment: Column, tag: str, name: str) -> Column:
@@ -61,7 +67,7 @@ def any_attribute(fragment: Column, names: Iterable[str]) -> Column:
 def first_body(fragment: Column, tags: Iterable[str]) -> Column:
     """Text of the first tag kind that occurs; an empty body still counts as found."""
     return F.coalesce(
-        *[strip(_extract(fragment, rf"(?i)<{t}\b[^>]*>([\s\S]*?)</{t}>")) for t in tags]
+        *[strip(extract(fragment, rf"(?i)<{t}\b[^>]*>([\s\S]*?)</{t}>")) for t in tags]
     )
 
 
@@ -74,7 +80,7 @@ def all_bodies(fragment: Column, tags: Iterable[str]) -> Column:
 
 
 def anchor_title(fragment: Column, headings: Iterable[str] = ("h1", "h2", "h3")) -> Column:
-    return let(_extract(fragment, ANCHOR), lambda body: F.coalesce(first_body(body, headings), strip(body)))
+    return let(extract(fragment, ANCHOR), lambda body: F.coalesce(first_body(body, headings), strip(body)))
 
 
 def date_text(fragment: Column) -> Column:
@@ -103,4 +109,4 @@ def is_promotional(fragment: Column, title: Column) -> Column:
 
 def label_value(text: Column, label: str) -> Column:
     """The value after ``Label:`` up to a bullet, bar or line end."""
-    return trim_all(_extract(text, ascii_bounds(rf"(?i)\b{label}\b\s*[:\-]?\s*([^•|\n]+)")))
+    return trim_all(extract(text, ascii_bounds(rf"(?i)\b{label}\b\s*[:\-]?\s*([^•|\n]+)")))

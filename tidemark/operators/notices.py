@@ -93,7 +93,7 @@ def watchlists(subs: DataFrame, state: DataFrame, signals: DataFrame) -> DataFra
     latest = latest_signals(signals).select("slug", F.col("latest.summary_en").alias("latest_summary"),
                                             F.col("latest.published_at").alias("latest_published_at"))
     roles = state.drop("email").join(latest, "slug", "left")
-    watched = dealt_join(subs.withColumn("email", trim_lower(F.col("email"))), roles, "slug", ["email"])
+    watched = dealt_join(subs.withColumn("email", trim_lower(F.col("email"))), roles, "slug", ["email"], measure=subs)
     return watched.repartition("email").sortWithinPartitions("email", F.col("created_at").desc(), "slug")
 
 
@@ -130,10 +130,10 @@ def due_digests(
     ).withColumn("boundary", F.coalesce("last_digest_at", "oldest_created_at"))
     watched = dealt_join(
         own.join(due.select("email", "boundary"), "email"),
-        state.select("slug", "name_en", "name_zh", "replacement_rate", "risk_level"), "slug", ["email"],
+        state.select("slug", "name_en", "name_zh", "replacement_rate", "risk_level"), "slug", ["email"], measure=subs,
     )
     lists = _recent(
-        since_boundaries(timeline, watched.select("email", "slug", "boundary"), 2), ["email", "slug"]
+        since_boundaries(timeline, watched.select("email", "slug", "boundary"), 2, subs), ["email", "slug"]
     )
     role = F.struct(
         F.col("created_at"), F.col("slug"), F.col("name_en"), F.col("replacement_rate"), F.col("risk_level"),
@@ -154,7 +154,7 @@ def due_alerts(
     """One row per email and role whose rate moved far enough since the last alert."""
     joined = dealt_join(
         subs.withColumn("email", trim_lower(F.col("email"))),
-        state.select("slug", "name_en", "replacement_rate", "last_rated_at"), "slug", ["email"],
+        state.select("slug", "name_en", "replacement_rate", "last_rated_at"), "slug", ["email"], measure=subs,
     )
     moved = joined.filter(
         significant_change(
@@ -165,7 +165,7 @@ def due_alerts(
     due = without_pending(moved.withColumn("kind", F.lit("SIGNIFICANT_CHANGE")), pending).withColumn(
         "boundary", F.coalesce("last_alert_at", "created_at")
     )
-    lists = _recent(since_boundaries(timeline, due.select("email", "slug", "boundary"), 3), ["email", "slug"])
+    lists = _recent(since_boundaries(timeline, due.select("email", "slug", "boundary"), 3, subs), ["email", "slug"])
     change = F.struct(
         F.col("last_alert_rate").alias("previous"), F.col("replacement_rate").alias("current"),
         delta(F.col("last_alert_rate"), F.col("replacement_rate")).alias("delta"),

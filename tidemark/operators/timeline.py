@@ -43,14 +43,15 @@ def timelines(items: DataFrame, k: int = rules.TIMELINE_SIZE) -> DataFrame:
     return top_k(rows, ["slug"], newest(), k, rank="timeline_rank").filter(is_public(F.col("source_url")))
 
 
-def since_boundaries(timeline: DataFrame, boundaries: DataFrame, k: int) -> DataFrame:
+def since_boundaries(timeline: DataFrame, boundaries: DataFrame, k: int, measure: DataFrame | None = None) -> DataFrame:
     """For each boundary row the newest k timeline rows of its role after its moment.
 
     Rows after a moment are a prefix of the newest-first order, so the k newest rows of each role
-    hold every answer and the join sees at most k rows per role. ``boundaries``: slug, boundary.
+    hold every answer and the join sees at most k rows per role. ``boundaries``: slug, boundary; ``measure``: a cheaper
+    frame with their shares of roles.
     """
     recent = timeline.filter(F.col("timeline_rank") <= k)
-    return dealt_join(boundaries, recent, "slug", boundaries.columns).filter(F.col("published_at") > F.col("boundary"))
+    return dealt_join(boundaries, recent, "slug", boundaries.columns, measure=measure).filter(F.col("published_at") > F.col("boundary"))
 
 
 def latest_signals(signals: DataFrame, keys: tuple[str, ...] = ("slug",)) -> DataFrame:

@@ -48,8 +48,9 @@ def with_candidates(items: DataFrame, candidates: DataFrame, lex: DataFrame, rol
         named = phrases.withColumns({"name_en": F.lit(None).cast("string"), "name_zh": F.lit(None).cast("string")})
     else:
         named = phrases.join(roles.select("slug", "name_en", "name_zh"), "slug", "left")
-    # at most twenty per item
-    listed = dealt_join(candidates.select("item_id", "candidate_rank", "slug", "score"), named, "slug", ["item_id"], "left").groupBy(
+    # at most twenty per item; kept, since their shares are measured and matching is dear
+    slim = cut_lineage(candidates.select("item_id", "candidate_rank", "slug", "score"))
+    listed = dealt_join(slim, named, "slug", ["item_id"], "left").groupBy(
         "item_id").agg(F.array_sort(F.collect_list(
             F.struct("candidate_rank", "slug", "score", "name_en", "name_zh", "phrases"))).alias("_c"))
     folded = bind(
