@@ -254,3 +254,34 @@ def test_join_of_no_rows(spark):
     assert jaccard.near_copies(odd(spark, []), "doc_id", "text").count() == 0
     got = jaccard.near_copies(odd(spark, [(1, None, None), (2, "", None)]), "doc_id", "text").collect()
     assert sorted(map(tuple, got)) == [(1, 0, 1), (2, 0, 2)]
+
+
+# secrets
+
+def test_many_matches_of_one_text_are_placed_in_linear_work(spark):
+    from tidemark.llm import secrets
+
+    pattern = r"[0-9]{4,}|\n+"
+    for n in (0, 1, 127, 128, 129, 20_000):
+        text = "é1234 x\n" * n
+        df = spark.createDataFrame([(text,)], "t string").select(secrets.found(F.col("t"), 0, "edit", pattern, 0, 1).alias("f"))
+        assert [(s.start, s.end, s.value) for s in df.first().f] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, text)]
+
+
+# language
+
+def test_training_windows_come_from_whole_texts(spark):
+    from tidemark.llm import langid
+
+    body = "".join(f"{i:05d} ключ " for i in range(3000))
+    docs = spark.createDataFrame([(k, body if k % 2 else "короткий", "ru") for k in range(40)], "doc_id long, text string, lang string")
+    got = langid.sample(docs, "doc_id", "text", "lang")
+    held = {r.doc_id for r in docs.filter(langid.held_out("doc_id")).collect()}
+    assert len(got) == 40 - len(held)
+    raw = body.encode()
+    for parts, _ in got:
+        if parts == ["короткий".encode()]:
+            continue
+        at = [raw.find(w) for w in parts]
+        assert len(at) == langid.SAMPLE_WINDOWS and all(a % langid.WINDOW == 0 for a in at) and max(at) > 0.8 * len(raw)
+    assert langid.train(got).labels == ["ru"]

@@ -15,10 +15,9 @@ from tidemark.llm.common import id_text, sent_if_bounded
 
 #: Bytes of a window; each window is one sequence and every byte of a text lies in one window.
 WINDOW = 96
-#: Documents of each language in the training sample (the documented bound), and windows taken of each at most.
+#: Documents of each language in the training sample (the documented bound), and windows taken of each at most, evenly
+#: over its whole text.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
-#: Characters of a training document among which its windows are chosen. Predictions read whole texts.
-SAMPLE_CHARS = 4_000
 HIDDEN, STEPS, BATCH, RATE = 8, 500, 96, 0.02
 #: Windows which go through the network at a time.
 BLOCK = 4_096
@@ -121,23 +120,23 @@ class Network:
         return loss, g
 
 
-def windows(text: str) -> np.ndarray:
+def windows(text: str | bytes) -> np.ndarray:
     """All bytes of a text as rows of WINDOW values; the last row is padded."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    raw = np.frombuffer(text if isinstance(text, bytes) else text.encode("utf-8", "replace"), np.uint8)
     out = np.full((max(1, -(-len(raw) // WINDOW)), WINDOW), PAD, np.int16)
     out.reshape(-1)[:len(raw)] = raw
     return out
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7) -> Network | None:
-    """Fit by Adam on windows of (text, label); None without rows."""
+def train(rows: list[tuple[str | list[bytes], str]], seed: int = 7) -> Network | None:
+    """Fit by Adam on windows of (text or chosen windows, label); None without rows."""
     labels = sorted({label for _, label in rows})
     if not labels:
         return None
     rng = np.random.default_rng(seed)
     parts: dict[int, list[np.ndarray]] = {i: [] for i in range(len(labels))}
     for text, label in rows:
-        w = windows(text)
+        w = windows(text) if isinstance(text, str) else np.concatenate([windows(x) for x in text])
         pick = rng.permutation(len(w))[:SAMPLE_WINDOWS]
         parts[labels.index(label)].append(w[pick])
     pools = [np.concatenate(parts[i]) for i in range(len(labels))]
@@ -193,8 +192,8 @@ def held_out(key: str) -> Column:
     return F.crc32(id_text(key).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, key: str, text: str, label: str) -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCS labelled texts of each language, lowest digest of the key first, none held out.
+def sample(docs: DataFrame, key: str, text: str, label: str) -> list[tuple[list[bytes], str]]:
+    """Windows of at most SAMPLE_DOCS labelled texts of each language, lowest digest of the key first, none held out.
 
     Ids and labels alone decide the sample; only the chosen texts are read in the second pass.
     """
@@ -208,10 +207,14 @@ def sample(docs: DataFrame, key: str, text: str, label: str) -> list[tuple[str,
     ranked = few.select("_l", "_k", F.row_number().over(
         Window.partitionBy("_l").orderBy(digest, "_k")).alias("_n")).filter(F.col("_n") <= SAMPLE_DOCS)
     picked = F.broadcast(ranked.select("_k").distinct())
+    raw = F.encode("_t", "UTF-8")
+    count = F.ceil(F.octet_length("_t") / F.lit(WINDOW))
+    taken = F.least(count, F.lit(SAMPLE_WINDOWS))
+    chosen = F.transform(F.sequence(F.lit(0).cast("bigint"), taken - 1), lambda j: F.substring(
+        raw, (F.floor(j * count / taken) * WINDOW + 1).cast("int"), F.lit(WINDOW)))
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(label).alias("_l")).filter(
-        F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}")).join(picked, "_k").select(
-        F.substring("_t", 1, SAMPLE_CHARS).alias("_t"), "_l").collect()
-    return sorted((r["_t"], r["_l"]) for r in rows)
+        F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}")).join(picked, "_k").select(chosen.alias("_w"), "_l").collect()
+    return sorted(([bytes(w) for w in r["_w"]], r["_l"]) for r in rows)
 
 
 def predict(docs: DataFrame, text: str, net: Network | None, label: str = "lang_pred", score: str = "score") -> DataFrame:

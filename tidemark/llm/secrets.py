@@ -25,6 +25,8 @@ MORE_KINDS = (
 SHARED_OWNERS = 3
 #: Words on each side of a value, and characters they are looked for in, which tell a copied passage from another use.
 AROUND, AROUND_CHARS = 6, 120
+#: Matches of a text which are placed together.
+PIECE = 256
 #: Least length of a live-looking value; it also needs a digit.
 LIVE_LENGTH = 16
 MARK = "<secret>"
@@ -37,10 +39,13 @@ SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 def found(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Matches as (start, rank, end, kind, value), leftmost and non-overlapping, in code points.
 
-    Splitting at the matches gives what lies between them, so the offsets are running sums of lengths.
+    Splitting at the matches gives what lies between them, so the offsets are running sums of lengths. Many matches are
+    worked off in pieces of ``PIECE``, each from the sum of the lengths before it, so the work grows with the matches.
     """
     none = F.lit(None).cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def start(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")).cast(f"struct<at:int,out:array<{SPAN}>>")
 
     def step(acc: Column, x: Column) -> Column:
         def put(at: Column) -> Column:
@@ -56,7 +61,18 @@ def found(text: Column, rank: int, kind: str, pattern: str, group: int, least: i
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    out = F.aggregate(parts, start.cast(f"struct<at:int,out:array<{SPAN}>>"), step, lambda acc: acc["out"])
+    def spans_of(some: Column, at: Column) -> Column:
+        return F.aggregate(some, start(at), step, lambda acc: acc["out"])
+
+    def in_pieces(all_parts: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.size(all_parts), F.lit(PIECE)), lambda i: F.slice(all_parts, i, PIECE))
+        sizes = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x["between"]) + F.coalesce(
+            F.length(x["whole"]), F.lit(0))))
+        firsts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return let(F.struct(pieces.alias("pieces"), firsts.alias("firsts")), lambda b: F.flatten(
+            F.transform(b["pieces"], lambda p, i: spans_of(p, F.get(b["firsts"], i)))))
+
+    out = let(parts, lambda all_parts: F.when(F.size(all_parts) <= PIECE, spans_of(all_parts, F.lit(0))).otherwise(in_pieces(all_parts)))
     out = F.filter(out, lambda s: F.length(s["value"]) >= least)
     return F.coalesce(F.when(text.rlike(pattern), out), none, F.array().cast(f"array<{SPAN}>"))
 
