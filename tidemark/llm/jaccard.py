@@ -129,9 +129,14 @@ def set_rows(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
                 [pa.array([name_of(s) for s in sets], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["node", "set"])
 
+        done: set[int] = set()  # copies of a text in one task are taken apart once
         for batch in batches:
             sets, held = [], 0
-            for t in batch.column(0):
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if h in done:
+                    continue
+                if len(done) < SLICE:
+                    done.add(h)
                 sets.append(shingles(t.as_py(), words, known))
                 held += len(sets[-1])
                 if held > SLICE:
@@ -140,11 +145,9 @@ def set_rows(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
             if sets:
                 yield out(sets)
 
-    # of the copies of a text one is taken apart
     texts = docs.select(F.xxhash64("_t").alias("_h"), "_t").join(
         sent_if_bounded(wanted.select("_h").distinct()), "_h", "left_semi")
-    one = texts.groupBy("_h").agg(F.min("_t").alias("_t"))
-    return one.select("_t").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    return texts.select("_h", "_t").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, over: int, under: int) -> DataFrame:
@@ -174,6 +177,18 @@ def needed(a: Column, b: Column, over: int, under: int) -> Column:
     return F.ceil(F.lit(over) * (a + b) / F.lit(over + under))
 
 
+def reachable(x: str, y: str, over: int, under: int) -> Column:
+    """Whether two groups can hold similar sets, by all their prefix shingles.
+
+    Of the two prefixes one ends first in the order of all shingles. What is common up to that end stands in both prefixes,
+    and what is common behind it is among the shingles left of that set.
+    """
+    n, m, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.prefix"), F.col(f"{y}.prefix")
+    both = F.size(F.array_intersect(px, py))
+    left = F.greatest(n - F.size(px), m - F.size(py))
+    return both + left >= needed(n, m, over, under)
+
+
 def shared_entries(groups: DataFrame, over: int, under: int) -> DataFrame:
     """(entry, g, n, at) of prefix shingles that can be the first common one of two groups.
 
@@ -192,7 +207,7 @@ def with_roots(df: DataFrame, roots: DataFrame | None) -> DataFrame:
     return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def pairs_of(shared: DataFrame, members: DataFrame, turn: int, over: int, under: int) -> DataFrame:
+def pairs_of(shared: DataFrame, members: DataFrame, groups: DataFrame, turn: int, over: int, under: int) -> DataFrame:
     """Each group meets one other group of each of its entries, picked anew each turn; its members try the one met most often."""
     heads = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"),
                                      F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("head"))
@@ -203,7 +218,10 @@ def pairs_of(shared: DataFrame, members: DataFrame, turn: int, over: int, under:
         & (F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
            >= needed(F.col("x.n"), F.col("y.n"), over, under)))
     often = met.groupBy(F.col("x.g").alias("g"), F.col("y.g").alias("other")).agg(F.count("*").alias("often"))
-    best = often.groupBy("g").agg(F.max_by("other", F.struct("often", "other")).alias("other"))
+    best = keep(often.groupBy("g").agg(F.max_by("other", F.struct("often", "other")).alias("other")), "group-best")
+    whole = groups.select("g", F.struct("n", "prefix").alias("x"))
+    best = best.join(whole, "g").join(whole.select(F.col("g").alias("other"), F.col("x").alias("y")), "other").filter(
+        reachable("x", "y", over, under)).select("g", "other")
     # members of a group also meet its head
     meets = best.unionByName(heads.filter("low < high").select("g", F.col("g").alias("other")))
     to = join_unique(keep(meets, "group-meets"), heads.select(F.col("g").alias("other"), F.col("head")), "other", "inner").select("g", "head")
@@ -212,11 +230,12 @@ def pairs_of(shared: DataFrame, members: DataFrame, turn: int, over: int, under:
     return tried.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
-def pairs_left(shared: DataFrame, members: DataFrame, over: int, under: int) -> DataFrame:
+def pairs_left(shared: DataFrame, members: DataFrame, groups: DataFrame, over: int, under: int) -> DataFrame:
     """All pairs of sets that may be similar and are not in one component yet.
 
     Places of an entry (size and position) meet before groups do: a place pair that cannot hold a first common shingle
-    of similar sets, or holds one component only, names no groups.
+    of similar sets, or holds one component only, names no groups. Groups of the places left meet if their whole prefixes
+    leave room for similar sets.
     """
     roots = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     now = keep(shared.join(roots, "g"), "entries-left")
@@ -227,11 +246,16 @@ def pairs_left(shared: DataFrame, members: DataFrame, over: int, under: int) ->
         & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= needed(F.col("x.n"), F.col("y.n"), over, under))
         & (F.least("x.low", "y.low") < F.greatest("x.high", "y.high"))).select(
         "entry", F.col("x.n").alias("n"), F.col("x.at").alias("at"), F.col("y.n").alias("n2"), F.col("y.at").alias("at2"))
-    one = keep(open_, "places-left").join(now, ["entry", "n", "at"]).select(
-        "entry", F.col("g").alias("g1"), F.col("low").alias("l1"), F.col("high").alias("h1"), F.col("n2").alias("n"), F.col("at2").alias("at"))
-    two = one.join(now, ["entry", "n", "at"]).filter(
-        (F.col("g1") != F.col("g")) & (F.least("l1", "low") < F.greatest("h1", "high"))).select(
-        F.least("g1", "g").alias("g1"), F.greatest("g1", "g").alias("g2")).distinct()
+    open_ = keep(open_, "places-left")
+    named = open_.select("entry", "n", "at").union(open_.select("entry", "n2", "at2")).distinct()
+    rows = keep(now.join(named, ["entry", "n", "at"], "left_semi").join(groups.select("g", "prefix"), "g").select(
+        "entry", "n", "at", F.struct("g", "n", "low", "high", "prefix").alias("x")), "open-entries")
+    one = open_.join(rows, ["entry", "n", "at"]).select(
+        "entry", F.col("n2").alias("n"), F.col("at2").alias("at"), F.col("x").alias("y"))
+    two = one.join(rows, ["entry", "n", "at"]).filter(
+        (F.col("x.g") != F.col("y.g")) & (F.least("x.low", "y.low") < F.greatest("x.high", "y.high"))
+        & reachable("x", "y", over, under)).select(
+        F.least("x.g", "y.g").alias("g1"), F.greatest("x.g", "y.g").alias("g2")).distinct()
     inside = roots.filter("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     m = members.select("g", "node", "root")
     both = two.unionByName(inside).join(m.toDF("g1", "a", "r1"), "g1").join(m.toDF("g2", "b", "r2"), "g2")
@@ -253,7 +277,7 @@ def near_copies(df: DataFrame, key: str, text: str, words: int = 5, over: int =
     some = rows.filter("n > 0")
     nodes = keep(some.withColumn("g", F.xxhash64("n", "prefix")).groupBy("node").agg(
         F.min("g").alias("g"), F.min("_h").alias("_h"), F.min("_k").alias("first")), "shingle-nodes")
-    groups = some.withColumn("g", F.xxhash64("n", "prefix")).dropDuplicates(["g"]).select("g", "n", "prefix")
+    groups = keep(some.withColumn("g", F.xxhash64("n", "prefix")).dropDuplicates(["g"]).select("g", "n", "prefix"), "shingle-groups")
     shared = keep(shared_entries(groups, over, under), "shared-entries")
     links, roots = None, None
     for turn in range(-1 if seeds else 0, ROUNDS + 1):
@@ -261,7 +285,8 @@ def near_copies(df: DataFrame, key: str, text: str, words: int = 5, over: int =
             pairs = seeds(docs, nodes, words)
         else:
             members = keep(with_roots(nodes.select("node", "g"), roots), "group-members")
-            pairs = pairs_of(shared, members, turn, over, under) if turn < ROUNDS else pairs_left(shared, members, over, under)
+            pairs = (pairs_of(shared, members, groups, turn, over, under) if turn < ROUNDS
+                     else pairs_left(shared, members, groups, over, under))
         found = keep(verified(docs, pairs, nodes, words, over, under), "similar-pairs")
         links = found if links is None else links.unionByName(found)
         roots = components(links, "a", "b")
