@@ -219,3 +219,17 @@ def test_nested_card_ends_with_its_own_tag(spark):
     df = spark.createDataFrame([(1, "https://s.test/", page)], "page_id int, base_url string, html string")
     got = [(r.source_url, r.title, r.published, r.summary) for r in pages.classed_cards(df).collect()]
     assert got == [("https://s.test/1", "First title", "May 1, 2024", "body")]
+
+
+def test_search_as_a_join_equals_the_ladder_for_each_query(spark, monkeypatch):
+    rnd = random.Random(3)
+    names = [(f"r{i}", " ".join("".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 3)))) for i in range(150)]
+    names += [("r900", ""), ("r901", None)]
+    df = spark.createDataFrame(names, "slug string, name string").withColumn("other", F.reverse("name"))
+    typed = ["", "a", "ab", "abc", "c b", "é a", "bca", "aé c", "zz", "cab  a", "a", None]
+    queries = spark.createDataFrame([(q,) for q in typed], "query string")
+    monkeypatch.setattr(cat, "QUERY_BLOCK", 4)
+    got = {(r["query"], r["slug"], r["score"]) for r in cat.search_join(df, queries, ("name", "other"), "name").collect()}
+    plain = sorted({" ".join(q.split()) for q in typed if q is not None})
+    expected = {(r["query"], r["slug"], r["score"]) for r in cat.search_names(df, plain, ("name", "other"), "name").collect()}
+    assert got == expected and {q for q, _, _ in got} >= {"", "a", "c b"}

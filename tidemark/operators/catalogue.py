@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import rules
-from tidemark.functions.bind import unfold
+from tidemark.functions.bind import bind, let, unfold
 from tidemark.functions.presentation import resolved_summary
 from tidemark.functions.profile import profile_columns, profile_reasons, profile_summary, profile_text
 from tidemark.functions.rates import severity_rank
 from tidemark.functions.text import by_name, collapse_space, expand_terms
 from tidemark.operators.ranking import last_value_first_position, top_k
+from tidemark.session import cut_lineage
 
 PROFILE_FIELDS = (
     "replacement_rate", "risk_level", "rating_status", "repetition_score", "rule_clarity_score",
@@ -322,6 +323,66 @@ def search_names(names: DataFrame, queries: Sequence[str], folded: Sequence[str]
     return best.filter((F.col("_rank") <= 6) | (F.col("query") != "")).drop("_rank")
 
 
+#: Queries which meet the names together; more are worked off in blocks of this many.
+QUERY_BLOCK = 20_000
+
+
+def _letters(t: Column) -> Column:
+    """A bit for each letter of a text but blanks, several letters to a bit: what a text lacks here it lacks."""
+    bits = F.transform(F.split(F.replace(t, F.lit(" "), F.lit("")), ""), lambda c: F.when(
+        F.length(c) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(61)))).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def _ladder(t: Column, q: Column) -> Column:
+    """``search_score`` for a query in a column: ``query``, its ``words`` and its ``letters`` without blanks."""
+    def of_position(p: Column) -> Column:
+        joined = F.replace(t, F.lit(" "), F.lit(""))
+        place = F.aggregate(q["letters"], F.lit(0), lambda at, c: F.when(at < 0, at).otherwise(
+            let(F.call_function("locate", c, joined, at + 1), lambda x: F.when(x > 0, x).otherwise(-1))))
+        return (
+            F.when(F.length(t) == 0, -1).when(t == q["query"], 1000)
+            .when(p > 0, F.when(p == 1, 900).otherwise(F.lit(801) - p))
+            .when(F.forall(q["words"], lambda w: F.contains(t, w)), F.lit(650) - F.length(t))
+            .when(place >= 0, F.lit(500) - F.length(t)).otherwise(-1))
+
+    return let(F.call_function("instr", t, q["query"]), of_position)
+
+
+def search_join(names: DataFrame, queries: DataFrame, folded: Sequence[str], label: str) -> DataFrame:
+    """``search_names`` for any number of queries in a DataFrame (``query``, folded like the names): one plan for all.
+
+    Queries go to every task in blocks of bounded size. A name meets a query only if one of its texts has all letters of the
+    query, which every rung of the ladder needs and which is one comparison of bits; then the ladder tells. Best rows are cut
+    inside the tasks. Repeated and null queries answer once or not at all; a blank query has the first names by label.
+    """
+    text = F.trim(F.regexp_replace("query", " +", " "))
+    letters = F.filter(F.split(F.replace("query", F.lit(" "), F.lit("")), ""), lambda c: F.length(c) > 0)
+    asked = bind(
+        queries.filter(F.col("query").isNotNull()).select(text.alias("query")).distinct(), mask=_letters(F.col("query")), letters=letters,
+        words=F.filter(F.split("query", " "), lambda w: F.length(w) > 0)).withColumn("q", F.struct("query", "words", "letters")).select("q", "mask")
+    asked = cut_lineage(asked)
+    n = asked.count()
+    masks = {f"_m{i}": _letters(F.coalesce(F.col(c), F.lit(""))) for i, c in enumerate(folded)}
+    held = bind(names, **masks)
+    blocks = -(-n // QUERY_BLOCK) or 1
+    found = None
+    for b in range(blocks):
+        some = F.broadcast(asked.filter(F.pmod(F.xxhash64("q.query"), F.lit(blocks)) == b))
+        fits = F.lit(False)
+        for m in masks:
+            fits = fits | (F.col(m).bitwiseAND(F.col("mask")) == F.col("mask"))
+        met = held.join(some, fits)
+        score = F.greatest(F.lit(-1), *[
+            F.when(F.col(m).bitwiseAND(F.col("mask")) == F.col("mask"), F.when(F.length("q.query") == 0, 1).otherwise(_ladder(F.col(c), F.col("q")))).otherwise(-1)
+            for m, c in zip(masks, folded)])
+        rows = bind(met, score=score).filter(F.col("score") >= 0).select(*names.columns, F.col("q.query").alias("query"), "score")
+        found = rows if found is None else found.unionByName(rows)
+    order = [F.col("score").desc(), by_name(F.col(label)).asc(), F.col("slug").asc()]
+    best = top_k(found, ["query"], order, 8, rank="_rank")
+    return best.filter((F.col("_rank") <= 6) | (F.col("query") != "")).drop("_rank")
+
+
 # ---- discovery queries -----------------------------------------------------------------------
 def distinct_ignoring_case(values: Column) -> Column:
     """Trimmed values without blanks, the first of those equal but for case."""

@@ -558,3 +558,32 @@ def w1_names(t: Inputs):
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"), F.substring("text", 1, 24).alias("name_en"),
         F.substring("text", 1, 24).alias("name_zh"), level.alias("risk_level"))
     return global_positions(rows, cat.display_order()).select("slug", "position")
+
+
+# what people type: beginnings, words the other way round, letters left out, unknown words and nothing
+@query("W20_name_search_join", r"""
+with f as (select slug, name_en, trim(regexp_replace(lower(name_en), '[^a-z0-9]+', ' ', 'g')) as a, trim(regexp_replace(lower(name_zh), '[^a-z0-9]+', ' ', 'g')) as b,
+             trim(regexp_replace(lower(slug), '[^a-z0-9]+', ' ', 'g')) as c from fx_role),
+p as (select p_partkey, lower(p_name) as n from part where p_partkey % 37 = 0),
+q as (select distinct trim(q) as q from (
+    select case p_partkey % 4 when 0 then substr(n, 1, 2 + p_partkey % 5) when 1 then concat(string_split(n, ' ')[2], ' ', string_split(n, ' ')[1])
+      when 2 then regexp_replace(n, '[aeiou ]', '', 'g') else concat(n, ' zz', p_partkey % 3) end as q from p union all select '') where q is not null),
+k as (select q, list_filter(string_split(q, ' '), lambda w: w <> '') as words, concat('%', array_to_string(string_split(replace(q, ' ', ''), ''), '%'), '%') as sub from q),
+t as (select slug, name_en, unnest([a, b, c]) as t from f),
+s as (select q, slug, name_en, max(case when q = '' then 1 when length(t) = 0 then -1 when t = q then 1000 when instr(t, q) = 1 then 900 when instr(t, q) > 1 then 801 - instr(t, q)
+    when len(list_filter(words, lambda w: contains(t, w))) = len(words) then 650 - length(t) when replace(t, ' ', '') like sub then 500 - length(t) else -1 end) as score
+    from t, k group by q, slug, name_en),
+r as (select *, row_number() over (partition by q order by score desc, name_en collate "en", slug) as rn from s where score >= 0)
+select q, slug, cast(score as bigint) as score from r where rn <= case when q = '' then 6 else 8 end""")
+def w20_join(t: Inputs):
+    from tidemark.functions.text import fold_unicode
+
+    folded = t.fx_role.select("slug", "name_en", *[fold_unicode(F.col(c)).alias(f"f_{c}") for c in ("name_en", "name_zh", "slug")])
+    name, key = F.lower("p_name"), F.col("p_partkey")
+    word = F.split(name, " ")
+    typed = (
+        F.when(key % 4 == 0, F.substring(name, F.lit(1), (2 + key % 5).cast("int"))).when(key % 4 == 1, F.concat(word[1], F.lit(" "), word[0]))
+        .when(key % 4 == 2, F.regexp_replace(name, "[aeiou ]", "")).otherwise(F.concat(name, F.lit(" zz"), (key % 3).cast("string"))))
+    queries = t.part.filter(key % 37 == 0).select(typed.alias("query")).unionByName(t.part.agg(F.lit("").alias("query")))
+    return cat.search_join(folded, queries, ("f_name_en", "f_name_zh", "f_slug"), "name_en").select(
+        F.col("query").alias("q"), "slug", F.col("score").cast("long").alias("score"))
