@@ -254,17 +254,13 @@ def related_roles(roles: DataFrame, k: int) -> DataFrame:
         shared.groupBy("industry_code", "_lookup", "_sig").agg(F.max("overlap").alias("overlap"), F.min("_first").alias("_first")),
         ["_lookup"], [F.col("overlap").desc(), F.col("_first").asc()], k + 1).drop("_first")
     found = nearest.join(best, ["industry_code", "_sig"])
-    per_lookup = top_k(found, ["_lookup"], [F.col("overlap").desc(), *tie], k + 1).select(
-        "_lookup", F.col("slug").alias("related_slug"), F.col("name_en").alias("related_name"),
-        _translated_first().alias("_untranslated"), "overlap",
-    )
+    # at most k + 1 in order; a role leaves itself out of its own list, which needs no second sort
+    per_lookup = top_k(found, ["_lookup"], [F.col("overlap").desc(), *tie], k + 1, rank="_r").groupBy("_lookup").agg(
+        F.array_sort(F.collect_list(F.struct("_r", F.col("slug").alias("related_slug"), F.col("overlap").cast("int").alias("overlap")))).alias("_near"))
     bases = cleaned.select(F.col("slug").alias("base_slug"), lookup)
-    others = bases.join(per_lookup, "_lookup").filter(F.col("base_slug") != F.col("related_slug"))
-    final = [F.col("overlap").desc(), F.col("_untranslated").asc(), by_name(F.col("related_name")).asc(),
-             F.col("related_slug").asc()]
-    return top_k(others, ["base_slug"], final, k, rank="related_rank").select(
-        "base_slug", "related_rank", "related_slug", F.col("overlap").cast("int").alias("overlap")
-    )
+    own = F.slice(F.filter("_near", lambda x: x["related_slug"] != F.col("base_slug")), 1, k)
+    return bases.join(per_lookup, "_lookup").select("base_slug", F.posexplode(own).alias("_i", "_x")).select(
+        "base_slug", (F.col("_i") + 1).alias("related_rank"), "_x.related_slug", "_x.overlap")
 
 
 def _met_by_words(lookups: DataFrame, signatures: DataFrame) -> DataFrame:
