@@ -22,6 +22,8 @@ from tidemark.llm.components import components
 BUCKETS = 1 << 20
 #: Shingles which leave a task together.
 SLICE = 1 << 18
+#: 64-bit pieces of the sketch of a prefix.
+PIECES = 8
 #: Rounds in which each group meets one other group of its entries before all groups meet that are not joined yet.
 ROUNDS = 2
 #: Pairs of one set which are verified in one task; a set with more goes to several tasks.
@@ -63,6 +65,12 @@ def bucket(found: np.ndarray) -> np.ndarray:
     return (found.view(np.uint64) >> np.uint64(44)).astype(np.int64)
 
 
+def sketch(prefix: np.ndarray) -> np.ndarray:
+    """For each of 64 * PIECES classes of shingles whether the prefix has an odd number of them."""
+    odd = np.bincount((prefix.view(np.uint64) % np.uint64(64 * PIECES)).astype(np.int64), minlength=64 * PIECES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def rarity(docs: DataFrame, words: int) -> np.ndarray:
     """How many sets of the corpus have a shingle of each bucket: a bounded number of counters over all documents."""
 
@@ -91,10 +99,12 @@ def prefixes(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
 
         def out(batch: pa.RecordBatch, at: int, nodes: list, sizes: list, firsts: list) -> pa.RecordBatch:
             offsets = np.cumsum([0] + [len(f) for f in firsts]).astype(np.int32)
+            pieces = pa.array(np.concatenate([sketch(f) for f in firsts]))
+            every = pa.array(np.arange(0, PIECES * len(firsts) + 1, PIECES, dtype=np.int32))
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, len(nodes)), batch.column(1).slice(at, len(nodes)), pa.array(nodes, pa.int64()),
-                 pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))],
-                names=["_k", "_h", "node", "n", "prefix"])
+                 pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts))),
+                 pa.ListArray.from_arrays(every, pieces)], names=["_k", "_h", "node", "n", "prefix", "sketch"])
 
         for batch in batches:
             at, held, nodes, sizes, firsts = 0, 0, [], [], []
@@ -114,7 +124,7 @@ def prefixes(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
                 yield out(batch, at, nodes, sizes, firsts)
 
     src = docs.select("_k", F.xxhash64("_t").alias("_h"), "_t")
-    return src.mapInArrow(run, f"_k {dict(src.dtypes)['_k']}, _h long, node long, n int, prefix array<long>")
+    return src.mapInArrow(run, f"_k {dict(src.dtypes)['_k']}, _h long, node long, n int, prefix array<long>, sketch array<long>")
 
 
 def set_rows(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -189,6 +199,18 @@ def reachable(x: str, y: str, over: int, under: int) -> Column:
     return both + left >= needed(n, m, over, under)
 
 
+def prefix_size(n: Column, over: int, under: int) -> Column:
+    return n - F.ceil(F.lit(over) * n / F.lit(under)) + 1
+
+
+def sketched(x: str, y: str, over: int, under: int) -> Column:
+    """``reachable`` by the sketches of the prefixes: where they differ, the prefixes differ in one shingle at least."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    a, b = prefix_size(n, over, under), prefix_size(m, over, under)
+    differ = sum((F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))) for i in range(PIECES)), F.lit(0))
+    return F.floor((a + b - differ) / 2) + F.greatest(n - a, m - b) >= needed(n, m, over, under)
+
+
 def shared_entries(groups: DataFrame, over: int, under: int) -> DataFrame:
     """(entry, g, n, at) of prefix shingles that can be the first common one of two groups.
 
@@ -234,8 +256,8 @@ def pairs_left(shared: DataFrame, members: DataFrame, groups: DataFrame, over: i
     """All pairs of sets that may be similar and are not in one component yet.
 
     Places of an entry (size and position) meet before groups do: a place pair that cannot hold a first common shingle
-    of similar sets, or holds one component only, names no groups. Groups of the places left meet if their whole prefixes
-    leave room for similar sets.
+    of similar sets, or holds one component only, names no groups. Groups of the places left meet if the sketches of
+    their prefixes, and then the prefixes themselves, leave room for similar sets.
     """
     roots = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     now = keep(shared.join(roots, "g"), "entries-left")
@@ -248,14 +270,17 @@ def pairs_left(shared: DataFrame, members: DataFrame, groups: DataFrame, over: i
         "entry", F.col("x.n").alias("n"), F.col("x.at").alias("at"), F.col("y.n").alias("n2"), F.col("y.at").alias("at2"))
     open_ = keep(open_, "places-left")
     named = open_.select("entry", "n", "at").union(open_.select("entry", "n2", "at2")).distinct()
-    rows = keep(now.join(named, ["entry", "n", "at"], "left_semi").join(groups.select("g", "prefix"), "g").select(
-        "entry", "n", "at", F.struct("g", "n", "low", "high", "prefix").alias("x")), "open-entries")
+    rows = keep(now.join(named, ["entry", "n", "at"], "left_semi").join(groups.select("g", "sketch"), "g").select(
+        "entry", "n", "at", F.struct("g", "n", "low", "high", "sketch").alias("x")), "open-entries")
     one = open_.join(rows, ["entry", "n", "at"]).select(
         "entry", F.col("n2").alias("n"), F.col("at2").alias("at"), F.col("x").alias("y"))
-    two = one.join(rows, ["entry", "n", "at"]).filter(
+    met = one.join(rows, ["entry", "n", "at"]).filter(
         (F.col("x.g") != F.col("y.g")) & (F.least("x.low", "y.low") < F.greatest("x.high", "y.high"))
-        & reachable("x", "y", over, under)).select(
+        & sketched("x", "y", over, under)).select(
         F.least("x.g", "y.g").alias("g1"), F.greatest("x.g", "y.g").alias("g2")).distinct()
+    whole = groups.select("g", F.struct("n", "prefix").alias("x"))
+    two = keep(met, "group-pairs").join(whole.withColumnRenamed("g", "g1"), "g1").join(
+        whole.toDF("g2", "y"), "g2").filter(reachable("x", "y", over, under)).select("g1", "g2")
     inside = roots.filter("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     m = members.select("g", "node", "root")
     both = two.unionByName(inside).join(m.toDF("g1", "a", "r1"), "g1").join(m.toDF("g2", "b", "r2"), "g2")
@@ -277,7 +302,7 @@ def near_copies(df: DataFrame, key: str, text: str, words: int = 5, over: int =
     some = rows.filter("n > 0")
     nodes = keep(some.withColumn("g", F.xxhash64("n", "prefix")).groupBy("node").agg(
         F.min("g").alias("g"), F.min("_h").alias("_h"), F.min("_k").alias("first")), "shingle-nodes")
-    groups = keep(some.withColumn("g", F.xxhash64("n", "prefix")).dropDuplicates(["g"]).select("g", "n", "prefix"), "shingle-groups")
+    groups = keep(some.withColumn("g", F.xxhash64("n", "prefix")).dropDuplicates(["g"]).select("g", "n", "prefix", "sketch"), "shingle-groups")
     shared = keep(shared_entries(groups, over, under), "shared-entries")
     links, roots = None, None
     for turn in range(-1 if seeds else 0, ROUNDS + 1):
