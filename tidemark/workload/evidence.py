@@ -72,12 +72,10 @@ def w9(t: Inputs):
 
 def _pool_sql(recent: int, backstop: int) -> str:
     return f"""
-with r as (select *, not starts_with(source_catalog_id, 'discovery-') as prim,
-    row_number() over (partition by role_slug order by published_at desc, item_id) as rn_all from fx_evidence),
-p as (select item_id, row_number() over (partition by role_slug order by published_at desc, item_id) as rn_p
-      from r where prim)
-select r.role_slug, r.item_id from r left join p on r.item_id = p.item_id
-where rn_all <= {recent} or rn_p <= {backstop}"""
+with e as (select role_slug, item_id, published_at, not starts_with(source_catalog_id, 'discovery-') as prim from fx_evidence),
+r as (select role_slug, item_id, prim, row_number() over (partition by role_slug order by published_at desc, item_id) as rn_all,
+        row_number() over (partition by role_slug, prim order by published_at desc, item_id) as rn_lane from e)
+select role_slug, item_id from r where rn_all <= {recent} or (prim and rn_lane <= {backstop})"""
 
 
 @query("W8_evidence_pool", _pool_sql(24, 64))
