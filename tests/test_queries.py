@@ -18,6 +18,8 @@ SOME = (
     "I7_evidence_top8", "W8_evidence_pool_narrow", "A1_coverage_counts", "P27_signal_policy", "A2_trend_buckets", "W3_home_ranking",
     "I18_topic_pages", "W5_related_top_k", "J13_merged_timeline", "J11_items_since_boundary", "I1_normalised_fetch", "X7_heading_cards",
     "X11_search_results", "I3_role_candidates", "X16_upsert", "I12_due_notifications", "I4_classification", "A6_discovery_stats",
+    "I5_ingest_chain", "I11_discovery_runs", "I15_dictionary_chain", "W20_name_search_join", "W1_names_of_many_scripts", "U3_strict_answers",
+    "I24_cases_from_files", "S4_upsert_stream",
 )
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="shared tables are not here")
 
