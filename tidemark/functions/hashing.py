@@ -13,17 +13,24 @@ def stable_hash(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def collapsed_texts(title: Column, summary: Column, hints: Column) -> tuple[Column, Column, Column]:
+    return collapse_space(title), collapse_space(summary), F.transform(hints, collapse_space)
+
+
 def item_hash(
     catalog_id: Column, url: Column, source_type: Column, title: Column, summary: Column,
-    hints: Column, candidates: Column, prompt_version: Column, model: Column,
+    hints: Column, candidates: Column, prompt_version: Column, model: Column, collapsed: bool = False,
 ) -> Column:
+    """Hash of an item as a model sees it; ``collapsed`` says that its texts went through ``collapsed_texts``."""
+    if not collapsed:
+        title, summary, hints = collapsed_texts(title, summary, hints)
     return stable_hash(
         catalog_id.alias("catalog_id"),
         url.alias("url"),
         source_type.alias("source_type"),
-        collapse_space(title).alias("title"),
-        collapse_space(summary).alias("summary"),
-        F.transform(hints, collapse_space).alias("hints"),
+        title.alias("title"),
+        summary.alias("summary"),
+        hints.alias("hints"),
         candidates.alias("candidates"),
         prompt_version.alias("prompt_version"),
         model.alias("model"),
