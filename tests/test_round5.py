@@ -98,3 +98,33 @@ def test_texts_of_an_item_are_collapsed_once_for_all_models(spark):
 def test_no_list_of_words_leaves_the_engine_for_matching(spark):
     items, _, _ = tables(spark)
     assert mt._folded(items).columns == ["item_id", "_title", "_summary", "_hint"]
+
+
+def test_languages_are_told_for_a_few_rows_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StringType, StructType
+
+    from tidemark.llm import langid
+
+    class Docs:
+        columns = ["doc_id", "text"]
+        schema = StructType().add("doc_id", LongType()).add("text", StringType())
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return list(run(iter([batch, batch.slice(0, 0)])))
+
+    n = 2 * langid.ROWS + 3
+    texts = [None if i % 7 == 0 else "12 %" if i % 5 == 0 else f"the house number {i} " * (i % 9) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    net = langid.Network.fresh(["de", "en"], langid.HIDDEN, 1)
+    out = langid.predict(Docs(), "text", net)
+    assert [b.num_rows for b in out] == [langid.ROWS, langid.ROWS, 3]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["text"]) for r in rows] == list(enumerate(texts))
+    for r in rows:
+        if not r["text"] or not any(map(str.isalpha, r["text"])):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            p = langid.pooled(net, [r["text"]])[0]
+            assert r["lang_pred"] == net.labels[int(np.argmax(p))] and abs(r["score"] - p.max()) < 1e-5

@@ -21,6 +21,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
 HIDDEN, STEPS, BATCH, RATE = 8, 500, 96, 0.02
 #: Windows which go through the network at a time.
 BLOCK = 4_096
+#: Rows a task turns into Python values at a time; they leave it together.
+ROWS = 256
 UNDETERMINED = "und"
 PAD = 256
 
@@ -227,20 +229,21 @@ def predict(docs: DataFrame, text: str, net: Network | None, label: str = "lang_
     names = docs.columns
     at = names.index(text)
 
+    def labelled(rows: pa.RecordBatch) -> pa.RecordBatch:
+        texts = rows.column(at).to_pylist()
+        use = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net else []
+        lang, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if use:
+            for i, row in zip(use, pooled(net, [texts[i] for i in use])):
+                best = int(row.argmax())
+                lang[i], sure[i] = net.labels[best], min(1.0, float(row[best]))
+        columns = [*rows.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, label, score])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            use = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net else []
-            lang, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            for low in range(0, len(use), 256):
-                some = use[low:low + 256]
-                p = pooled(net, [texts[i] for i in some])
-                for i, row in zip(some, p):
-                    best = int(row.argmax())
-                    lang[i], sure[i] = net.labels[best], min(1.0, float(row[best]))
-            columns = [*(batch.column(i) for i in range(batch.num_columns)), pa.array(lang, pa.string()),
-                       pa.array(sure, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, label, score])
+            for low in range(0, batch.num_rows, ROWS):
+                yield labelled(batch.slice(low, ROWS))
 
     return docs.mapInArrow(run, schema)
 
