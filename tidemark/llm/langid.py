@@ -21,8 +21,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
 HIDDEN, STEPS, BATCH, RATE = 8, 500, 96, 0.02
 #: Windows which go through the network at a time.
 BLOCK = 4_096
-#: Rows a task turns into Python values at a time; they leave it together.
-ROWS = 256
+#: Texts with letters a task turns into Python values at a time; their rows leave it together.
+TEXTS = 256
 UNDETERMINED = "und"
 PAD = 256
 
@@ -229,12 +229,10 @@ def predict(docs: DataFrame, text: str, net: Network | None, label: str = "lang_
     names = docs.columns
     at = names.index(text)
 
-    def labelled(rows: pa.RecordBatch) -> pa.RecordBatch:
-        texts = rows.column(at).to_pylist()
-        use = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net else []
-        lang, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    def labelled(rows: pa.RecordBatch, use: list[int], texts: list[str]) -> pa.RecordBatch:
+        lang, sure = [UNDETERMINED] * rows.num_rows, np.zeros(rows.num_rows)
         if use:
-            for i, row in zip(use, pooled(net, [texts[i] for i in use])):
+            for i, row in zip(use, pooled(net, texts)):
                 best = int(row.argmax())
                 lang[i], sure[i] = net.labels[best], min(1.0, float(row[best]))
         columns = [*rows.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())]
@@ -242,8 +240,15 @@ def predict(docs: DataFrame, text: str, net: Network | None, label: str = "lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, ROWS):
-                yield labelled(batch.slice(low, ROWS))
+            low, use, texts = 0, [], []
+            for i, value in enumerate(batch.column(at)):
+                text = value.as_py() if net else None
+                if text and any(map(str.isalpha, text)):
+                    use.append(i - low)
+                    texts.append(text)
+                if len(use) == TEXTS or i + 1 == batch.num_rows:
+                    yield labelled(batch.slice(low, i + 1 - low), use, texts)
+                    low, use, texts = i + 1, [], []
 
     return docs.mapInArrow(run, schema)
 
