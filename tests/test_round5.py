@@ -129,3 +129,31 @@ def test_languages_are_told_for_a_few_texts_at_a_time():
         else:
             p = langid.pooled(net, [r["text"]])[0]
             assert r["lang_pred"] == net.labels[int(np.argmax(p))] and abs(r["score"] - p.max()) < 1e-5
+
+
+def test_card_patterns_do_not_contend_and_keep_their_matches(spark):
+    """Either-or classes and negated ranges made parallel tasks contend; titles compiled a pattern for each row."""
+    import inspect
+
+    from tidemark.functions import html, text, urls
+    from tidemark.sources import feeds, pages
+
+    for module in (html, feeds, pages, text, urls):
+        source = inspect.getsource(module)
+        assert r"[\s\S]" not in source and "[^ -~]" not in source and "[^\\\\x21" not in source
+    assert "F.split" not in inspect.getsource(html.clean_title)
+
+    rows = [("A  b \t Tag: x\ny", "A b"), ("　Tag: x", ""), ("no tag:x  here", "no tag:x here"), ("Tag: first", "Tag: first"),
+            ("a\nTAG:\n", "a"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, want string")
+    assert df.select(html.clean_title(F.col("t")).alias("got"), "want").filter("not got <=> want").count() == 0
+
+    dates = [("on March 3, 2024 x", "March 3, 2024"), ("xMarch 3, 2024", None), ("_2024-03-01", None), ("éMarch 3, 2024", "March 3, 2024"),
+             ("2024-03-01T10:00Z.", "2024-03-01T10:00Z"), ("March 3, 20245", None), ("12024-03-01", None)]
+    df = spark.createDataFrame([(t, w) for t, w in dates], "t string, want string")
+    assert df.select(html.date_text(F.col("t")).alias("got"), "want").filter("not got <=> want").count() == 0
+
+    page = '<h2>\n<a href="/a/../b c/ü?x=1">A title\nover two lines</a></h2><p>one\ntwo</p><time>2024-01-02</time></body>'
+    df = spark.createDataFrame([(1, "https://s.test/l/", page)], "page_id int, base_url string, html string")
+    got = pages.heading_cards(df).select("source_url", "title", "published", "summary").collect()
+    assert [tuple(r) for r in got] == [("https://s.test/b%20c/%C3%BC?x=1", "A title over two lines", "2024-01-02", "one two")]

@@ -15,10 +15,11 @@ from tidemark.functions.text import SPACE, ascii_bounds, collapse_space, term_pa
 _ENTITIES = (
     ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
 )
-DATE_TEXT = ascii_bounds(
-    r"\b([A-Z][a-z]{2,8}\s+\d{1,2},\s+\d{4}|\d{4}-\d{2}-\d{2}(?:T[0-9:.+\-Z]+)?)\b"
+# a look at the first letter spares most places the look behind it
+DATE_TEXT = r"(?=[A-Z\d])(?<!\w)" + ascii_bounds(
+    r"([A-Z][a-z]{2,8}\s+\d{1,2},\s+\d{4}|\d{4}-\d{2}-\d{2}(?:T[0-9:.+\-Z]+)?)\b"
 )
-ANCHOR = r"(?i)<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>([\s\S]*?)</a>"
+ANCHOR = r"(?is)<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>(.*?)</a>"
 
 
 def decode(c: Column, nbsp: bool = True) -> Column:
@@ -67,14 +68,14 @@ def any_attribute(fragment: Column, names: Iterable[str]) -> Column:
 def first_body(fragment: Column, tags: Iterable[str]) -> Column:
     """Text of the first tag kind that occurs; an empty body still counts as found."""
     return F.coalesce(
-        *[strip(extract(fragment, rf"(?i)<{t}\b[^>]*>([\s\S]*?)</{t}>")) for t in tags]
+        *[strip(extract(fragment, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>")) for t in tags]
     )
 
 
 def all_bodies(fragment: Column, tags: Iterable[str]) -> Column:
     """Texts of all occurrences, tag kind by tag kind, empty ones dropped."""
     found = [
-        F.regexp_extract_all(fragment, F.lit(rf"(?i)<{t}\b[^>]*>([\s\S]*?)</{t}>"), F.lit(1)) for t in tags
+        F.regexp_extract_all(fragment, F.lit(rf"(?is)<{t}\b[^>]*>(.*?)</{t}>"), F.lit(1)) for t in tags
     ]
     return F.filter(F.transform(F.concat(*found), strip), lambda b: F.length(b) > 0)
 
@@ -98,8 +99,8 @@ def published_text(fragment: Column) -> Column:
 
 def clean_title(c: Column) -> Column:
     """Without a trailing "Tag:" list; NULL stays NULL."""
-    head = F.element_at(F.split(c, rf"(?i){SPACE}+Tag:{SPACE}+"), 1)
-    return collapse_space(head)
+    # not by ``split``, which compiles its pattern for every row
+    return collapse_space(F.regexp_replace(c, rf"(?is)(?![!-~]){SPACE}+Tag:{SPACE}.*", ""))
 
 
 def is_promotional(fragment: Column, title: Column) -> Column:

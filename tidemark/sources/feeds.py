@@ -12,7 +12,7 @@ from tidemark.functions.text import collapse_space, trim_all
 
 def _tag(item: Column, tag: str) -> Column:
     """Decoded body of a feed tag, NULL where the tag is missing."""
-    pattern = rf"(?i)<{tag}(?:\s[^>]*)?>([\s\S]*?)</{tag}>"
+    pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
     body = F.regexp_extract(item, pattern, 1)
     bare = F.replace(F.replace(body, F.lit("<![CDATA["), F.lit("")), F.lit("]]>"), F.lit(""))
     return F.when(F.rlike(item, F.lit(pattern)), decode(trim_all(bare), nbsp=False))
@@ -36,8 +36,8 @@ def feed_items(feeds: DataFrame, max_items: int | None = None) -> DataFrame:
     """
     atom = F.col("transport") == "atom"
     blocks = F.when(
-        atom, F.regexp_extract_all("xml", F.lit(r"(?i)<entry\b[\s\S]*?</entry>"), F.lit(0))
-    ).otherwise(F.regexp_extract_all("xml", F.lit(r"(?i)<item\b[\s\S]*?</item>"), F.lit(0)))
+        atom, F.regexp_extract_all("xml", F.lit(r"(?is)<entry\b.*?</entry>"), F.lit(0))
+    ).otherwise(F.regexp_extract_all("xml", F.lit(r"(?is)<item\b.*?</item>"), F.lit(0)))
 
     def item(x: Column) -> Column:
         summary = F.coalesce(
