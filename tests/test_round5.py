@@ -157,3 +157,33 @@ def test_card_patterns_do_not_contend_and_keep_their_matches(spark):
     df = spark.createDataFrame([(1, "https://s.test/l/", page)], "page_id int, base_url string, html string")
     got = pages.heading_cards(df).select("source_url", "title", "published", "summary").collect()
     assert [tuple(r) for r in got] == [("https://s.test/b%20c/%C3%BC?x=1", "A title over two lines", "2024-01-02", "one two")]
+
+
+def test_pool_of_a_score_is_dealt_by_role_once(spark):
+    """Lists and pool sizes come from one pool: two shuffles of evidence, one for each lane."""
+    from tidemark.operators.evidence import evidence_pool, scoring_evidence
+    from tidemark.plans.refresh import evidence_lists
+
+    rows = [(f"i{n}", f"r{n % 5}", ("NEWS", "COMPANY_UPDATE", "JOB_POSTING")[n % 3], "discovery-x" if n % 4 == 0 else "c",
+             ("HIGH", "MEDIUM", "LOW")[n % 3 if n % 5 else 2], "INCREASE", float(n % 10), n, None, "t  t", "s", None) for n in range(400)]
+    rows += [("x", None, "NEWS", None, None, None, None, None, None, None, None, None)] * 2
+    df = spark.createDataFrame(
+        rows, "item_id string, role_slug string, source_type string, source_catalog_id string, relevance string, impact string, "
+        "signal_weight double, n int, raw_json string, title string, summary_en string, inference_summary_en string").withColumn(
+        "published_at", F.expr("timestamp'2024-01-01' + make_dt_interval(n)")).drop("n")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = evidence_lists(df)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        pool = evidence_pool(df)
+        sizes = {r.role_slug: r["count"] for r in pool.groupBy("role_slug").count().collect()}
+        best = {}
+        for r in scoring_evidence(pool).select("role_slug", "evidence_rank", "adjusted_weight").collect():
+            best.setdefault(r.role_slug, []).append((r.evidence_rank, r.adjusted_weight))
+        got = out.collect()
+        assert {r.role_slug: r.pool_size for r in got} == sizes and None in sizes and best
+        for r in got:
+            told = None if r.evidence is None else [(e.evidence_rank, e.adjusted_weight) for e in r.evidence]
+            assert told == (sorted(best[r.role_slug]) if r.role_slug in best else None)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
