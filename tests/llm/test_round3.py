@@ -283,3 +283,25 @@ def test_training_windows_come_from_whole_texts(spark):
         at = [raw.find(w) for w in parts]
         assert len(at) == langid.SAMPLE_WINDOWS and all(a % langid.WINDOW == 0 for a in at) and max(at) > 0.8 * len(raw)
     assert langid.train(got).labels == ["ru"]
+
+
+def test_fingerprints_link_documents_by_themselves_in_the_pipeline(spark):
+    """Texts within two bits whose shingles are less alike than 0.8 are near copies of the pipeline's stage."""
+    import random
+
+    import corpus_pipeline
+    from tidemark.llm import jaccard, simhash
+
+    rng, known = random.Random(5), jaccard.WordHashes()
+    while True:
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(40)]
+        other = words[:20] + ["edited"] + words[21:]
+        a, b = " ".join(words), " ".join(other)
+        if (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() <= 2:
+            break
+    x, y = set(jaccard.shingles(a, 5, known).tolist()), set(jaccard.shingles(b, 5, known).tolist())
+    assert len(x & y) < 0.8 * len(x | y)
+    far = " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(3, a), (1, b), (2, far), (4, far)], "doc_id long, text string")
+    left = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in left) == [1, 2]

@@ -93,7 +93,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 3) -> DataF
 
 
 def seed_pairs(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Pairs (a, b) of nodes worth a look because fingerprints of their texts differ by two bits at most.
+    """Links (a, b) of nodes because fingerprints of their texts differ by two bits at most.
 
     ``docs``: ``_t`` (texts); ``nodes``: node, ``_h`` (hash of one of its texts). Equal fingerprints are linked to their first
     node, close ones through those, so a large group of near copies gives a few pairs for each node.
