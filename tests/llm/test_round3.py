@@ -305,3 +305,37 @@ def test_fingerprints_link_documents_by_themselves_in_the_pipeline(spark):
     docs = spark.createDataFrame([(3, a), (1, b), (2, far), (4, far)], "doc_id long, text string")
     left = corpus_pipeline.near_copies(spark, docs, "").collect()
     assert sorted(r.doc_id for r in left) == [1, 2]
+
+
+def test_copies_around_the_threshold_meet_their_hub(spark, monkeypatch):
+    """Of copies whose pairs seldom link, the one with the fewest edits links most: few pairs are left to try."""
+    rnd, rows = random.Random(8), []
+    words = [f"w{i}" for i in range(600)]
+    for i in range(250):
+        own = list(words)
+        for k in rnd.sample(range(600), 6 + i % 7 if i else 0):
+            own[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+    tried, check = [], jaccard.verified
+
+    def counted(docs, pairs, *rest):
+        tried.append(pairs.count())
+        return check(docs, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = jaccard.near_copies(odd(spark, [(k, t, None) for k, t in rows]), "doc_id", "text", 4, 17, 20).collect()
+    assert Counter(map(tuple, got)) == plain_components(rows, 4, 17, 20)
+    assert sum(tried) < 8 * len(rows)
+
+
+def test_word_hashes_tell_words_apart():
+    known, words = jaccard.WordHashes(), [f"{a}{b}{c}" for a in "abAé-" for b in "ab\x00ß1" for c in ("", "a", "b", "aa", " x")]
+    hashes = {w: int(known.of(w.encode())[0]) for w in words}
+    assert len({hashes[w] for w in words}) == len({w.encode().lower() for w in words})
+    text = " \t" + "\x0b\n ".join(words) + "\r"
+    assert known.of(text.encode()).tolist() == [hashes[w] for w in words]
+    assert jaccard.shingles("A b  c", 2, known).tolist() == sorted(
+        int(jaccard.shingles(t, 2, known)[0]) for t in ("a b", "b c"))
+    assert not len(known.of(b" \n")) and not len(known.of(b""))
+    long = "x" * 5000 + " " + "y " * 70000
+    assert known.of(long.encode())[1:].tolist() == [int(known.of(b"Y")[0])] * 70000

@@ -30,29 +30,62 @@ ROUNDS = 2
 VERIFIED = 2048
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _letter_values() -> np.ndarray:
+    """A 64-bit value for each byte, A to Z with those of a to z."""
+    values = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+    values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
+    return values
 
-        self[word] = value = xxhash.xxh64_intdigest(word, 42)
-        return value
+
+LETTERS = _letter_values()
+SOLID = np.array([bytes([b]).strip() != b"" for b in range(256)])
+#: Base of the words' polynomials and its inverse: 5 modulo 8, so that few powers are alike in their low bits.
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
+
+
+class WordHashes:
+    """Hashes of a text's words: sums of letter values times powers of a base, from one running sum over the text."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def place(self, i: int) -> np.uint64:
+        """An odd factor for the word at this place of a shingle."""
+        return np.uint64(pow(0xC2B2AE3D27D4EB4F, 2 * i + 1, 1 << 64))
+
+    def of(self, raw: bytes) -> np.ndarray:
+        letters = np.frombuffer(raw, np.uint8)
+        if len(letters) > len(self.up):
+            size = max(1 << 12, 1 << len(letters).bit_length())
+            self.up, self.down = (np.multiply.accumulate(np.full(size, b, np.uint64)) for b in (BASE, UNBASE))
+        solid = np.zeros(len(letters) + 2, np.int8)
+        solid[1:-1] = SOLID[letters]
+        edges = np.flatnonzero(np.diff(solid))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum(LETTERS[letters] * self.up[:len(letters)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.down[starts]
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: str | None, words: int, known: WordHashes) -> np.ndarray:
     """Distinct hashes of a text's shingles, ascending; a text of fewer words is one shingle, one without words none."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
+    h = known.of((text or "").encode("utf-8", "replace"))
+    if not len(h):
         return np.empty(0, np.int64)
-    if len(known) > 1 << 17:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     size = min(words, len(h))
     n = len(h) - size + 1
     out = np.full(n, size, np.uint64)
     for i in range(size):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i:i + n]
-        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return np.unique((out ^ (out >> np.uint64(31))).view(np.int64))
+        out += h[i:i + n] * known.place(i)
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    out = (out ^ (out >> np.uint64(31))).view(np.int64)
+    out.sort()
+    first = np.ones(n, np.bool_)
+    np.not_equal(out[1:], out[:-1], out=first[1:])
+    return out[first]
 
 
 def name_of(found: np.ndarray) -> int:
@@ -212,15 +245,15 @@ def sketched(x: str, y: str, over: int, under: int) -> Column:
 
 
 def shared_entries(groups: DataFrame, over: int, under: int) -> DataFrame:
-    """(entry, g, n, at) of prefix shingles that can be the first common one of two groups.
+    """(entry, g, n, at, held: by how many groups) of prefix shingles that can be the first common one of two groups.
 
     Of two similar sets the smaller has its first common shingle in a still shorter prefix; entries which stand in no
     such prefix, or in one group only, join nothing.
     """
     rows = groups.select("g", "n", F.posexplode("prefix").alias("at", "entry"))
     early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * over) * F.col("n") / F.lit(over + under))
-    useful = rows.groupBy("entry").agg(F.count("*").alias("_c"), F.max(early).alias("_e")).filter("_c > 1 and _e").select("entry")
-    return rows.join(useful, "entry", "left_semi").select("entry", "g", "n", "at")
+    useful = rows.groupBy("entry").agg(F.count("*").alias("held"), F.max(early).alias("_e")).filter("held > 1 and _e").select("entry", "held")
+    return rows.join(useful, "entry").select("entry", "g", "n", "at", "held")
 
 
 def with_roots(df: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -229,12 +262,27 @@ def with_roots(df: DataFrame, roots: DataFrame | None) -> DataFrame:
     return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def hubs(shared: DataFrame, over: int, under: int) -> DataFrame:
+    """(g, hub) of groups: the logarithm of how many groups hold a shingle, on average over the prefix.
+
+    A copy with few words of its own is near to more of the others than one with many.
+    """
+    return shared.groupBy("g").agg((F.sum(F.log2("held")) / F.first(prefix_size(F.col("n"), over, under))).alias("hub"))
+
+
 def pairs_of(shared: DataFrame, members: DataFrame, groups: DataFrame, turn: int, over: int, under: int) -> DataFrame:
-    """Each group meets one other group of each of its entries, picked anew each turn; its members try the one met most often."""
+    """Each group meets one other group of each of its entries; its members try the one met most often.
+
+    In the first turn that is the entry's greatest hub, so most of a group of near copies is joined at once and few of its pairs
+    are left; later turns pick anew by chance.
+    """
     heads = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"),
                                      F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("head"))
+    chance = F.xxhash64("g", "entry", F.lit(turn))
     now = shared.join(heads.select("g", "low", "high"), "g")
-    centre = now.groupBy("entry").agg(F.min_by(F.struct("g", "n", "at", "low", "high"), F.xxhash64("g", "entry", F.lit(turn))).alias("c"))
+    if turn == 0:
+        now, chance = now.join(hubs(shared, over, under), "g"), F.struct(-F.col("hub"), F.xxhash64("g"))
+    centre = now.groupBy("entry").agg(F.min_by(F.struct("g", "n", "at", "low", "high"), chance).alias("c"))
     met = now.alias("x").join(centre.select("entry", "c.*").alias("y"), "entry").filter(
         (F.col("x.g") != F.col("y.g")) & ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
         & (F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
