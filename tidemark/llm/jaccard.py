@@ -245,15 +245,15 @@ def sketched(x: str, y: str, over: int, under: int) -> Column:
 
 
 def shared_entries(groups: DataFrame, over: int, under: int) -> DataFrame:
-    """(entry, g, n, at, held: by how many groups) of prefix shingles that can be the first common one of two groups.
+    """(entry, g, n, at, held, early) of prefix shingles which several groups hold (``held``: how many).
 
     Of two similar sets the smaller has its first common shingle in a still shorter prefix; entries which stand in no
-    such prefix, or in one group only, join nothing.
+    such prefix are not ``early`` and join nothing.
     """
     rows = groups.select("g", "n", F.posexplode("prefix").alias("at", "entry"))
     early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * over) * F.col("n") / F.lit(over + under))
-    useful = rows.groupBy("entry").agg(F.count("*").alias("held"), F.max(early).alias("_e")).filter("held > 1 and _e").select("entry", "held")
-    return rows.join(useful, "entry").select("entry", "g", "n", "at", "held")
+    useful = rows.groupBy("entry").agg(F.count("*").alias("held"), F.max(early).alias("_e")).filter("held > 1")
+    return rows.join(useful, "entry").select("entry", "g", "n", "at", "held", F.col("_e").alias("early"))
 
 
 def with_roots(df: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -262,26 +262,27 @@ def with_roots(df: DataFrame, roots: DataFrame | None) -> DataFrame:
     return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def hubs(shared: DataFrame, over: int, under: int) -> DataFrame:
+def hubs(held: DataFrame, over: int, under: int) -> DataFrame:
     """(g, hub) of groups: the logarithm of how many groups hold a shingle, on average over the prefix.
 
     A copy with few words of its own is near to more of the others than one with many.
     """
-    return shared.groupBy("g").agg((F.sum(F.log2("held")) / F.first(prefix_size(F.col("n"), over, under))).alias("hub"))
+    return held.groupBy("g").agg((F.sum(F.log2("held")) / F.first(prefix_size(F.col("n"), over, under))).alias("hub"))
 
 
-def pairs_of(shared: DataFrame, members: DataFrame, groups: DataFrame, turn: int, over: int, under: int) -> DataFrame:
+def pairs_of(shared: DataFrame, members: DataFrame, groups: DataFrame, turn: int, over: int, under: int,
+             hub: DataFrame | None = None) -> DataFrame:
     """Each group meets one other group of each of its entries; its members try the one met most often.
 
-    In the first turn that is the entry's greatest hub, so most of a group of near copies is joined at once and few of its pairs
-    are left; later turns pick anew by chance.
+    With ``hub`` that is the entry's greatest hub, so most of a group of near copies is joined at once and few of its pairs
+    are left; other turns pick anew by chance.
     """
     heads = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"),
                                      F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("head"))
     chance = F.xxhash64("g", "entry", F.lit(turn))
     now = shared.join(heads.select("g", "low", "high"), "g")
-    if turn == 0:
-        now, chance = now.join(hubs(shared, over, under), "g"), F.struct(-F.col("hub"), F.xxhash64("g"))
+    if hub is not None:
+        now, chance = now.join(hub, "g"), F.struct(-F.col("hub"), F.xxhash64("g"))
     centre = now.groupBy("entry").agg(F.min_by(F.struct("g", "n", "at", "low", "high"), chance).alias("c"))
     met = now.alias("x").join(centre.select("entry", "c.*").alias("y"), "entry").filter(
         (F.col("x.g") != F.col("y.g")) & ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
@@ -351,14 +352,16 @@ def near_copies(df: DataFrame, key: str, text: str, words: int = 5, over: int =
     nodes = keep(some.withColumn("g", F.xxhash64("n", "prefix")).groupBy("node").agg(
         F.min("g").alias("g"), F.min("_h").alias("_h"), F.min("_k").alias("first")), "shingle-nodes")
     groups = keep(some.withColumn("g", F.xxhash64("n", "prefix")).dropDuplicates(["g"]).select("g", "n", "prefix", "sketch"), "shingle-groups")
-    shared = keep(shared_entries(groups, over, under), "shared-entries")
+    held = keep(shared_entries(groups, over, under), "shared-entries")
+    shared = held.filter("early").select("entry", "g", "n", "at")
     links, roots = None, None
     for turn in range(-1 if seeds else 0, ROUNDS + 1):
         if turn < 0:
             found = keep(seeds(docs, nodes, words), "seed-links")
         else:
             members = keep(with_roots(nodes.select("node", "g"), roots), "group-members")
-            pairs = (pairs_of(shared, members, groups, turn, over, under) if turn < ROUNDS
+            hub = None if turn else hubs(held, over, under)
+            pairs = (pairs_of(shared, members, groups, turn, over, under, hub) if turn < ROUNDS
                      else pairs_left(shared, members, groups, over, under))
             found = keep(verified(docs, pairs, nodes, words, over, under), "similar-pairs")
         links = found if links is None else links.unionByName(found)
