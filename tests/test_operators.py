@@ -233,3 +233,21 @@ def test_search_as_a_join_equals_the_ladder_for_each_query(spark, monkeypatch):
     plain = sorted({" ".join(q.split()) for q in typed if q is not None})
     expected = {(r["query"], r["slug"], r["score"]) for r in cat.search_names(df, plain, ("name", "other"), "name").collect()}
     assert got == expected and {q for q, _, _ in got} >= {"", "a", "c b"}
+
+
+def test_search_as_a_join_scores_each_text_once(spark):
+    """Names which share texts: scores and first rows are those of the ladder, with a few names of each text scored."""
+    rnd = random.Random(4)
+    words = ["hot ring", "Hot Ring", "hót ring", "ring hot", "bolt"]
+    names = [(f"r{i}", w, f"{w}-x" if i % 3 else w) for i, w in enumerate(rnd.choices(words, k=300))]
+    names += [("r7", *names[7][1:]), ("r301", None, "hot ring"), ("r302", "hot ring", None), (None, "hot ring", "bolt")]
+    df = spark.createDataFrame(names, "slug string, label string, other string")
+    df = df.withColumn("name", F.lower("label")).withColumn("other", F.lower("other"))
+    typed = ["", "hot", "hot ring", "ring", "htrg", "bolt-x", "r3", "zz"]
+    queries = spark.createDataFrame([(q,) for q in typed], "query string")
+    got = [(r["query"], r["slug"], r["label"], r["score"]) for r in cat.search_join(df, queries, ("name", "other", "slug"), "label").collect()]
+    expected = [(r["query"], r["slug"], r["label"], r["score"]) for r in cat.search_names(df, typed, ("name", "other", "slug"), "label").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and len(got) > 40
+    plain = df.select(F.monotonically_increasing_id().alias("_id"), F.col("label").alias("_label"), F.col("slug").alias("_slug"),
+                      F.array("name", "other", "slug").alias("texts"))
+    assert cat._first_holders(plain).groupBy("text").count().agg(F.max("count")).first()[0] == 8

@@ -345,12 +345,27 @@ def _ladder(t: Column, q: Column) -> Column:
     return let(F.call_function("instr", t, q["query"]), of_position)
 
 
+def _by_label() -> list[Column]:
+    return [by_name(F.col("_label")).asc(), F.col("_slug").asc(), F.col("_id").asc()]
+
+
+def _first_holders(names: DataFrame) -> DataFrame:
+    """(text, _id, _label, _slug): of the names with a text the first 8 by label, for names (_id, _label, _slug, texts).
+
+    A query scores a text, whoever has it, so a name with eight before it at its best text is behind those eight in any answer.
+    """
+    texts = F.transform(F.filter(F.array_distinct("texts"), lambda t: F.length(t) > 0), lambda t: F.struct(t.alias("text")))
+    same = top_k(unfold(names, texts, "_id", "_label", "_slug"), ["text", "_label"], [F.col("_slug").asc(), F.col("_id").asc()], 8)
+    return top_k(same, ["text"], _by_label(), 8)
+
+
 def search_join(names: DataFrame, queries: DataFrame, folded: Sequence[str], label: str) -> DataFrame:
     """``search_names`` for any number of queries in a DataFrame (``query``, folded like the names): one plan for all.
 
-    Queries go to every task in blocks of bounded size. A name meets a query only if one of its texts has all letters of the
-    query, which every rung of the ladder needs and which is one comparison of bits; then the ladder tells. Best rows are cut
-    inside the tasks. Repeated and null queries answer once or not at all; a blank query has the first names by label.
+    Queries go to every task in blocks of bounded size. Each distinct text of the names is scored once for a query, if it has all
+    letters of the query, which every rung of the ladder needs and which is one comparison of bits; of the names with one
+    text only the first 8 can answer. A name has the score of its best text. Best rows are cut inside the tasks. Repeated and
+    null queries answer once or not at all; a blank query has the first names by label.
     """
     text = F.trim(F.regexp_replace("query", " +", " "))
     letters = F.filter(F.split(F.replace("query", F.lit(" "), F.lit("")), ""), lambda c: F.length(c) > 0)
@@ -358,25 +373,28 @@ def search_join(names: DataFrame, queries: DataFrame, folded: Sequence[str], lab
         queries.filter(F.col("query").isNotNull()).select(text.alias("query")).distinct(), mask=_letters(F.col("query")), letters=letters,
         words=F.filter(F.split("query", " "), lambda w: F.length(w) > 0)).withColumn("q", F.struct("query", "words", "letters")).select("q", "mask")
     asked = cut_lineage(asked)
+    blank = asked.filter("q.query = ''").select("q.query")
+    asked = asked.filter("q.query <> ''")
     n = asked.count()
-    masks = {f"_m{i}": _letters(F.coalesce(F.col(c), F.lit(""))) for i, c in enumerate(folded)}
-    held = bind(names, **masks)
+    kept = cut_lineage(names.select(*names.columns, F.monotonically_increasing_id().alias("_id")))
+    plain = kept.select("_id", F.col(label).alias("_label"), F.col("slug").alias("_slug"), F.array(*folded).alias("texts"))
+    holders = cut_lineage(_first_holders(plain))
+    texts = cut_lineage(bind(holders.select("text").distinct(), own=_letters(F.col("text"))))
     blocks = -(-n // QUERY_BLOCK) or 1
     found = None
     for b in range(blocks):
         some = F.broadcast(asked.filter(F.pmod(F.xxhash64("q.query"), F.lit(blocks)) == b))
-        fits = F.lit(False)
-        for m in masks:
-            fits = fits | (F.col(m).bitwiseAND(F.col("mask")) == F.col("mask"))
-        met = held.join(some, fits)
-        score = F.greatest(F.lit(-1), *[
-            F.when(F.col(m).bitwiseAND(F.col("mask")) == F.col("mask"), F.when(F.length("q.query") == 0, 1).otherwise(_ladder(F.col(c), F.col("q")))).otherwise(-1)
-            for m, c in zip(masks, folded)])
-        rows = bind(met, score=score).filter(F.col("score") >= 0).select(*names.columns, F.col("q.query").alias("query"), "score")
+        met = texts.join(some, F.col("own").bitwiseAND(F.col("mask")) == F.col("mask"))
+        rows = bind(met, score=_ladder(F.col("text"), F.col("q"))).filter(F.col("score") >= 0).select("text", F.col("q.query").alias("query"), "score")
         found = rows if found is None else found.unionByName(rows)
-    order = [F.col("score").desc(), by_name(F.col(label)).asc(), F.col("slug").asc()]
-    best = top_k(found, ["query"], order, 8, rank="_rank")
-    return best.filter((F.col("_rank") <= 6) | (F.col("query") != "")).drop("_rank")
+    best = found.join(holders, "text").groupBy("query", "_id").agg(
+        F.max("score").alias("score"), F.first("_label").alias("_label"), F.first("_slug").alias("_slug"))
+    best = top_k(best, ["query"], [F.col("score").desc(), *_by_label()], 8)
+    blanks = plain.select("_id", "_label", "_slug", F.lit("").alias("query"), F.lit(1).alias("score"))
+    first = top_k(blanks, ["query", "_label"], [F.col("_slug").asc(), F.col("_id").asc()], 6)
+    first = top_k(first, ["query"], _by_label(), 6).join(F.broadcast(blank), "query", "left_semi")
+    answers = best.select("_id", "query", "score").unionByName(first.select("_id", "query", "score"))
+    return kept.join(answers, "_id").select(*names.columns, "query", "score")
 
 
 # ---- discovery queries -----------------------------------------------------------------------
