@@ -66,9 +66,10 @@ def links(fps: DataFrame) -> DataFrame:
     common, whichever segments the bits lie in. Every distinct fingerprint writes the ball of each segment, with
     the other segments beside it, into the table. An entry is held by at most 65 fingerprints, however large
     a group of near copies is, and each of them is linked to the smallest, so no entry emits all its pairs; the
-    full distance of each link is verified.
+    full distance of each link is verified. The join names its kind: the planner takes the table for as small as the fingerprints,
+    a 65th of its size, and would send it to every task.
     """
-    entry = fps.select("fp", F.explode(ball(F.col("fp"))).alias("entry"))
+    entry = fps.select("fp", F.explode(ball(F.col("fp"))).alias("entry")).hint("merge")
     least = entry.groupBy("entry").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
     found = entry.join(least.select("entry", "low"), "entry").filter("fp <> low").select("fp", F.col("low").alias("other"))
     return found.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2).distinct()
