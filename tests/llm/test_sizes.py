@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import decontaminate, simhash
 from tidemark.llm.common import keep
 
 
@@ -25,3 +27,25 @@ def test_exploded_tables_are_not_sent_to_every_task(spark, ten_mb):
     fps = keep(spark.range(300).select(F.col("id").alias("fp")), "fps")
     found = simhash.links(fps)
     assert "BroadcastExchange" not in executed(found) and found.count() > 0
+
+
+def stage_of(plan, operator):
+    """Number of the compiled loop that an operator of a plan runs in."""
+    return re.search(rf"\*\((\d+)\) {operator}", plan)[1]
+
+
+def test_hits_of_long_texts_are_checked_in_the_loop_that_makes_them(spark):
+    """Between two loops all hits of one text are held, each with the whole text."""
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words * 300)), (2, "same " * 2000), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "same " * 200)], "item_id long, text string")
+    found = decontaminate.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+    plan = executed(found)
+    assert stage_of(plan, r"HashAggregate\(keys=\[\w+#\d+L, \w+#\d+L\], functions=\[partial_count") == stage_of(
+        plan, r"BroadcastHashJoin \[key")
+    masks = len(decontaminate.MASKS)
+    # each mask at each place of the text meets each place of the item, but for six in corners without room for 13 tokens
+    same = masks * ((2000 - 10) * (200 - 10) - 6)
+    passages = masks * 300 * (30 - 10)
+    assert {(r["doc_id"], r["item_id"]): (r["hits"], r["first_token"]) for r in found.collect()} == {
+        (1, 1): (passages, 0), (2, 2): (same, 0)}

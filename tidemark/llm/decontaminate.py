@@ -7,7 +7,8 @@ meet in a join, and the tokens around each hit are compared one by one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ LEAST, AGREE = 13, 11
 #: Masks of the same span; any LEAST tokens with two replaced ones hold a hit of one of them (a test tries all).
 MASKS = ("10001110101", "11110100001", "10100010111")
 SPAN = len(MASKS[0])
+#: Where, from a hit's start, the first of LEAST tokens around it can stand.
+FROM = SPAN - LEAST
 #: Most benchmark tokens whose seeds are sent to every task (a seed of three numbers for each mask); beyond it hits are
 #: found by a shuffle.
 BROADCAST_TOKENS = 250_000
@@ -44,22 +47,29 @@ def seeds(df: DataFrame, masks: Sequence[tuple[int, str]], *keep: str) -> DataFr
     return at.select(*keep, "at", F.explode(made).alias("key")).filter("key is not null")
 
 
-def overlap(h: Column, b: Column, at: Column, at_item: Column) -> Column:
-    """Whether on the hit's diagonal some LEAST tokens around the hit agree in AGREE places.
+def agreement(h: Callable[[int], Column], b: Callable[[int], Column]) -> Column:
+    """Which tokens from FROM before a hit's start agree on its diagonal, a bit for each; none does outside of a text.
 
-    Items shorter than LEAST must agree as a whole, except for one token of at least SPAN.
+    ``h`` and ``b`` give the token at a distance from the hit's start in the text and in the item. Plain comparisons, which Spark
+    compiles into the loop that makes the hits: rows of hits with their whole texts would be held until a text is done.
     """
-    def same(lo: Column, n: Column) -> Column:
-        return F.aggregate(F.sequence(lo, lo + n - 1), F.lit(0), lambda acc, i: acc + F.when(
-            F.get(h, at + i) == F.get(b, at_item + i), 1).otherwise(0))
+    bits = [F.when(h(i) == b(i), 1 << (i - FROM)).otherwise(0) for i in range(FROM, LEAST)]
+    return reduce(lambda x, y: x + y, bits)
+
+
+def overlap(same: Column, tokens_h: Column, tokens_b: Column, at: Column, at_item: Column) -> Column:
+    """Whether on the hit's diagonal some LEAST tokens around the hit agree in AGREE places (``same`` by ``agreement``).
 
-    long = F.exists(F.sequence(F.lit(SPAN - LEAST), F.lit(0)), lambda lo: (
-        (at + lo >= 0) & (at_item + lo >= 0) & (at + lo + LEAST <= F.size(h)) & (at_item + lo + LEAST <= F.size(b))
-        & (same(lo, F.lit(LEAST)) >= AGREE)))
-    start, n = -at_item, F.size(b)
-    need = F.when(n >= SPAN, n - 1).otherwise(n)
-    whole = (at + start >= 0) & (at + start + n <= F.size(h)) & (same(start, n) >= need)
-    return F.when(F.size(b) >= LEAST, long).otherwise(whole)
+    Items shorter than LEAST must agree as a whole, except for one token of at least SPAN.
+    """
+    long = reduce(lambda x, y: x | y, [
+        (at + lo >= 0) & (at_item + lo >= 0) & (at + lo + LEAST <= tokens_h) & (at_item + lo + LEAST <= tokens_b)
+        & (F.bit_count(same.bitwiseAND(F.lit(((1 << LEAST) - 1) << (lo - FROM)))) >= AGREE) for lo in range(FROM, 1)])
+    need = F.when(tokens_b >= SPAN, tokens_b - 1).otherwise(tokens_b)
+    shift = lambda x, n: F.call_function("shiftleft", x, n)
+    inside = shift(shift(F.lit(1), tokens_b) - 1, -at_item - FROM)  # a short item's seeds lie within its first two tokens
+    whole = (at >= at_item) & (at - at_item + tokens_b <= tokens_h) & (F.bit_count(same.bitwiseAND(inside)) >= need)
+    return F.when(tokens_b >= LEAST, long).otherwise(whole)
 
 
 def contaminated(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
@@ -82,13 +92,20 @@ def contaminated(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
     b_items = bench.select("item", F.col("h").alias("b"), F.xxhash64("h").alias("_bh")).dropDuplicates(["item", "_bh"])
     d = bind(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), h=tokens(F.col("_t"))).select("_k", "h")
     masks = [*enumerate(MASKS), *whole]
+    at, at_item = F.col("at"), F.col("at_item")
     if facts[0] <= BROADCAST_TOKENS:
         hits = seeds(d, masks, "_k", "h").join(F.broadcast(b_seeds), "key")
-        both = hits.join(F.broadcast(b_items), "item")
-    else:  # slim rows meet by hash; only documents with a hit are read again
-        slim = seeds(d, masks, "_k", "h").select("_k", "at", "key").join(b_seeds, "key").distinct()
+        both = hits.join(F.broadcast(b_items), "item").withColumn("tokens", F.size("h"))
+        around = lambda i: F.get("h", at + i)
+    else:  # slim rows meet by hash; only documents with a hit are read again, and the tokens around a hit go on
+        slim = seeds(d, masks, "_k", "h").select("_k", "at", "key").hint("merge").join(b_seeds, "key").distinct()
         again = d.withColumnRenamed("_k", "_k2")
-        both = slim.join(again, F.col("_k").eqNullSafe(F.col("_k2"))).join(b_items, "item")
-    found = both.filter(overlap(F.col("h"), F.col("b"), F.col("at"), F.col("at_item")))
+        some = slim.join(again, F.col("_k").eqNullSafe(F.col("_k2"))).select(
+            "_k", "item", "at", "at_item", F.size("h").alias("tokens"), F.array(*[
+                F.get("h", at + i) for i in range(FROM, LEAST)]).alias("around"))
+        both = some.join(b_items, "item")
+        around = lambda i: F.get("around", F.lit(i - FROM))
+    both = bind(both, same=agreement(around, lambda i: F.get("b", at_item + i)))
+    found = both.filter(overlap(F.col("same"), F.col("tokens"), F.size("b"), at, at_item))
     return found.groupBy(F.col("_k").alias(key), F.col("item").alias(item_key)).agg(
         F.count("*").alias("hits"), F.min("at").cast("long").alias("first_token"))
