@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, simhash
+from tidemark.llm import decontaminate, jaccard, simhash
 from tidemark.llm.common import keep
 
 
@@ -27,6 +27,11 @@ def test_exploded_tables_are_not_sent_to_every_task(spark, ten_mb):
     fps = keep(spark.range(300).select(F.col("id").alias("fp")), "fps")
     found = simhash.links(fps)
     assert "BroadcastExchange" not in executed(found) and found.count() > 0
+    groups = keep(spark.range(300).select(
+        F.col("id").alias("g"), F.lit(100).alias("n"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i + F.col("id")).alias(
+            "prefix")), "groups")
+    held = jaccard.shared_entries(groups, 4, 5)
+    assert "BroadcastExchange" not in executed(held) and held.count() == 3000 - 2
 
 
 def stage_of(plan, operator):
@@ -49,3 +54,16 @@ def test_hits_of_long_texts_are_checked_in_the_loop_that_makes_them(spark):
     passages = masks * 300 * (30 - 10)
     assert {(r["doc_id"], r["item_id"]): (r["hits"], r["first_token"]) for r in found.collect()} == {
         (1, 1): (passages, 0), (2, 2): (same, 0)}
+
+
+def test_texts_are_not_shuffled_for_their_fingerprints(spark, monkeypatch):
+    texts = [f"word{i % 50} and some more of it {i % 50}" for i in range(200)] + [None, ""]
+    docs = keep(spark.createDataFrame([(t,) for t in texts], "_t string"), "texts")
+    nodes = keep(docs.filter("_t <> ''").select(F.xxhash64("_t").alias("_h")).distinct().withColumn("node", F.col("_h")), "nodes")
+    plans, plain = [], simhash.keep
+    monkeypatch.setattr(simhash, "keep", lambda df, name: (plans.append(executed(df)), plain(df, name))[1])
+    pairs = simhash.seed_pairs(docs, nodes, 5)
+    assert "MapInArrow" in plans[0] and "partial_min(fp" in plans[0] and "min(_t" not in plans[0]
+    fp = {r["_h"]: simhash.fingerprint(r["_t"], 5) for r in docs.select("_t", F.xxhash64("_t").alias("_h")).collect() if r["_t"]}
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert got == {(min(a, b), max(a, b)) for a, b in got} and all((fp[a] ^ fp[b]).bit_count() <= 2 for a, b in got)

@@ -248,9 +248,10 @@ def shared_entries(groups: DataFrame, over: int, under: int) -> DataFrame:
     """(entry, g, n, at, held, early) of prefix shingles which several groups hold (``held``: how many).
 
     Of two similar sets the smaller has its first common shingle in a still shorter prefix; entries which stand in no
-    such prefix are not ``early`` and join nothing.
+    such prefix are not ``early`` and join nothing. The join names its kind: the planner sizes the entries as one a group and
+    would send them to every task.
     """
-    rows = groups.select("g", "n", F.posexplode("prefix").alias("at", "entry"))
+    rows = groups.select("g", "n", F.posexplode("prefix").alias("at", "entry")).hint("merge")
     early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * over) * F.col("n") / F.lit(over + under))
     useful = rows.groupBy("entry").agg(F.count("*").alias("held"), F.max(early).alias("_e")).filter("held > 1")
     return rows.join(useful, "entry").select("entry", "g", "n", "at", "held", F.col("_e").alias("early"))

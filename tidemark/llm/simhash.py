@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.common import join_unique, keep, sent_if_bounded
+from tidemark.llm.common import join_unique, keep
 
 #: Shingles whose bits are counted at a time, so that a very long text needs no more memory.
 CHUNK = 65_536
@@ -97,10 +97,10 @@ def seed_pairs(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """Links (a, b) of nodes because fingerprints of their texts differ by two bits at most.
 
     ``docs``: ``_t`` (texts); ``nodes``: node, ``_h`` (hash of one of its texts). Equal fingerprints are linked to their first
-    node, close ones through those, so a large group of near copies gives a few pairs for each node.
+    node, close ones through those, so a large group of near copies gives a few pairs for each node. Texts stay in the task that reads them.
     """
-    texts = docs.select(F.xxhash64("_t").alias("_h"), "_t").join(sent_if_bounded(nodes.select("_h").distinct()), "_h", "left_semi")
-    fps = fingerprints(texts.groupBy("_h").agg(F.min("_t").alias("_t")), "_h", "_t", words)
+    texts = docs.select(F.xxhash64("_t").alias("_h"), "_t")
+    fps = fingerprints(texts, "_h", "_t", words).groupBy("_h").agg(F.min("fp").alias("fp"))  # copies of a text have one
     named = keep(nodes.select("node", "_h").join(fps, "_h").select("node", "fp"), "node-fingerprints")
     first = keep(named.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-nodes")
     equal = join_unique(named, first, "fp", "inner").select(F.col("node").alias("a"), F.col("first").alias("b"))
